@@ -1,0 +1,161 @@
+"""Secret scans in DataFrame functions only.
+
+Three patterns give the base spans. Beside them, runs of key-like characters are candidates: a
+window of WINDOW characters slides along each, its character counts change by one entering and one
+leaving character, and the run is reported where the Shannon entropy of some window reaches the
+threshold of the run's character class and no allow-list pattern matches the run.
+
+Offsets are code points, end exclusive. Defined results: null text counts as empty and has no
+spans; rows are kept one to one; equal spans of different kinds are listed by start, then kind;
+an empty table gives an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from bitloom.llm.common import let
+
+KINDS = ("assign", "access", "hex", "entropy")
+ASSIGN = (
+    r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+    r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+)
+#: A run shorter than the least length can't hold a longer match, so the bound stands in the pattern.
+ACCESS = r"AKIA[A-Z0-9]{14,}"
+HEX = r"[0-9a-f]{16,}"
+
+WINDOW = 20
+#: Runs with a digit and a letter; a run that lacks either fails at each of its characters.
+CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+#: Least bits per character of a window, by the run's character class.
+THRESHOLDS = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("alnum", r"^[0-9A-Za-z]+$", 3.5), ("any", r"", 3.7))
+ALLOWED = (
+    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",  # dates
+    r"^sha(256|384|512)-",  # integrity sums
+    r"EXAMPLE",
+)
+#: c * log2(c) in units of 2**-20, so that sums are exact.
+UNIT = 1 << 20
+CLOGC = [round(c * math.log2(c) * UNIT) if c else 0 for c in range(WINDOW + 1)]
+
+
+def _spans(kind: int, pattern: str, txt: Column, ok=None) -> Column:
+    """Of each match, in order: start, end, kind and what was matched."""
+    hits = F.regexp_extract_all(txt, F.lit(pattern), F.lit(0))
+    gaps = F.split(txt, pattern)
+    #: The text is gap, match, gap, match, ..., gap; the fold runs over the few matches.
+    pairs = F.filter(F.arrays_zip(hits.alias("m"), gaps.alias("g")), lambda x: x["m"].isNotNull())
+    out = "array<struct<start:int,end:int,kind:int,m:string>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["g"])
+        end = start + F.length(x["m"])
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("m"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(out).alias("out"))
+    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    if ok is not None:
+        found = F.filter(found, lambda x: ok(x["m"]))
+    return F.when(F.regexp_like(txt, F.lit(pattern)), found).otherwise(F.array().cast(out))
+
+
+def _least_sum(run: Column) -> Column:
+    """The least sum of c * log2(c) over the run's windows, in UNITs."""
+    table = F.array(*(F.lit(x).cast("long") for x in CLOGC))
+    count = lambda hay, c: F.length(hay) - F.length(F.replace(hay, c, F.lit("")))
+
+    def folded(clogc: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            # The window before this step ends at i - 1; first its oldest character leaves, then i enters.
+            leaves = i > WINDOW
+            before = F.substr(run, F.greatest(i - WINDOW, F.lit(1)), F.least(i - 1, F.lit(WINDOW)))
+            rest = F.when(leaves, F.substr(before, F.lit(2))).otherwise(before)
+            gone = count(before, F.substr(before, F.lit(1), F.lit(1)))
+            here = count(rest, F.substr(run, i, F.lit(1)))
+            total = (
+                acc["total"]
+                + F.when(leaves, F.get(clogc, gone - 1) - F.get(clogc, gone)).otherwise(F.lit(0).cast("long"))
+                + F.get(clogc, here + 1)
+                - F.get(clogc, here)
+            )
+            return let(total, lambda t: F.struct(t.alias("total"), F.when(i >= WINDOW, F.least(acc["least"], t)).otherwise(acc["least"]).alias("least")))
+
+        zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(1 << 40).cast("long").alias("least"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(run)), zero, step, lambda acc: acc["least"])
+
+    return let(table, folded)
+
+
+def entropy_bits(run: Column) -> Column:
+    """The greatest entropy of any window of the run, in bits per character."""
+    return F.lit(math.log2(WINDOW)) - _least_sum(run) / F.lit(float(UNIT * WINDOW))
+
+
+def most_sum(bits: float) -> int:
+    """The sum of c * log2(c) at which a window has the given entropy."""
+    return math.floor((math.log2(WINDOW) - bits) * WINDOW * UNIT)
+
+
+def _suspicious(run: Column) -> Column:
+    most = F.lit(None).cast("long")
+    for _, pattern, bits in reversed(THRESHOLDS):
+        most = F.when(F.regexp_like(run, F.lit(pattern)), F.lit(most_sum(bits)).cast("long")).otherwise(most)
+    allowed = F.lit(False)
+    for pattern in ALLOWED:
+        allowed = allowed | F.regexp_like(run, F.lit(pattern))
+    return F.when(allowed, F.lit(False)).otherwise(_least_sum(run) <= most)
+
+
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """The rows of docs with spans: array of (start, end, kind), kind an index of KINDS, by start and kind."""
+    txt = F.coalesce(F.col("text"), F.lit(""))
+    assign = _spans(0, ASSIGN, txt, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12)
+    found = F.concat(assign, _spans(1, ACCESS, txt), _spans(2, HEX, txt), _spans(3, CANDIDATE, txt, _suspicious))
+    bare = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    return docs.withColumn("spans", F.sort_array(bare))
+
+
+def written(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def digest(found: DataFrame) -> DataFrame:
+    n = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+    return found.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        n(3).alias("n_entropy"),
+    )
+
+
+def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """docs with each secret's characters replaced by the mask; overlapping spans count as one.
+
+    Null texts stay null; n_chars, where there is one, follows the text.
+    """
+    found = find_secrets(docs)
+
+    def step(acc: Column, x: Column) -> Column:
+        new = x["start"] >= acc["at"]
+        more = F.concat(acc["out"], F.substr("text", acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(new, more).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1)))
+    out = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).drop("spans")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
