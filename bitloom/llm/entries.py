@@ -8,12 +8,24 @@ from bitloom.llm import oracles
 from bitloom.llm.common import documents
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.secret_scan import digest, find_secrets
+
+    return digest(find_secrets(documents(spark, sf_dir)))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitloom.llm.quality_cascade import quality
 
     return quality(documents(spark, sf_dir))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.spotsigs import digest, edited_pairs
+
+    return digest(edited_pairs(documents(spark, sf_dir)))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 

@@ -1,0 +1,86 @@
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from bitloom.llm import spotsigs as S
+
+
+def plain_signatures(text):
+    table = str.maketrans("", "", S.PUNCTUATION)
+    w = []
+    for line in text.translate(table).lower().split("\n"):
+        w += [S.LINE, *[x for x in line.replace("\t", " ").split(" ") if x]]
+    stops = {*S.ANCHORS, S.LINE}
+    content = [x for x in w if x not in stops]
+    if not content:
+        real = [x for x in w if x != S.LINE]
+        return {("whole", " ".join(w))} if real else set()
+    out, seen = set(), 0
+    for x in w:
+        if x in stops:
+            if seen < len(content):
+                out.add((x, *content[seen : seen + S.CHAIN]))
+        else:
+            seen += 1
+    return out
+
+
+def like(a, b):
+    if not a and not b:
+        return 1.0
+    if not a or not b or min(len(a), len(b)) < max(len(a), len(b)) * S.LEAST_LIKENESS:
+        return 0.0
+    return len(a & b) / len(a | b)
+
+
+def texts(n, rng):
+    stock = ["the", "of", "und", "le", "la", "y", "Alpha", "beta", "gamma,", "delta.", "été", "straße", "\n", "x1", "omega"]
+    out = [None, "", "the of", "one", "\n\n", "the", "  "]
+    while len(out) < n:
+        out.append(" ".join(rng.choice(stock) for _ in range(rng.randint(1, 40))).replace(" \n ", "\n"))
+    return out
+
+
+@pytest.mark.parametrize("rows_each", [1, 3, 1000])
+def test_against_brute_force(spark, rows_each, monkeypatch):
+    rng = random.Random(rows_each)
+    docs = [(i * i - 7, t, "n") for i, t in enumerate(texts(60, rng))]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string, next string").repartition(5)
+    real = S.with_next
+    monkeypatch.setattr(S, "with_next", lambda d: real(d, rows_each))
+    got = {r.doc_id: r for r in S.digest(S.edited_pairs(df)).collect()}
+    line = sorted(docs, key=lambda d: -d[0])
+    assert len(got) == len(docs)
+    for (i, t, _), (_, u, _) in zip(line, line[1:] + line[:1], strict=True):
+        t, u = t or "", u or ""
+        k = len(t) // 3
+        e = t[: len(t) - k] + u[:k]
+        r = got[i]
+        a, b, c = map(plain_signatures, (t, e, u))
+        assert r.n_chars == len(t)
+        assert r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+        assert len(r.fingerprint) == 8 * len(a) and len(r.edited_fingerprint) == 8 * len(b)
+        assert r.near_edited == pytest.approx(like(a, b)) and r.near_next == pytest.approx(like(a, c))
+
+
+def test_order_of_ids_that_repeat_or_lack(spark):
+    df = spark.createDataFrame([(5, "b"), (5, "a"), (None, "z"), (1, "c")], "doc_id long, text string")
+    for each in (1, 100):
+        got = {(r.doc_id, r.text): (r.next.doc_id, r.next.text) for r in S.with_next(df, each).collect()}
+        assert got == {(5, "a"): (5, "b"), (5, "b"): (1, "c"), (1, "c"): (None, "z"), (None, "z"): (5, "a")}
+
+
+def test_single_and_empty(spark):
+    one = spark.createDataFrame([(1, "solo text here")], "doc_id long, text string")
+    r = S.digest(S.edited_pairs(one)).first()
+    assert r.near_next == 1.0
+    assert S.digest(S.edited_pairs(one.limit(0))).count() == 0
+
+
+def test_range_of_with_many_bounds(spark):
+    bounds = list(range(0, 4000, 10))
+    df = spark.range(-5, 4010, 7).select("id", S._range_of(F.col("id"), bounds).alias("r"))
+    assert all(r.r == sum(b < r.id for b in bounds) for r in df.collect())
