@@ -14,6 +14,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(documents(spark, sf_dir)))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), shingle=2, percent=80)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitloom.llm.quality_cascade import quality
 
