@@ -14,6 +14,12 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(documents(spark, sf_dir)))
 
 
+def op5_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.piece_codec import Pieces, encoded_documents
+
+    return encoded_documents(documents(spark, sf_dir), Pieces.load())
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitloom.llm.near_dedup import near_duplicates
 
