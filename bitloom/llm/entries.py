@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bitloom.llm import oracles
-from bitloom.llm.common import documents
+from bitloom.llm.common import bucket_of, documents
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.language_id import identify, learn
+
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(bucket_of(F.col("doc_id"), 4) == 2, F.lit(False))
+    profiles = learn(docs.where(~held_out).select("text", "lang"))
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).drop("text")
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def test_ids_equal_the_library(model, unigram):
         if len(t) < 150 and all(gain.get(i, -1e9) > -1e6 for i in ids):
             assert ids == unigram.nbest_encode_as_ids(t, 2)[0], t
             same += 1
-    assert same > 100
+    assert same > 50
 
 
 def test_score_is_the_best_of_all_cuts(model):
