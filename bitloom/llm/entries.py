@@ -48,6 +48,12 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(edited_pairs(documents(spark, sf_dir)))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.unit_dedup import repeated_runs
+
+    return repeated_runs(documents(spark, sf_dir)).drop("row")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
