@@ -9,6 +9,17 @@ from bitloom.llm import oracles
 from bitloom.llm.common import bucket_of, documents
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.toxicity import learn, score
+
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(bucket_of(F.col("doc_id"), 3) == 1, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    machine = learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = score(docs.select("doc_id", held_out.alias("held_out"), "text"), machine).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitloom.llm.language_id import identify, learn
 
