@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.llm import oracles
-from bitloom.llm.common import bucket_of, documents
+from bitloom.llm.common import bucket_of, documents, shared_folder
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=2, percent=80)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.token_rollup import VOCABULARY, ranks, replayed_corpus
+
+    return replayed_corpus(documents(spark, sf_dir), f"{shared_folder(spark)}/rollup", ranks(VOCABULARY), "byte_bpe_50k")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitloom.llm.quality_cascade import quality
 
