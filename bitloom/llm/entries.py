@@ -29,6 +29,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).drop("text")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.mixing import LABEL_DOMAINS, TARGETS, label_domains, learn, mixed
+
+    docs = documents(spark, sf_dir)
+    domains = label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = learn(docs.select("doc_id", "text").join(domains, "doc_id"), LABEL_DOMAINS)
+    out = mixed(docs.select("doc_id", "source", "text"), model, TARGETS).drop("text")
+    return out.select("doc_id", "source", "n_tokens", *(F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(LABEL_DOMAINS)), "rate", "copies")
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitloom.llm.secret_scan import digest, find_secrets
 
