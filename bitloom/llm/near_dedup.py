@@ -6,8 +6,9 @@ documents; every link is confirmed on the full shingle sets.
 
 Sets that are equal are one node, so copies never meet in pairs. In a band bucket one member after
 another is a centre that the others are held against, only while the bucket still spans several
-components, and only across components: groups of near copies are joined in time linear in their
-size, and yet no pair that a bucket proposes is left out while it could join two components.
+components, and only across components; sizes and parity maps of the sets rule most pairs out before
+they are made. So groups of near copies are joined by few pairs, and yet no pair that a bucket
+proposes and that could join two components is left out.
 
 Defined results: a null or blank text has an empty set, is linked with nothing and kept; a text of
 fewer words than a shingle is one shingle of them all; rows of equal id count as one document;
@@ -23,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import Scratch
@@ -31,6 +32,8 @@ from bitloom.llm.components import components
 
 WIDTH_BITS = 20
 BANDS, ROWS = 32, 6
+#: Words of 64 bits in a set's parity map.
+MAP = 16
 #: Distinct words whose hashes a worker remembers.
 MEMORY = 300_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -124,6 +127,30 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, items array<long>")
 
 
+def parity_maps(sets: DataFrame) -> DataFrame:
+    """(id, map): each item flips one of 64 * MAP bits, so two maps differ in at most as many bits as their sets in items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = []
+            for items in batch.column(1):
+                at = mixed(np.asarray(items.values).view(np.uint64) * ODD[0]) >> np.uint64(64 - 6 - (MAP.bit_length() - 1))
+                odd = np.bincount(at.astype(np.int64), minlength=64 * MAP) & 1
+                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(maps)], ["id", "map"])
+
+    return sets.select("id", "items").mapInArrow(run, "id long, map array<long>")
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """By sizes and maps: the sets of two rows (n, map) can't be ruled out. Jaccard >= p% means that at
+    most (100 - p) / (100 + p) of the summed sizes differ."""
+    n, m = (lambda x: F.col(f"{x}.n")), (lambda x, i: F.get(F.col(f"{x}.map"), F.lit(i)))
+    sizes = F.least(n(a), n(b)) * 100 >= F.greatest(n(a), n(b)) * percent
+    bits = sum((F.bit_count(m(a, i).bitwiseXOR(m(b, i))) for i in range(MAP)), F.lit(0))
+    return sizes & (bits * (100 + percent) <= (n(a) + n(b)) * (100 - percent))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("id").alias("u"), F.col("items").alias("x"))
     b = sets.select(F.col("id").alias("v"), F.col("items").alias("y"))
@@ -137,18 +164,19 @@ def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     buckets: (id, n, bucket), n the set's size; sets_of: ids to (id, items).
     """
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    live = scratch.keep(buckets.join(shared, "bucket").distinct())
-    sets = scratch.keep(sets_of(live.select("id").distinct()))
+    near = scratch.keep(buckets.join(scratch.keep(shared), "bucket").distinct())
+    sets = scratch.keep(sets_of(near.select("id").distinct()))
+    maps = scratch.keep(parity_maps(sets))
+    live = scratch.keep(near.join(maps, "id").withColumn("root", F.col("id")))
     root = None
     centres = 1
     while True:
-        # One centre for each of `centres` shares of a bucket's members; members equal to it stay out of later rounds.
+        # One centre for each of `centres` shares of a bucket's members, the smallest id.
         share = F.pmod(F.xxhash64("id", "bucket"), F.lit(centres))
-        chosen = live.groupBy("bucket", share.alias("share")).agg(F.min(F.struct("id", "n", *(["root"] if root is not None else []))).alias("c")).select("bucket", "c")
-        held = live.join(chosen, "bucket").where((F.col("c.id") != F.col("id")) & (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent))
-        if root is not None:
-            held = held.where(F.col("root") != F.col("c.root"))
-        pairs = held.select(F.least("id", "c.id").alias("u"), F.greatest("id", "c.id").alias("v")).distinct()
+        chosen = scratch.keep(live.groupBy("bucket", share.alias("share")).agg(F.min(F.struct("id", "n", "root", "map")).alias("c")).select("bucket", "c"))
+        held = live.withColumn("o", F.struct("id", "n", "root", "map")).select("bucket", "o").join(chosen, "bucket")
+        held = held.where((F.col("c.root") != F.col("o.root")) & _may_link("c", "o", percent))
+        pairs = held.select(F.least("o.id", "c.id").alias("u"), F.greatest("o.id", "c.id").alias("v")).distinct()
         found = scratch.keep(_verified(pairs, sets, percent))
         if root is None:
             root = scratch.keep(components(found, scratch))
@@ -160,10 +188,11 @@ def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
             moved = root.join(over, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
             added = over.select(F.col("root").alias("id"), F.col("top").alias("root")).join(root.select("id"), "id", "left_anti")
             root = scratch.keep(moved.union(added))
+        # A centre has met all that its bucket can offer; a bucket of one component has nothing more to join.
         left = live.drop("root").join(chosen.select("bucket", F.col("c.id").alias("id")), ["bucket", "id"], "left_anti")
-        left = left.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        live = scratch.keep(left.join(open_, "bucket").select("bucket", "id", "n", "root"))
+        left = scratch.keep(left.join(root, "id", "left").withColumn("root", F.coalesce("root", "id")))
+        open_ = scratch.keep(left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"))
+        live = scratch.keep(left.join(open_, "bucket").select("bucket", "id", "n", "map", "root"))
         if live.isEmpty():
             return root
         centres *= 8
@@ -173,9 +202,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     """doc_id, n_shingles, component_id (the smallest id reachable), kept (doc_id is it)."""
     scratch = Scratch(docs.sparkSession)
     sig = scratch.keep(signatures(docs, shingle, bands, rows))
-    first = sig.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    node = F.col("doc_id") == F.col("rep")
-    members = scratch.keep(sig.join(first, "digest", "left").select("doc_id", "n", "rep", F.when(node, F.col("bands")).alias("bands")))
+    copies = scratch.keep(sig.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
+    rep = F.when(F.col("n") > 0, F.coalesce("rep", "doc_id"))
+    members = sig.join(copies, "digest", "left").withColumn("rep", rep)
+    members = scratch.keep(members.select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
     buckets = members.where("bands IS NOT NULL").select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
     plain = docs.select("doc_id", "text")
     root = linked(buckets, lambda ids: full_sets(plain.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), shingle), percent, scratch)
