@@ -15,8 +15,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     held_out = F.coalesce(bucket_of(F.col("doc_id"), 3) == 1, F.lit(False))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    machine = learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    machine = learn(docs, labels)
     scored = score(docs.select("doc_id", held_out.alias("held_out"), "text"), machine).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
@@ -35,7 +35,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     domains = label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    model = learn(docs.select("doc_id", "text").join(domains, "doc_id"), LABEL_DOMAINS)
+    model = learn(docs, domains, LABEL_DOMAINS)
     out = mixed(docs.select("doc_id", "source", "text"), model, TARGETS).drop("text")
     return out.select("doc_id", "source", "n_tokens", *(F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(LABEL_DOMAINS)), "rate", "copies")
 

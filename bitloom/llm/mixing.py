@@ -12,8 +12,8 @@ rate depends on the posterior alone, so posteriors are kept to 1 / RESOLUTION an
 posterior are one cell with their summed tokens; no rate has to be stored between steps, as it
 follows from the few residual vectors so far.
 
-Fitting the classifier takes a bounded sample: at most per_domain labelled documents of each domain,
-the first by hash of the id, each of at most sample_chars characters. All else covers all rows.
+Fitting the classifier takes a bounded sample: at most per_domain labelled ids of each domain, the
+first by hash, without those whose text is over sample_chars characters. All else covers all rows.
 
 Defined results: null and empty texts have no tokens and the prior as posterior; a domain without
 natural share is left out of the sum; labels of null count as none, of several the greatest counts;
@@ -27,6 +27,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -128,17 +129,16 @@ def train(texts: list[str], labels: list[str], domains: tuple[str, ...], prior:
     return DomainModel(domains, weights(np.arange(len(y))).astype(np.float32), base, heat)
 
 
-def learn(labelled: DataFrame, domains: tuple[str, ...], per_domain: int = PER_DOMAIN, sample_chars: int = SAMPLE_CHARS) -> DomainModel:
-    """From labelled(doc_id, text, domain); the prior counts all of its rows."""
-    known = labelled.where(F.col("domain").isin(*domains))
+def learn(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], per_domain: int = PER_DOMAIN, sample_chars: int = SAMPLE_CHARS) -> DomainModel:
+    """From docs(doc_id, text) and labels(doc_id, domain); the prior counts all labels. The sample is
+    chosen among the ids, so that only its documents' texts move; they come to the driver."""
+    known = labels.where(F.col("domain").isin(*domains)).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     prior = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
-    small = known.where(F.length("text") <= sample_chars)
-    parts = [small.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain).select("doc_id", "text", "domain") for d in domains]
-    got = parts[0]
-    for p in parts[1:]:
-        got = got.unionByName(p)
-    rows = sorted(got.toArrow().to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    return train([r["text"] for r in rows], [r["domain"] for r in rows], domains, prior)
+    parts = [known.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain) for d in domains]
+    ids = F.broadcast(reduce(DataFrame.unionByName, parts))  # at most per_domain rows for each domain
+    got = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(ids, "doc_id").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return train([r["text"] for r in got], [r["domain"] for r in got], domains, prior)
 
 
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:

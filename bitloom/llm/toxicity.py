@@ -12,8 +12,8 @@ A document's score is that of its worst unit (a word, or letters set apart by bl
 length. As the machine is linear in the kernel, its landmarks fold into one weight per triple, and
 a word costs the same however many landmarks there are.
 
-Fitting takes a bounded sample: at most `per_class` labelled documents of each class, the first by
-hash of the id, each of at most `sample_chars` characters. Scoring covers all.
+Fitting takes a bounded sample: at most `per_class` labelled ids of each class, the first by hash,
+without those whose text is over `sample_chars` characters. Scoring covers all.
 
 Defined results: null and empty texts get the score of no unit at all (near 0); labels of null count
 as none; an id with several labels is toxic if one is; without both classes all scores are 0; rows
@@ -306,13 +306,15 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost:
     return Machine(whole.weights, whole.bias, slope, shift, whole.landmarks)
 
 
-def learn(labelled: DataFrame, per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS) -> Machine:
-    """From labelled(doc_id, text, toxic): the sample's documents come to the driver."""
-    one = labelled.where("toxic IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= sample_chars)
-    some = [one.where((F.col("toxic") == 1) == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "text", "toxic") for x in (True, False)]
-    got = some[0].unionByName(some[1]).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    return train([r["text"] for r in got], [int(r["toxic"] == 1) for r in got])
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS) -> Machine:
+    """From docs(doc_id, text) and labels(doc_id, toxic). The sample is chosen among the ids, so that
+    only its documents' texts move; they come to the driver."""
+    one = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") == 1).alias("is_toxic"))
+    chosen = [one.where(F.col("is_toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for x in (True, False)]
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * per_class rows
+    got = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(ids, "doc_id").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return train([r["text"] for r in got], [int(r["is_toxic"]) for r in got])
 
 
 def score(docs: DataFrame, machine: Machine, at_once: int = 400) -> DataFrame:

@@ -41,7 +41,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def to_target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates say, towards the target weights of clean, low and toxic text."""
     domains = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    model = mixing.learn(docs.select("doc_id", "text").join(domains, "doc_id"), mixing.LABEL_DOMAINS)
+    model = mixing.learn(docs, domains, mixing.LABEL_DOMAINS)
     return mixing.resampled(docs, model, mixing.TARGETS, BUDGET)
 
 

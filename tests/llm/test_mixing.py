@@ -74,8 +74,8 @@ def test_steps_of_posteriors():
 def test_learning_and_resampling(spark):
     rows = corpus(random.Random(4), 400) + [(900, None, "a", 0.0), (901, "x", None, 0.0), (902, "", "zz", 0.0)]
     df = spark.createDataFrame(rows, SCHEMA)
-    m = M.learn(df.repartition(3), ("a", "b", "c"))
-    assert np.allclose(m.weights, M.learn(df.repartition(7), ("a", "b", "c")).weights)
+    m = M.learn(df.repartition(3), df.repartition(3), ("a", "b", "c"))
+    assert np.allclose(m.weights, M.learn(df.repartition(7), df.repartition(7), ("a", "b", "c")).weights)
     out = M.resampled(df, m, {"a": 0.4, "b": 0.4, "c": 0.2})
     assert out.columns == df.columns
     full = {r.doc_id: r.copies for r in M.mixed(df, m, {"a": 0.4, "b": 0.4, "c": 0.2}).collect()}
@@ -90,8 +90,8 @@ def test_label_domains(spark):
 
 def test_degenerate_tables(spark):
     df = spark.createDataFrame([(1, "a b", "a", 0.0), (2, None, "a", 0.0)], SCHEMA)
-    one = M.learn(df, ("a", "b"))
+    one = M.learn(df, df, ("a", "b"))
     assert {(r.doc_id, r.n_tokens, r.rate > 0) for r in M.mixed(df, one, {"a": 1.0, "b": 0.0}).collect()} == {(1, 2, True), (2, 0, True)}
-    none = M.learn(df.limit(0), ("a", "b"))
+    none = M.learn(df.limit(0), df.limit(0), ("a", "b"))
     assert M.mixed(df.limit(0), none, {"a": 1.0, "b": 1.0}).count() == 0
     assert M.mixed(df.where(F.col("text").isNull()), one, {"a": 1.0}).first().rate == 1.0

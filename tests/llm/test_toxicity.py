@@ -85,7 +85,7 @@ def test_gapped_and_inserted(machine):
 def test_learning_from_tables(spark):
     rows = corpus(random.Random(4), 300)
     df = spark.createDataFrame(rows + [(900, None, 1), (901, "x", None), (902, "", 0)], "doc_id long, text string, toxic int")
-    a, b = X.learn(df.repartition(3)), X.learn(df.repartition(7))
+    a, b = X.learn(df.repartition(3), df), X.learn(df.repartition(7), df.union(df))
     assert a.landmarks == b.landmarks and np.allclose(a.weights, b.weights)
     got = {r.doc_id: r.score for r in X.score(df, a).where("doc_id >= 900").collect()}
     assert got[900] == got[902] < 0.2
@@ -93,9 +93,9 @@ def test_learning_from_tables(spark):
 
 def test_one_class_and_empty(spark):
     df = spark.createDataFrame([(1, "a b", 0)], "doc_id long, text string, toxic int")
-    m = X.learn(df)
+    m = X.learn(df, df)
     assert X.score(df, m).first().score < 1e-6
-    assert X.score(df.limit(0), m).count() == 0 and X.learn(df.limit(0)).landmarks == ()
+    assert X.score(df.limit(0), m).count() == 0 and X.learn(df.limit(0), df.limit(0)).landmarks == ()
 
 
 def test_long_texts_and_words(machine):
