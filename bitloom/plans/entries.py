@@ -1,9 +1,244 @@
-"""Registered queries of the parallel-corpus operators and their DuckDB twins."""
+"""Registered queries of the parallel-corpus operators."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bitloom.operators import lexicon, metrics, sample, splits, stats, translate, views
+from bitloom.operators.qc import EVAL, TRAIN, QcPolicy, add_features, apply_qc, clean, dedup_first, removed_counts
+from bitloom.plans import oracles
+from bitloom.sources.files import Columns, unpivot_names
+from bitloom.sources.tables import SYSTEMS, document_pairs, hypotheses, turn_pairs
 
-def oracle_sql():
-    return {}
+HOLDOUT = ("src19",)
+SAMPLE = 28
+Q: dict = {}
+
+
+def query(f):
+    Q[f.__name__] = f
+    return f
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return clean(document_pairs(spark, d))
+
+
+def _qc(spark: SparkSession, d: str, policy: QcPolicy) -> DataFrame:
+    return apply_qc(_pairs(spark, d), policy)
+
+
+def _grouped(spark: SparkSession, d: str, policy: QcPolicy, fallback: str) -> DataFrame:
+    return _qc(spark, d, policy).withColumn("group_id", splits.group_id(fallback))
+
+
+def _stratified(spark: SparkSession, d: str) -> DataFrame:
+    return splits.stratified_split(_grouped(spark, d, TRAIN, "line"), HOLDOUT)
+
+
+def _shuffled(spark: SparkSession, d: str) -> DataFrame:
+    return splits.group_shuffle_split(_grouped(spark, d, EVAL, "document"))
+
+
+def _hyps(spark: SparkSession, d: str) -> DataFrame:
+    return hypotheses(_stratified(spark, d).where("split = 'test'"))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    sides = F.array(*(F.struct(F.lit(s).alias("system"), F.col(s).alias("text")) for s in ("src", "tgt")))
+    return _qc(spark, d, TRAIN).select("ord", F.explode(sides).alias("x")).select("x.system", "ord", "x.text")
+
+
+@query
+def pairs_clean(spark, d):
+    return _pairs(spark, d)
+
+
+@query
+def turn_pairs_eval(spark, d):
+    return apply_qc(clean(turn_pairs(spark, d)), EVAL).select("source_doc", "line_id", "src", "tgt")
+
+
+@query
+def qc_features(spark, d):
+    return add_features(_pairs(spark, d)).select("line_id", "src_chars", "tgt_chars", "src_tokens", "tgt_tokens", F.round("len_ratio", 6).alias("len_ratio"))
+
+
+@query
+def qc_train(spark, d):
+    return add_features(_pairs(spark, d)).where(TRAIN.accepts()).select("line_id", "src", "tgt")
+
+
+@query
+def qc_eval(spark, d):
+    return add_features(_pairs(spark, d)).where(EVAL.accepts()).select("line_id", "src", "tgt")
+
+
+@query
+def dedup_doc_scoped(spark, d):
+    return dedup_first(_pairs(spark, d), TRAIN.dedup_key).select("source_doc", "line_id", "src", "tgt")
+
+
+@query
+def dedup_global(spark, d):
+    return dedup_first(_pairs(spark, d), EVAL.dedup_key).select("source_doc", "line_id", "src", "tgt")
+
+
+@query
+def qc_removed_counts(spark, d):
+    return removed_counts(_pairs(spark, d), TRAIN)
+
+
+@query
+def corpus_stats_total(spark, d):
+    return stats.corpus_stats(_qc(spark, d, TRAIN))
+
+
+@query
+def doc_value_counts(spark, d):
+    return stats.value_counts(_qc(spark, d, TRAIN), "source_doc")
+
+
+@query
+def group_ids_line(spark, d):
+    return _grouped(spark, d, TRAIN, "line").select("line_id", "group_id")
+
+
+@query
+def group_ids_document(spark, d):
+    return _grouped(spark, d, EVAL, "document").select("line_id", "group_id")
+
+
+@query
+def split_stratified(spark, d):
+    return _stratified(spark, d).select("line_id", "group_id", "split")
+
+
+@query
+def split_global(spark, d):
+    return splits.global_split(_grouped(spark, d, TRAIN, "line"), HOLDOUT).select("line_id", "group_id", "split")
+
+
+@query
+def group_shuffle_split(spark, d):
+    return _shuffled(spark, d).select("line_id", "group_id", "split")
+
+
+@query
+def split_stats(spark, d):
+    return stats.split_stats(_stratified(spark, d))
+
+
+@query
+def leak_groups(spark, d):
+    return splits.leaks(_stratified(spark, d), ["group_id"])
+
+
+@query
+def leak_pairs(spark, d):
+    return splits.leaks(_stratified(spark, d), ["src", "tgt"])
+
+
+@query
+def test_contamination(spark, d):
+    test, train = _shuffled(spark, d).where("split = 'test'"), _stratified(spark, d).where("split = 'train'")
+    return splits.contamination(test, train).select("source_doc", "line_id")
+
+
+@query
+def view_line(spark, d):
+    return views.line_view(_qc(spark, d, TRAIN))
+
+
+@query
+def view_sentence(spark, d):
+    return views.sentence_view(_qc(spark, d, TRAIN))
+
+
+@query
+def view_fragment(spark, d):
+    return views.fragment_view(_qc(spark, d, TRAIN))
+
+
+@query
+def metadata_unpivot(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    named = part.select(F.col("p_partkey").cast("string").alias("line_id"), F.col("p_name").alias("name_part_src"), F.col("p_type").alias("name_part_tgt"), F.col("p_brand").alias("name_brand_src"), F.when(F.length("p_name") > 12, "N/A").otherwise(F.col("p_brand")).alias("name_brand_tgt"))
+    return unpivot_names(named, ["line_id"], Columns())
+
+
+@query
+def char_ngram_stats(spark, d):
+    return metrics.ngram_stats(_hyps(spark, d), ("char", "word", "bleu"))
+
+
+@query
+def chrf_scores(spark, d):
+    counts = metrics.ngram_stats(_hyps(spark, d), ("char", "word"))
+    return metrics.chrf_all(counts).withColumn("score", F.round("score", 4))
+
+
+@query
+def bleu_scores(spark, d):
+    return metrics.bleu(metrics.ngram_stats(_hyps(spark, d), ("bleu",))).withColumn("score", F.round("score", 4))
+
+
+@query
+def metric_delta(spark, d):
+    scores = metrics.chrf_all(metrics.ngram_stats(_hyps(spark, d).where(F.col("system").isin("sys_lower", "sys_novowel")), ("char", "word")))
+    wide = scores.groupBy("word_order", "beta").pivot("system", ["sys_lower", "sys_novowel"]).agg(F.first("score"))
+    return wide.select("word_order", "beta", F.round(F.col("sys_lower") - F.col("sys_novowel"), 4).alias("delta"))
+
+
+@query
+def hyp_wide(spark, d):
+    return translate.wide(_hyps(spark, d), list(SYSTEMS))
+
+
+@query
+def word_freq_top(spark, d):
+    return lexicon.top_words(lexicon.word_freq(_texts(spark, d)), 100)
+
+
+@query
+def word_freq_compare(spark, d):
+    return lexicon.compare_top(lexicon.word_freq(_texts(spark, d)), "src", "tgt", 20)
+
+
+@query
+def word_freq_stemmed(spark, d):
+    return lexicon.top_words(lexicon.word_freq(_texts(spark, d), lexicon.spanish_stem), 100)
+
+
+@query
+def sample_allocation(spark, d):
+    return sample.allocate(_shuffled(spark, d).where("split = 'test'"), SAMPLE)
+
+
+@query
+def stratified_sample(spark, d):
+    return sample.stratified_sample(_shuffled(spark, d).where("split = 'test'").withColumnRenamed("line_id", "seg_id"), SAMPLE).select("source_doc", "seg_id", "src", "tgt")
+
+
+@query
+def rating_sheet(spark, d):
+    test = _shuffled(spark, d).where("split = 'test'").withColumnRenamed("line_id", "seg_id")
+    chosen = sample.stratified_sample(test, SAMPLE).withColumnRenamed("seg_id", "line_id")
+    two = ["sys_copy", "sys_lower"]
+    return sample.rating_sheet(translate.wide(hypotheses(chosen).where(F.col("system").isin(two)), two), two, "a", "b")
+
+
+@query
+def translate_stub(spark, d):
+    rows = translate.both_directions(_shuffled(spark, d).where("split = 'test'").withColumnRenamed("line_id", "seg_id"), ("aa", "bb"))
+    made = translate.translate(rows, [translate.System("back", translate.reversing), translate.System("mark", translate.marking, 8)])
+    return made.select("seg_id", "direction", "system", "hyp")
+
+
+def queries() -> dict:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.sql()
