@@ -23,7 +23,6 @@ columns; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,25 +39,30 @@ from bitloom.llm.common import Scratch
 BUCKETS = 1 << 16
 RESOLUTION = 200
 PER_DOMAIN, SAMPLE_CHARS = 1500, 20_000
-MEMORY = 300_000
+MEMORY = 500_000
 #: Marks beside the words: what a word looks like, and the share of words that repeat, in tenths.
 SHAPES, TENTHS = 32, 10
 
 
-def _shape(word: str) -> int:
-    letters = sum(c.isalpha() for c in word)
-    upper = sum(c.isupper() for c in word)
-    return (letters > 0) + 2 * (upper > 1 and 2 * upper > letters) + 4 * bool(re.search(r"[0-9]", word)) + 8 * bool(re.search(r"[#*$%&|<>]|!!", word)) + 16 * (2 * letters < len(word))
+def _shape(word: str, plain: str) -> int:
+    """Has letters; mostly upper case; digits; signs; mostly no letters."""
+    loud = 8 * ("!!" in word)
+    if plain.isalpha():
+        return 1 + 2 * (len(plain) > 1 and plain.isupper()) + loud
+    letters = sum(map(str.isalpha, word))
+    upper = sum(map(str.isupper, word))
+    signs = any(c in "#*$%&|<>" for c in word)
+    return (letters > 0) + 2 * (upper > 1 and 2 * upper > letters) + 4 * any(map(str.isdigit, word)) + (loud or 8 * signs) + 16 * (2 * letters < len(word))
 
 
 class Marks(dict):
-    """word -> (bucket, shape mark) as one row number each, remembered up to MEMORY words."""
+    """word -> bucket * SHAPES + shape, remembered up to MEMORY words."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        plain = word.lower().strip(".,;:!?\"'()")
-        self[word] = got = (zlib.crc32(plain.encode("utf-8", "surrogatepass")) % BUCKETS, BUCKETS + _shape(word))
+        plain = word.strip(".,;:!?\"'()")
+        self[word] = got = zlib.crc32(plain.lower().encode("utf-8", "surrogatepass")) % BUCKETS * SHAPES + _shape(word, plain)
         return got
 
 
@@ -69,14 +73,16 @@ def features(text: str | None, marks: Marks) -> tuple[np.ndarray, np.ndarray, in
     if not words:
         return np.empty(0, np.int64), np.empty(0), 0
     distinct = set(words)
-    got = np.array([marks[w] for w in distinct], np.int64)
-    shapes, n = np.unique(got[:, 1], return_counts=True)
+    seen = list(map(marks.get, distinct))
+    if None in seen:
+        seen = [marks[w] if x is None else x for w, x in zip(distinct, seen, strict=True)]
+    got = np.array(seen, np.int64)
+    n = np.bincount(got % SHAPES, minlength=SHAPES)
+    shapes = n.nonzero()[0]
     tenth = BUCKETS + SHAPES + min(TENTHS - 1, int(TENTHS * (1 - len(distinct) / len(words))))
-    ids = np.concatenate([np.unique(got[:, 0]), shapes, [tenth]])
-    weights = np.ones(len(ids))
-    weights[-len(shapes) - 1 : -1] = 20 * n / len(distinct)
-    weights[-1] = 20
-    return ids, weights, len(words)
+    own = np.unique(got // SHAPES)
+    ids = np.concatenate([own, BUCKETS + shapes, [tenth]])
+    return ids, np.concatenate([np.ones(len(own)), 20 * n[shapes] / len(distinct), [20.0]]), len(words)
 
 
 @dataclass(frozen=True)
@@ -248,11 +254,12 @@ def mixed(docs: DataFrame, model: DomainModel, weights: dict[str, float], budget
     """docs with n_tokens, posterior, rate and copies (the rate made whole); budget: the tokens wanted, over those that docs have."""
     total = sum(weights.values()) / budget
     want = [weights.get(d, 0.0) / total for d in model.domains]
-    scratch = Scratch(docs.sparkSession)
+    scratch, work = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("n_tokens", "posterior", "rate", "copies")]
     known = scratch.keep(posteriors(docs.select(*keep), model))
-    cells = scratch.keep(known.groupBy("posterior").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
+    cells = work.keep(known.groupBy("posterior").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
     plan, _ = fit(cells, want)
+    work.drop()
     rated = rate_of(known, plan)
     key = [F.col("doc_id")] if "doc_id" in docs.columns else [F.col("text")]
     return rated.withColumn("copies", copies(F.col("rate"), *key))
