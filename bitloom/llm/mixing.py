@@ -267,7 +267,7 @@ def mixed(docs: DataFrame, model: DomainModel, weights: dict[str, float], budget
 
 #: Domains of the labels table, and the target weights of production.
 LABEL_DOMAINS = ("clean", "low", "toxic")
-TARGETS = {"clean": 0.86, "low": 0.08, "toxic": 0.06}
+TARGETS = {"clean": 0.92, "low": 0.02, "toxic": 0.06}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
