@@ -35,7 +35,7 @@ BANDS, ROWS = 32, 6
 #: Words of 64 bits in a set's parity map.
 MAP = 16
 #: Distinct words whose hashes a worker remembers.
-MEMORY = 300_000
+MEMORY = 120_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
@@ -200,15 +200,16 @@ def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable), kept (doc_id is it)."""
-    scratch = Scratch(docs.sparkSession)
-    sig = scratch.keep(signatures(docs, shingle, bands, rows))
-    copies = scratch.keep(sig.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
+    scratch, work = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    sig = work.keep(signatures(docs, shingle, bands, rows))
+    copies = work.keep(sig.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
     rep = F.when(F.col("n") > 0, F.coalesce("rep", "doc_id"))
     members = sig.join(copies, "digest", "left").withColumn("rep", rep)
     members = scratch.keep(members.select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
     buckets = members.where("bands IS NOT NULL").select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
     plain = docs.select("doc_id", "text")
-    root = linked(buckets, lambda ids: full_sets(plain.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), shingle), percent, scratch)
+    root = scratch.keep(linked(buckets, lambda ids: full_sets(plain.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), shingle), percent, work))
+    work.drop()
     out = members.select("doc_id", "n", "rep").join(root.select(F.col("id").alias("rep"), "root"), "rep", "left")
     top = F.coalesce("root", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), top.alias("component_id"), F.col("doc_id").eqNullSafe(top).alias("kept"))
@@ -216,11 +217,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
 def join_classes(sets: DataFrame, propose: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """doc_id and class_id for sets(doc_id, items) under buckets(id, n, bucket) that propose(reps) gives."""
-    scratch = Scratch(sets.sparkSession)
-    own = scratch.keep(sets.select("doc_id", "items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("digest")))
-    first = own.where(F.size("items") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = scratch.keep(own.join(first, "digest", "left"))
-    reps = members.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "items").dropDuplicates(["id"])
-    root = linked(scratch.keep(propose(reps)), lambda ids: reps.join(ids, "id", "left_semi"), percent, scratch)
-    out = members.select("doc_id", "rep").join(root.select(F.col("id").alias("rep"), "root"), "rep", "left")
+    scratch, work = Scratch(sets.sparkSession), Scratch(sets.sparkSession)
+    own = work.keep(sets.select("doc_id", "items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("digest")))
+    first = work.keep(own.where(F.size("items") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    members = own.join(first, "digest", "left")
+    reps = work.keep(members.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "items").dropDuplicates(["id"]))
+    members = scratch.keep(members.select("doc_id", "rep"))
+    root = scratch.keep(linked(work.keep(propose(reps)), lambda ids: reps.join(ids, "id", "left_semi"), percent, work))
+    work.drop()
+    out = members.join(root.select(F.col("id").alias("rep"), "root"), "rep", "left")
     return out.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"))

@@ -31,7 +31,7 @@ MARK = "▁"
 #: What a character of no piece costs more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Stretches that a worker remembers, and their greatest length in characters.
-MEMORY, LONGEST = 400_000, 64
+MEMORY, LONGEST = 200_000, 64
 STRETCHES = re.compile(f" +[^ \n{MARK}]*|[^ \n{MARK}]+|\n|{MARK}")
 
 

@@ -84,3 +84,34 @@ def test_range_of_with_many_bounds(spark):
     bounds = list(range(0, 4000, 10))
     df = spark.range(-5, 4010, 7).select("id", S._range_of(F.col("id"), bounds).alias("r"))
     assert all(r.r == sum(b < r.id for b in bounds) for r in df.collect())
+
+
+def test_classes_against_all_pairs(spark):
+    rng = random.Random(12)
+    stock = ["the", "of", "und", "le"]
+    docs = []
+    for _ in range(5):
+        base = [rng.choice(stock) if rng.random() < 0.4 else f"w{rng.randint(0, 10_000)}" for _ in range(rng.choice([3, 20, 80]))]
+        docs.append(base)
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 15))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 10_000)}"
+            docs.append(copy)
+    texts = [" ".join(d) for d in docs] + [None, "", " ", "lone"]
+    ids = rng.sample(range(1000), len(texts))
+    sets = {i: plain_signatures(t or "") for i, t in zip(ids, texts, strict=True)}
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(ids):
+        for b in sorted(ids):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in S.classes(df).collect()} == {i: find(i) for i in ids}
