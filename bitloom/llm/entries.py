@@ -79,7 +79,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitloom.llm.unit_dedup import repeated_runs
 
-    return repeated_runs(documents(spark, sf_dir)).drop("row")
+    return repeated_runs(documents(spark, sf_dir)).select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
 
 
 def queries() -> dict:

@@ -1,5 +1,7 @@
 """DuckDB SQL with the results of the queries that SQL can express."""
 
+from bitloom.llm import language_id, secret_scan, spotsigs, unit_dedup
+
 OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS txt FROM documents),
 w AS (SELECT rid, doc_id, txt, list_filter(regexp_split_to_array(txt, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -43,4 +45,87 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(k.root, s.doc
 FROM s LEFT JOIN n USING (sh) LEFT JOIN k ON k.id = n.rep
 """
 
-SQL = {"op6_minhash_near_dedup": OP6, "op8_quality_rules": OP8}
+
+
+def _matches(kind: int, pattern: str, ok: str = "true") -> str:
+    """Spans of a pattern: gaps and matches take turns, so a match starts after all before it."""
+    start = "CAST(list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda x: length(x))), 0) AS BIGINT)"
+    return f"""SELECT rid, {kind} AS kind, s AS start, s + length(m[j]) AS stop FROM (
+      SELECT rid, m, j, {start} AS s FROM (SELECT rid, m, g, unnest(range(1, len(m) + 1)) AS j FROM (
+        SELECT rid, regexp_extract_all(txt, '{pattern}') AS m, regexp_split_to_array(txt, '{pattern}') AS g FROM d WHERE regexp_matches(txt, '{pattern}')))) WHERE {ok}"""
+
+
+def _op4() -> str:
+    assign = secret_scan.ASSIGN.replace("'", "''")
+    runs = "[A-Za-z0-9+/_=-]{20,}"
+    table = "[" + ", ".join(map(str, secret_scan.CLOGC)) + "]"
+    window = "substr(m[j], w, 20)"
+    total = f"list_sum(list_transform(list_distinct(string_split({window}, '')), lambda c: {table}[1 + length({window}) - length(replace({window}, c, ''))]))"
+    least = f"list_min(list_transform(range(1, length(m[j]) - 18), lambda w: {total}))"
+    most = "CASE " + " ".join(f"WHEN regexp_matches(m[j], '{p}') THEN {secret_scan.most_sum(b)}" for _, p, b in secret_scan.THRESHOLDS) + " END"
+    allowed = " OR ".join(f"regexp_matches(m[j], '{p}')" for p in secret_scan.ALLOWED)
+    odd = f"regexp_matches(m[j], '[0-9]') AND regexp_matches(m[j], '[A-Za-z]') AND NOT ({allowed}) AND {least} <= {most}"
+    parts = [_matches(0, assign, f"length(regexp_extract(m[j], '{assign}', 2)) >= 12"), _matches(1, secret_scan.ACCESS), _matches(2, secret_scan.HEX), _matches(3, runs, odd)]
+    name = "['" + "', '".join(secret_scan.KINDS) + "'][kind + 1] || ':' || start || ':' || stop"
+    n = ", ".join(f"CAST(count(kind) FILTER (kind = {k}) AS BIGINT) AS n_{x}" for k, x in enumerate(secret_scan.KINDS))
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS txt FROM documents),
+      s AS ({" UNION ALL ".join(parts)})
+      SELECT any_value(doc_id) AS doc_id, {n}, sha256(coalesce(string_agg({name}, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+             coalesce(string_agg({name}, ',' ORDER BY start, kind), '') AS spans FROM d LEFT JOIN s USING (rid) GROUP BY rid"""
+
+
+def _op9() -> str:
+    stops = "(" + ", ".join(f"'{w}'" for w in sorted(set(spotsigs.ANCHORS))) + ", chr(1))"
+    marks = spotsigs.PUNCTUATION.replace("'", "''")
+    chain = ", ".join(f"c[i - k + {n + 1}]" for n in range(spotsigs.CHAIN))
+    one = lambda x: f"substr(md5({x}), 1, 8)"
+    like = lambda a, b: f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 OR least(len({a}), len({b})) < greatest(len({a}), len({b})) * CAST({spotsigs.LEAST_LIKENESS} AS DOUBLE) THEN 0.0 ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b}))) END"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+      o AS (SELECT doc_id, t, lead(doc_id) OVER w AS ni, lead(t) OVER w AS nt, first_value(doc_id) OVER w AS fi, first_value(t) OVER w AS ft FROM d WINDOW w AS (ORDER BY doc_id DESC)),
+      e AS (SELECT doc_id, t, coalesce(ni, fi) AS ni, substr(t, 1, length(t) - length(t) // 3) || substr(coalesce(nt, ft), 1, length(t) // 3) AS ed FROM o),
+      x AS (SELECT doc_id, 'own' AS which, t FROM e UNION ALL SELECT doc_id, 'edited', ed FROM e),
+      w AS (SELECT doc_id, which, list_filter(regexp_split_to_array(chr(1) || ' ' || replace(lower(translate(t, '{marks}', '')), chr(10), ' ' || chr(1) || ' '), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM x),
+      c AS (SELECT doc_id, which, w, list_filter(w, lambda v: v NOT IN {stops}) AS c, list_filter(range(1, len(w) + 1), lambda i: w[i] IN {stops}) AS a FROM w),
+      g AS (SELECT doc_id, which, CASE WHEN len(c) > 0 THEN list_filter(list_transform(a, lambda i, k: CASE WHEN i - k < len(c) THEN {one(f"concat_ws(' ', w[i], {chain})")} END), lambda v: v IS NOT NULL)
+              WHEN len(list_filter(w, lambda v: v <> chr(1))) > 0 THEN [{one("array_to_string(w, ' ')")}] ELSE [] END AS g FROM c),
+      f AS (SELECT doc_id, which, list_sort(list_distinct(g)) AS f FROM g),
+      p AS (SELECT e.doc_id, length(t) AS n, sha256(ed) AS h, a.f AS fa, b.f AS fb, z.f AS fz FROM e JOIN f a ON a.doc_id = e.doc_id AND a.which = 'own' JOIN f b ON b.doc_id = e.doc_id AND b.which = 'edited'
+            JOIN f z ON z.doc_id = e.ni AND z.which = 'own')
+      SELECT doc_id, CAST(n AS BIGINT) AS n_chars, h AS edited_sha256, array_to_string(fa, '') AS fingerprint, array_to_string(fb, '') AS edited_fingerprint,
+             CAST({like("fa", "fb")} AS DOUBLE) AS near_edited, CAST({like("fa", "fz")} AS DOUBLE) AS near_next FROM p"""
+
+
+OP10 = rf"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, text, string_split(replace(regexp_replace(text, '([.!?])( )', '\1' || chr(2) || '\2', 'g'), chr(10), chr(10) || chr(2)), chr(2)) AS u FROM d),
+p AS (SELECT doc_id, text, u[j] AS part, coalesce(CAST(list_sum(list_transform(u[1:j - 1], lambda x: length(x))) AS BIGINT), 0) AS pos, j FROM (SELECT *, unnest(range(1, len(u) + 1)) AS j FROM c)),
+q AS (SELECT doc_id, text, j, pos, regexp_extract_all(part, '\S+') AS ws, regexp_split_to_array(part, '\S+') AS gs FROM p),
+w AS (SELECT doc_id, text, j, k, len(ws) AS n, lower(ws[k]) AS word, length(ws[k]) AS size,
+             pos + list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1:k - 1], lambda x: length(x))), 0) AS a FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM q)),
+e AS (SELECT *, coalesce(sum(CAST(n > {unit_dedup.LONGEST} AND right(md5(word), 1) IN ('0', '8') AS INT)) OVER (PARTITION BY doc_id, text, j ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM w),
+n AS (SELECT doc_id, text, j, part, min(a) AS a, max(a + size) AS b, count(*) AS words, string_agg(word, ' ' ORDER BY k) AS norm FROM e GROUP BY doc_id, text, j, part),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY j, part) AS no FROM n),
+m AS (SELECT *, first_value(doc_id) OVER f AS fd, row_number() OVER f AS r FROM k WINDOW f AS (PARTITION BY norm ORDER BY doc_id, a)),
+i AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id, text ORDER BY no) AS run FROM m WHERE r > 1)
+SELECT doc_id, CAST(min(a) AS INTEGER) AS start, CAST(max(b) AS INTEGER) AS "end", count(*) AS n_units, CAST(sum(words) AS BIGINT) AS n_words, first(fd ORDER BY words DESC, no) AS kept_doc_id
+FROM i GROUP BY doc_id, text, run HAVING sum(words) >= {unit_dedup.LEAST_WORDS}
+"""
+
+OP2 = rf"""
+WITH bits AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]),
+                lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+crc AS (SELECT doc_id, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8))) AS h FROM (SELECT DISTINCT doc_id FROM documents) CROSS JOIN bits),
+d AS (SELECT doc_id, lang, coalesce(h % 4 = 2, false) AS held_out, ' ' || trim(lower(regexp_replace(coalesce(text, ''), '[^\p{{L}}]+', ' ', 'g'))) || ' ' AS c FROM documents LEFT JOIN crc USING (doc_id)),
+g AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(list_concat(list_transform(range(1, length(c) + 1), lambda i: c[i]), list_transform(range(1, length(c)), lambda i: c[i : i + 1]),
+                list_transform(list_filter(range(1, length(c) - 1), lambda i: c[i + 1] <> ' '), lambda i: c[i : i + 2]))) AS g FROM d WHERE c <> '  ') WHERE g <> ' ' GROUP BY ALL),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS r FROM g JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g),
+q AS (SELECT lang, g, r FROM p WHERE r < {language_id.PROFILE}),
+o AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS i FROM g),
+f AS (SELECT o.doc_id, l.lang, CAST(sum(coalesce(abs(q.r - o.i), {language_id.PROFILE})) AS DOUBLE) / count(*) / {language_id.PROFILE} AS far
+      FROM o CROSS JOIN (SELECT DISTINCT lang FROM q) l LEFT JOIN q ON q.lang = l.lang AND q.g = o.g WHERE o.i < {language_id.PROFILE} GROUP BY ALL),
+b AS (SELECT doc_id, lang, far FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far, lang) = 1)
+SELECT d.doc_id, d.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 - b.far, 0) AS score FROM d LEFT JOIN b USING (doc_id)
+"""
+
+SQL = {"op2_language_id": OP2, "op4_secret_scans": _op4(), "op6_minhash_near_dedup": OP6, "op8_quality_rules": OP8, "op9_document_fingerprints": _op9(), "op10_substring_dedup": OP10}

@@ -35,8 +35,12 @@ PUNCTUATION = ".,;:!?\"'()[]{}|*#$%&<>"
 LEAST_LIKENESS = 0.05
 
 
+def _hash(c: Column) -> Column:
+    return (F.conv(F.left(F.md5(c.cast("binary")), F.lit(8)), 16, 10).cast("long") - F.lit(1 << 31)).cast("int")
+
+
 def signatures(text: Column, anchors: tuple[str, ...] | list[str] = ANCHORS, chain: int = CHAIN) -> Column:
-    """The sorted set of a text's signature hashes, array<int>."""
+    """The sorted set of a text's signatures, array<int>: each the first 32 bits of an md5, less 2**31."""
     marked = F.concat(F.lit(f"{LINE} "), F.replace(F.lower(F.translate(text, PUNCTUATION, "")), F.lit("\n"), F.lit(f" {LINE} ")))
     stops = sorted({*anchors, LINE})
 
@@ -46,8 +50,8 @@ def signatures(text: Column, anchors: tuple[str, ...] | list[str] = ANCHORS, cha
 
         def hashed(c: Column) -> Column:
             # The k-th anchor stands at word i, so i - k content words stand before it.
-            sigs = F.transform(at, lambda i, k: F.when(i - k < F.size(c), F.hash(F.get(w, i), *(F.get(c, i - k + n) for n in range(chain)))))
-            whole = F.when(F.size(w) > F.size(F.filter(w, lambda x: x == LINE)), F.array(F.hash(F.array_join(w, " ")))).otherwise(F.array().cast("array<int>"))
+            sigs = F.transform(at, lambda i, k: F.when(i - k < F.size(c), _hash(F.concat_ws(" ", F.get(w, i), *(F.get(c, i - k + n) for n in range(chain))))))
+            whole = F.when(F.size(w) > F.size(F.filter(w, lambda x: x == LINE)), F.array(_hash(F.array_join(w, " ")))).otherwise(F.array().cast("array<int>"))
             return F.when(F.size(c) > 0, F.filter(sigs, lambda x: x.isNotNull())).otherwise(whole)
 
         return let(content, hashed)
@@ -57,7 +61,7 @@ def signatures(text: Column, anchors: tuple[str, ...] | list[str] = ANCHORS, cha
 
 def fingerprint(sigs: Column) -> Column:
     """Each signature as eight hexadecimal digits, in order."""
-    return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
+    return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x.cast("long") + F.lit(1 << 31))), 8, "0")), "")
 
 
 def jaccard(a: Column, b: Column, floor: float = 0.0) -> Column:
