@@ -1,6 +1,9 @@
 """Substring dedup by hashing lines, paragraphs or the sentences of lines.
 
-A text is cut into units; a unit's digest is of its words, lower-cased and joined by single blanks.
+A text is cut into units; a unit's digest is of its words, lower-cased and joined by single blanks. A
+unit of over LONGEST words is cut further after the words that their own hash marks, so that a
+passage without ends, or put into the midst of a sentence, is cut alike wherever it stands.
+
 Digests are grouped over the whole table, the occurrence that is earliest by (document, offset) stays
 and later ones go, if their run of neighbouring repeated units has at least least_words words: so a
 short phrase that two texts share by chance stays, and a long passage goes whatever its units.
@@ -15,6 +18,7 @@ a text in which all goes becomes empty; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,20 +28,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitloom.llm.common import Scratch
+
 #: Cuts between units; no character belongs to a cut.
 UNITS = {"paragraph": r"(?<=\n)(?=\n)", "line": r"(?<=\n)", "sentence": r"(?<=\n)|(?<=[.!?])(?= )"}
 LEAST_WORDS = 20
+#: Words of the longest unit that isn't cut further, and words whose ends a worker remembers.
+LONGEST, MEMORY = 16, 200_000
+WORD = re.compile(r"\S+")
 ROWS_AT_ONCE = 200_000
 
 
-def cut(text: str, unit: re.Pattern) -> Iterator[tuple[int, int, int, bytes]]:
+class Ends(dict):
+    """word -> whether a long unit is cut after it: the last three bits of its md5 are 0."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = got = hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[-1] & 7 == 0
+        return got
+
+
+def _digest(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+
+
+def cut(text: str, unit: re.Pattern, ends: Ends, longest: int = LONGEST) -> Iterator[tuple[int, int, int, bytes]]:
     """start, end, words and digest of each unit that has words; a unit's outer white space isn't in its span."""
     at = 0
     for part in unit.split(text):
         words = part.lower().split()
-        if words:
+        if len(words) > longest:
+            spans = [m.span() for m in WORD.finditer(part)]
+            known = list(map(ends.get, words))
+            after = [i for i, x in enumerate(known, 1) if x or (x is None and ends[words[i - 1]])]
+            if not after or after[-1] < len(words):
+                after.append(len(words))
+            first = 0
+            for last in after:
+                yield at + spans[first][0], at + spans[last - 1][1], last - first, _digest(words[first:last])
+                first = last
+        elif words:
             lead = len(part) - len(part.lstrip())
-            yield at + lead, at + len(part.rstrip()), len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+            yield at + lead, at + len(part.rstrip()), len(words), _digest(words)
         at += len(part)
 
 
@@ -52,6 +85,7 @@ def units(docs: DataFrame, unit: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*arrays, pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "row", "no", "start", "end", "words", "h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = Ends()
         for batch in batches:
             rows, digests = [], []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -59,7 +93,7 @@ def units(docs: DataFrame, unit: str) -> DataFrame:
                 if not t:
                     continue
                 row = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
-                for no, (start, end, words, digest) in enumerate(cut(t, pattern)):
+                for no, (start, end, words, digest) in enumerate(cut(t, pattern, ends)):
                     rows.append((i, row, no, start, end, words))
                     digests.append(digest)
                     if len(rows) >= ROWS_AT_ONCE:
@@ -73,10 +107,13 @@ def units(docs: DataFrame, unit: str) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
     """The spans to remove: doc_id, row, start, end (code points of the original text, end exclusive),
-    n_units, n_words, and kept_in, the ids of the documents that keep the units."""
+    n_units, n_words, kept_doc_id, the document that keeps the longest unit, and kept_in, the ids of all
+    that keep one."""
     found = units(docs, unit)
     place = F.struct("doc_id", "row", "start")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Written and read again, both sides of the join come from plain exchanges, whose hot partitions can be split.
+    first = Scratch(docs.sparkSession).keep(first)
     later = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     later = later.select("doc_id", "row", "no", "start", "end", "words", F.col("first.doc_id").alias("keeper"))
     # Neighbouring numbers less their rank are equal; a row that stands there twice has one rank.
@@ -84,7 +121,12 @@ def repeated_runs(docs: DataFrame, unit: str = "sentence", least_words: int = LE
     # Rows that are equal count once.
     own = later.withColumn("run", run).groupBy("doc_id", "row", "run", "no").agg(F.first("start").alias("start"), F.first("end").alias("end"), F.first("words").alias("words"), F.first("keeper").alias("keeper"))
     spans = own.groupBy("doc_id", "row", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_units"), F.sum("words").alias("n_words"), F.sort_array(F.collect_set("keeper")).alias("kept_in")
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.count(F.lit(1)).alias("n_units"),
+        F.sum("words").alias("n_words"),
+        F.min_by("keeper", F.struct(-F.col("words"), "no")).alias("kept_doc_id"),
+        F.sort_array(F.collect_set("keeper")).alias("kept_in"),
     )
     return spans.where(F.col("n_words") >= least_words).drop("run")
 

@@ -9,7 +9,7 @@ from bitloom.llm import unit_dedup as U
 def plain(docs, unit, least):
     first, marks = {}, []
     for i, t in sorted({(i, t) for i, t, *_ in docs if t}):
-        for no, (a, b, n, h) in enumerate(U.cut(t, re.compile(U.UNITS[unit]))):
+        for no, (a, b, n, h) in enumerate(U.cut(t, re.compile(U.UNITS[unit]), U.Ends())):
             if h in first:
                 marks.append((i, no, a, b, n, first[h]))
             else:
@@ -48,7 +48,7 @@ def test_against_a_plain_pass(spark, unit, least, monkeypatch):
 def test_units_cover_their_words():
     for unit in U.UNITS.values():
         for _, t, _ in corpus(random.Random(9)):
-            spans = list(U.cut(t or "", re.compile(unit)))
+            spans = list(U.cut(t or "", re.compile(unit), U.Ends()))
             assert " ".join((t or "")[a:b] for a, b, *_ in spans).split() == (t or "").split()
 
 
@@ -71,3 +71,43 @@ def test_clean_documents_and_empty_tables(spark):
     assert U.repeated_runs(df).count() == 0
     assert U.repeated_runs(df.limit(0)).count() == 0
     assert U.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_passages_without_ends_inside_other_sentences(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(60) for _ in range(25)]
+    docs = [(i, f"{prose(30)} {passages[i % 25]} {prose(30)}") for i in range(75)] + [(i, prose(120)) for i in range(100, 140)]
+    got = U.repeated_runs(spark.createDataFrame(docs, "doc_id long, text string"))
+    found = {(r.doc_id, r.kept_doc_id) for r in got.collect()}
+    assert found == {(i, i % 25) for i in range(25, 75)}
+
+
+def plain_cut(text, longest):
+    """Sentence units by a walk over the characters."""
+    units, here = [], ""
+    for i, c in enumerate(text):
+        here += c
+        if c == "\n" or (c in ".!?" and text[i + 1 : i + 2] == " "):
+            units.append((i + 1 - len(here), here))
+            here = ""
+    if here:
+        units.append((len(text) - len(here), here))
+    out = []
+    for at, u in units:
+        spots = [(m.start(), m.end()) for m in re.finditer(r"\S+", u)]
+        own = []
+        for k, (a, b) in enumerate(spots):
+            own.append((a, b))
+            if k == len(spots) - 1 or (len(spots) > longest and U.hashlib.md5(u[a:b].lower().encode()).hexdigest()[-1] in "08"):
+                out.append((at + own[0][0], at + own[-1][1], len(own)))
+                own = []
+    return out
+
+
+def test_units_against_a_walk():
+    rng = random.Random(11)
+    for _ in range(300):
+        t = "".join(rng.choice(["ab", " ", "  ", ".", "! ", "\n", "c", "é", "? ", " d e f g", " hij"]) for _ in range(rng.randint(0, 60)))
+        assert [x[:3] for x in U.cut(t, re.compile(U.UNITS["sentence"]), U.Ends(), 5)] == plain_cut(t, 5)
