@@ -83,9 +83,10 @@ def test_nulls_and_repeated_rows(spark):
     assert N.near_duplicates(df.limit(0), 2).count() == 0
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [-1, 1000])
+def test_components_of_a_long_chain(spark, few):
     links = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(200, 150), (150, 170)], "u long, v long")
-    got = {r.id: r.root for r in components(links, Scratch(spark)).collect()}
+    got = {r.id: r.root for r in components(links, Scratch(spark), few).collect()}
     assert got == {**{i: 0 for i in range(71)}, 150: 150, 170: 150, 200: 150}
 
 
@@ -97,6 +98,17 @@ def test_signature_is_the_circulant_minimum():
     assert list(N.signature(s, 8, chunk=7)) == [min(rank[(p + k) % len(rank)] for p in at) if max(at) + 8 < len(rank) else N.signature(s, 8)[k] for k in range(8)]
 
 
+def test_components_of_random_links(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
+    df = spark.createDataFrame(links, "u long, v long")
+    roots = plain_roots(range(300), links)
+    for few in (-1, 1000):
+        got = {r.id: r.root for r in components(df, Scratch(spark), few).collect()}
+        assert got == {i: roots[i] for i in {x for a, b in links if a != b for x in (a, b)}}
+    assert components(df.limit(0), Scratch(spark)).count() == 0
+
+
 def test_very_long_text(spark):
     long = " ".join(map(str, range(60_000)))
     df = spark.createDataFrame([(1, long), (2, long + " x"), (3, "x y")], "doc_id long, text string")
