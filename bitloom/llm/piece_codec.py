@@ -23,7 +23,6 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -170,7 +169,23 @@ def decode(encoded: DataFrame, model: Pieces, ids: str = "ids", out: str = "deco
     return _with(encoded, out, T.StringType(), ids, each)
 
 
-def encoded_documents(docs: DataFrame, model: Pieces) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether decoding the ids gives the text back."""
-    both = decode(encode(docs.select("doc_id", "text"), model), model)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+def encoded_documents(docs: DataFrame, model: Pieces, at_once: int = 500) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether decoding the ids gives the text back; in one pass, at_once rows a batch."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "n_tokens", "ids", "round_trip"]
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in zip(names[1:], (T.LongType(), T.ArrayType(T.IntegerType()), T.BooleanType()), strict=True))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(shared.value)
+        for whole in batches:
+            for i in range(0, whole.num_rows, at_once):
+                batch = whole.slice(i, at_once)
+                texts = batch.column(1).to_pylist()
+                parts = [codec.encode(t) for t in texts]
+                same = [codec.decode(p.tolist()) == (t or "") for p, t in zip(parts, texts, strict=True)]
+                sizes = np.array([len(p) for p in parts])
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids, pa.array(same)], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
