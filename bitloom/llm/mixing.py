@@ -218,8 +218,9 @@ def _totals(cells: DataFrame, plan: Plan, size: int) -> np.ndarray:
     return out
 
 
-def fit(cells: DataFrame, weights: list[float], mu: float = 1e-3, steps: int = 40, enough: float = 1e-6) -> tuple[Plan, np.ndarray]:
-    """The plan for cells(posterior, tokens) and target weights, and the totals that it reaches."""
+def fit(cells: DataFrame, weights: list[float], mu: float = 1e-3, steps: int = 40, enough: float = 1e-6, relative: bool = False) -> tuple[Plan, np.ndarray]:
+    """The plan for cells(posterior, tokens) and target weights, and the totals that it reaches. Relative
+    weights multiply the natural shares; what they sum to is then shared out so."""
     size = len(weights)
     plan = Plan(np.zeros((0, size)), mu)
     total = _totals(cells, plan, size)
@@ -227,6 +228,8 @@ def fit(cells: DataFrame, weights: list[float], mu: float = 1e-3, steps: int = 4
     if not every:
         return plan, total
     share = total / every
+    if relative:
+        weights = list(share * weights / (share @ weights) * sum(weights))
     scale = np.where(share > 1e-9, 1 / np.maximum(share, 1e-9), 0.0)
     before = total
     for k in range(steps):
@@ -260,7 +263,7 @@ def copies(rate: Column, *key: Column) -> Column:
     return F.floor(rate + u).cast("int")
 
 
-def mixed(docs: DataFrame, model: DomainModel, weights: dict[str, float], budget: float = 1.0) -> DataFrame:
+def mixed(docs: DataFrame, model: DomainModel, weights: dict[str, float], budget: float = 1.0, relative: bool = False) -> DataFrame:
     """docs with n_tokens, posterior, rate and copies (the rate made whole); budget: the tokens wanted, over those that docs have."""
     total = sum(weights.values()) / budget
     want = [weights.get(d, 0.0) / total for d in model.domains]
@@ -268,7 +271,7 @@ def mixed(docs: DataFrame, model: DomainModel, weights: dict[str, float], budget
     keep = [c for c in docs.columns if c not in ("n_tokens", "posterior", "rate", "copies")]
     known = scratch.keep(posteriors(docs.select(*keep), model))
     cells = work.keep(known.groupBy("posterior").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
-    plan, _ = fit(cells, want)
+    plan, _ = fit(cells, want, relative=relative)
     work.drop()
     rated = rate_of(known, plan)
     key = [F.col("doc_id")] if "doc_id" in docs.columns else [F.col("text")]
@@ -287,7 +290,7 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return one.select("doc_id", domain.alias("domain"))
 
 
-def resampled(docs: DataFrame, model: DomainModel, weights: dict[str, float], budget: float = 1.0) -> DataFrame:
+def resampled(docs: DataFrame, model: DomainModel, weights: dict[str, float], budget: float = 1.0, relative: bool = False) -> DataFrame:
     """docs, each row as often as its rate says: rows of rate under 1 may go, of 1 or more all stay."""
     names = docs.columns
-    return mixed(docs, model, weights, budget).where("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    return mixed(docs, model, weights, budget, relative).where("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)

@@ -69,12 +69,13 @@ def test_against_plain_stages(spark, tmp_path):
     found = {i: M.features(t, M.Marks()) for i, t in three.items()}
     p = np.array([M.stepped(model.posterior(f)) for f in found.values()])
     n = np.array([f[2] for f in found.values()], float)
-    want = np.array([M.TARGETS[d] for d in M.LABEL_DOMAINS]) * C.BUDGET
     share = n @ p / n.sum()
+    want = share * [C.WEIGHTS[d] for d in M.LABEL_DOMAINS]
+    want *= C.BUDGET / want.sum()
     r = np.ones(len(p))
     for _ in range(5000):
         r = np.maximum(0, r - 0.5 * (p @ (((n * r) @ p / n.sum() - want) / np.maximum(share, 1e-9)) + 1e-3 * (r - 1)))
-    mixed = {x.doc_id: x for x in M.mixed(frame, model, M.TARGETS, C.BUDGET).collect()}
+    mixed = {x.doc_id: x for x in M.mixed(frame, model, C.WEIGHTS, C.BUDGET, relative=True).collect()}
     copies = {i: x.copies for i, x in mixed.items()}
     cost = lambda r: ((((n * r) @ p / n.sum() - want) ** 2 / np.maximum(share, 1e-9)).sum() + 1e-3 * (n * (r - 1) ** 2).sum() / n.sum()) / 2
     assert cost(np.array([mixed[i].rate for i in found])) <= cost(r) + 0.02 * cost(np.ones(len(p)))  # of what there was to gain, 98 %
