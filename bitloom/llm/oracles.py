@@ -102,7 +102,7 @@ p AS (SELECT doc_id, text, u[j] AS part, coalesce(CAST(list_sum(list_transform(u
 q AS (SELECT doc_id, text, j, pos, regexp_extract_all(part, '\S+') AS ws, regexp_split_to_array(part, '\S+') AS gs FROM p),
 w AS (SELECT doc_id, text, j, k, len(ws) AS n, lower(ws[k]) AS word, length(ws[k]) AS size,
              pos + list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1:k - 1], lambda x: length(x))), 0) AS a FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM q)),
-e AS (SELECT *, coalesce(sum(CAST(n > {unit_dedup.LONGEST} AND right(md5(word), 1) IN ('0', '8') AS INT)) OVER (PARTITION BY doc_id, text, j ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM w),
+e AS (SELECT *, coalesce(sum(CAST(n > {unit_dedup.LONGEST} AND (length(word) + 3 * ord(left(word, 1)) + 5 * ord(right(word, 1))) & 7 = 0 AS INT)) OVER (PARTITION BY doc_id, text, j ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM w),
 n AS (SELECT doc_id, text, j, part, min(a) AS a, max(a + size) AS b, count(*) AS words, string_agg(word, ' ' ORDER BY k) AS norm FROM e GROUP BY doc_id, text, j, part),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY j, part) AS no FROM n),
 m AS (SELECT *, first_value(doc_id) OVER f AS fd, row_number() OVER f AS r FROM k WINDOW f AS (PARTITION BY norm ORDER BY doc_id, a)),

@@ -1,7 +1,7 @@
 """Substring dedup by hashing lines, paragraphs or the sentences of lines.
 
 A text is cut into units; a unit's digest is of its words, lower-cased and joined by single blanks. A
-unit of over LONGEST words is cut further after the words that their own hash marks, so that a
+unit of over LONGEST words is cut further after words chosen by their own letters, so that a
 passage without ends, or put into the midst of a sentence, is cut alike wherever it stands.
 
 Digests are grouped over the whole table, the occurrence that is earliest by (document, offset) stays
@@ -18,9 +18,9 @@ a text in which all goes becomes empty; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,74 +33,87 @@ from bitloom.llm.common import Scratch
 #: Cuts between units; no character belongs to a cut.
 UNITS = {"paragraph": r"(?<=\n)(?=\n)", "line": r"(?<=\n)", "sentence": r"(?<=\n)|(?<=[.!?])(?= )"}
 LEAST_WORDS = 20
-#: Words of the longest unit that isn't cut further, and words whose ends a worker remembers.
-LONGEST, MEMORY = 16, 200_000
+#: Words of the longest unit that isn't cut further.
+LONGEST = 16
 WORD = re.compile(r"\S+")
 ROWS_AT_ONCE = 200_000
 
 
-class Ends(dict):
-    """word -> whether a long unit is cut after it: the last three bits of its md5 are 0."""
+def _cuts(words: list[str]) -> list[int]:
+    """How many words lie before each cut of a long unit: it is cut after words whose length, plus 3 times
+    the code of their first and 5 times that of their last character, is divisible by 8."""
+    out = [i for i, w in enumerate(words, 1) if (len(w) + 3 * ord(w[0]) + 5 * ord(w[-1])) & 7 == 0]
+    if not out or out[-1] < len(words):
+        out.append(len(words))
+    return out
 
-    def __missing__(self, word: str) -> bool:
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = got = hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[-1] & 7 == 0
-        return got
 
+def _places(part: str, lead: int) -> tuple[list[int], list[int]]:
+    """Where the words of a part, whose first follows `lead` white space, start and end."""
+    sizes = list(map(len, part.split()))
+    ends = list(accumulate(sizes, lambda at, n: at + 1 + n, initial=lead - 1))[1:]
+    if ends[-1] != len(part.rstrip()):  # some words lie further apart than one character
+        spans = [m.span() for m in WORD.finditer(part)]
+        return [a for a, _ in spans], [b for _, b in spans]
+    return [b - n for b, n in zip(ends, sizes, strict=True)], ends
 
-def _digest(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
 
-
-def cut(text: str, unit: re.Pattern, ends: Ends, longest: int = LONGEST) -> Iterator[tuple[int, int, int, bytes]]:
-    """start, end, words and digest of each unit that has words; a unit's outer white space isn't in its span."""
+def cut(text: str, unit: re.Pattern, longest: int = LONGEST) -> tuple[list[int], list[int], list[int], list[bytes]]:
+    """starts, ends, words and digests of the units that have words; a unit's outer white space isn't in its span."""
+    starts, ends, counts, digests = [], [], [], []
     at = 0
     for part in unit.split(text):
         words = part.lower().split()
-        if len(words) > longest:
-            spans = [m.span() for m in WORD.finditer(part)]
-            known = list(map(ends.get, words))
-            after = [i for i, x in enumerate(known, 1) if x or (x is None and ends[words[i - 1]])]
-            if not after or after[-1] < len(words):
-                after.append(len(words))
-            first = 0
-            for last in after:
-                yield at + spans[first][0], at + spans[last - 1][1], last - first, _digest(words[first:last])
-                first = last
-        elif words:
+        if words:
             lead = len(part) - len(part.lstrip())
-            yield at + lead, at + len(part.rstrip()), len(words), _digest(words)
+            if len(words) > longest:
+                a, b = _places(part, lead)
+                first = 0
+                for last in _cuts(words):
+                    starts.append(at + a[first])
+                    ends.append(at + b[last - 1])
+                    counts.append(last - first)
+                    digests.append(xxhash.xxh3_128_digest(" ".join(words[first:last]).encode("utf-8", "surrogatepass")))
+                    first = last
+            else:
+                starts.append(at + lead)
+                ends.append(at + len(part.rstrip()))
+                counts.append(len(words))
+                digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
         at += len(part)
+    return starts, ends, counts, digests
 
 
 def units(docs: DataFrame, unit: str) -> DataFrame:
     """doc_id, row (a hash of the text), no, start, end, words and the digest's halves, of each unit."""
     pattern = re.compile(UNITS[unit])
-
-    def batch_of(rows: list, digests: list) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True))
-        halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "row", "no", "start", "end", "words", "h1", "h2"])
+    names = ["doc_id", "row", "no", "start", "end", "words", "h1", "h2"]
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        """found: id, row and the lists of cut(), for each document."""
+        sizes = [len(f[2]) for f in found]
+        spread = np.repeat(np.arange(len(found)), sizes)
+        no = np.arange(len(spread)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        lists = [np.fromiter(chain.from_iterable(f[k] for f in found), np.int32, len(spread)) for k in (2, 3, 4)]
+        halves = np.frombuffer(b"".join(chain.from_iterable(f[5] for f in found)), "<i8").reshape(-1, 2)
+        ids = pa.array([f[0] for f in found], pa.int64()).take(pa.array(spread))
+        rows = np.array([f[1] for f in found], np.int64)[spread]
+        return pa.RecordBatch.from_arrays([ids, pa.array(rows), pa.array(no.astype(np.int32)), *map(pa.array, lists), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = Ends()
         for batch in batches:
-            rows, digests = [], []
+            found, waiting = [], 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                i, t = doc_id.as_py(), text.as_py()
-                if not t:
-                    continue
-                row = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
-                for no, (start, end, words, digest) in enumerate(cut(t, pattern, ends)):
-                    rows.append((i, row, no, start, end, words))
-                    digests.append(digest)
-                    if len(rows) >= ROWS_AT_ONCE:
-                        yield batch_of(rows, digests)
-                        rows, digests = [], []
-            if rows:
-                yield batch_of(rows, digests)
+                t = text.as_py()
+                got = cut(t, pattern) if t else ([],)
+                if got[0]:
+                    found.append((doc_id.as_py(), xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63), *got))
+                    waiting += len(got[0])
+                if waiting >= ROWS_AT_ONCE:
+                    yield batch_of(found)
+                    found, waiting = [], 0
+            if found:
+                yield batch_of(found)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, row long, no int, start int, end int, words int, h1 long, h2 long")
 
