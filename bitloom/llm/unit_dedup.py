@@ -8,6 +8,9 @@ Digests are grouped over the whole table, the occurrence that is earliest by (do
 and later ones go, if their run of neighbouring repeated units has at least least_words words: so a
 short phrase that two texts share by chance stays, and a long passage goes whatever its units.
 
+Whole lines and paragraphs are no phrases: remove_repeats decides them by their own digest too, and
+each later occurrence of one of least_whole words or more goes, whatever stands beside it.
+
 The least place per digest is aggregated before it is shuffled, and the units meet it in a join, so
 a line that a third of all documents hold is never gathered in one task.
 
@@ -19,6 +22,7 @@ a text in which all goes becomes empty; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -33,6 +37,8 @@ from bitloom.llm.common import Scratch
 #: Cuts between units; no character belongs to a cut.
 UNITS = {"paragraph": r"(?<=\n)(?=\n)", "line": r"(?<=\n)", "sentence": r"(?<=\n)|(?<=[.!?])(?= )"}
 LEAST_WORDS = 20
+#: Words of the shortest whole line or paragraph that goes by its own digest.
+LEAST_WHOLE = 5
 #: Words of the longest unit that isn't cut further.
 LONGEST = 16
 WORD = re.compile(r"\S+")
@@ -84,7 +90,7 @@ def cut(text: str, unit: re.Pattern, longest: int = LONGEST) -> tuple[list[int],
     return starts, ends, counts, digests
 
 
-def units(docs: DataFrame, unit: str) -> DataFrame:
+def units(docs: DataFrame, unit: str, longest: int = LONGEST) -> DataFrame:
     """doc_id, row (a hash of the text), no, start, end, words and the digest's halves, of each unit."""
     pattern = re.compile(UNITS[unit])
     names = ["doc_id", "row", "no", "start", "end", "words", "h1", "h2"]
@@ -105,7 +111,7 @@ def units(docs: DataFrame, unit: str) -> DataFrame:
             found, waiting = [], 0
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 t = text.as_py()
-                got = cut(t, pattern) if t else ([],)
+                got = cut(t, pattern, longest) if t else ([],)
                 if got[0]:
                     found.append((doc_id.as_py(), xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63), *got))
                     waiting += len(got[0])
@@ -118,17 +124,21 @@ def units(docs: DataFrame, unit: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, row long, no int, start int, end int, words int, h1 long, h2 long")
 
 
-def repeated_runs(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
-    """The spans to remove: doc_id, row, start, end (code points of the original text, end exclusive),
-    n_units, n_words, kept_doc_id, the document that keeps the longest unit, and kept_in, the ids of all
-    that keep one."""
-    found = units(docs, unit)
+def _later(found: DataFrame) -> DataFrame:
+    """Of units: doc_id, row, no, start, end and words of those whose digest has an earlier place, and keeper, its document."""
     place = F.struct("doc_id", "row", "start")
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # Written and read again, both sides of the join come from plain exchanges, whose hot partitions can be split.
-    first = Scratch(docs.sparkSession).keep(first)
+    first = Scratch(found.sparkSession).keep(first)
     later = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    later = later.select("doc_id", "row", "no", "start", "end", "words", F.col("first.doc_id").alias("keeper"))
+    return later.select("doc_id", "row", "no", "start", "end", "words", F.col("first.doc_id").alias("keeper"))
+
+
+def repeated_runs(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
+    """The spans to remove: doc_id, row, start, end (code points of the original text, end exclusive),
+    n_units, n_words, kept_doc_id, the document that keeps the longest unit, and kept_in, the ids of all
+    that keep one."""
+    later = _later(units(docs, unit))
     # Neighbouring numbers less their rank are equal; a row that stands there twice has one rank.
     run = F.col("no") - F.dense_rank().over(Window.partitionBy("doc_id", "row").orderBy("no"))
     # Rows that are equal count once.
@@ -144,6 +154,21 @@ def repeated_runs(docs: DataFrame, unit: str = "sentence", least_words: int = LE
     return spans.where(F.col("n_words") >= least_words).drop("run")
 
 
+def repeated_wholes(docs: DataFrame, least_whole: int = LEAST_WHOLE) -> DataFrame:
+    """The whole lines and paragraphs of least_whole words or more that stand earlier too: doc_id, row, start, end, words, keeper."""
+    parts = [_later(units(docs, unit, sys.maxsize).where(F.col("words") >= least_whole)) for unit in ("line", "paragraph")]
+    return parts[0].unionByName(parts[1]).drop("no").distinct()
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """doc_id, row, start, end of the spans' union: those that overlap become one."""
+    upto = Window.partitionBy("doc_id", "row").orderBy("start", "end")
+    apart = F.coalesce(F.max("end").over(upto.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
+    group = F.sum(F.col("apart").cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, 0))
+    marked = spans.select("doc_id", "row", "start", "end").withColumn("apart", apart).withColumn("group", group)
+    return marked.groupBy("doc_id", "row", "group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("group")
+
+
 def without(text: Column, spans: Column) -> Column:
     """The text without the characters of disjoint ascending spans (start, end)."""
 
@@ -154,10 +179,13 @@ def without(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
 
 
-def remove_repeats(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with the repeats cut out of text, and `removed`, their spans in the original text."""
+def remove_repeats(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, least_whole: int = LEAST_WHOLE) -> DataFrame:
+    """docs with the repeats cut out of text, and `removed`, their spans in the original text: runs of
+    repeated units, and repeated whole lines and paragraphs."""
     row = F.udf(lambda t: None if t is None else xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63), "long")
-    spans = repeated_runs(docs, unit, least_words).groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+    names = ["doc_id", "row", "start", "end"]
+    spans = _merged(repeated_runs(docs, unit, least_words).select(*names).unionByName(repeated_wholes(docs, least_whole).select(*names)))
+    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
     keyed = docs.drop("removed").withColumn("__key", row("text"))
     both = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left")

@@ -112,3 +112,32 @@ def test_units_against_a_walk():
     for _ in range(300):
         t = "".join(rng.choice(["ab", " ", "  ", ".", "! ", "\n", "c", "é", "? ", " d e f g", " hij"]) for _ in range(rng.randint(0, 60)))
         assert list(zip(*U.cut(t, re.compile(U.UNITS["sentence"]), 5)[:3], strict=True)) == plain_cut(t, 5)
+
+
+def plain_wholes(docs, least):
+    """The words that go if each later whole line or paragraph of `least` words or more goes."""
+    first, out = {}, {}
+    for unit in ("line", "paragraph"):
+        for i, t in sorted({(i, t) for i, t in docs if t}):
+            for a, b, n, h in zip(*U.cut(t, re.compile(U.UNITS[unit]), 10**9), strict=True):
+                if n >= least and first.setdefault((unit, h), (i, a)) != (i, a):
+                    out.setdefault(i, set()).update(range(a, b))
+    return out
+
+
+def test_short_whole_lines_between_unique_lines(spark):
+    rng = random.Random(12)
+    own = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(8))
+    licence = "Licensed under the terms of the example public licence, version two."
+    menu = "Home\nAbout us\nContact now"
+    docs = [(i, f"{own()}\n{licence}\n{own()}\n\n{menu}\n\n{own()} yes it is") for i in range(12)] + [(20, f"{own()}\nyes it is\n{own()}"), (21, f"{own()}\nyes it is\n{own()}"), (22, f"{licence} {own()}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in U.remove_repeats(df).collect()}
+    assert licence in got[0].text and menu in got[0].text and got[0].removed is None
+    for i in range(1, 12):
+        assert licence not in got[i].text and "Contact" not in got[i].text and got[i].text.count("yes it is") == 1
+    # Lines of under five words stay, as does a phrase that is only part of a line.
+    assert "yes it is" in got[21].text and licence in got[22].text
+    gone = plain_wholes(docs, U.LEAST_WHOLE)
+    assert {i: {k for a, b in r.removed for k in range(a, b)} for i, r in got.items() if r.removed} == gone and gone
+    assert all(a[1] <= b[0] for r in got.values() for a, b in zip(r.removed or [], (r.removed or [])[1:], strict=False))
