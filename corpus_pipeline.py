@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from bitloom.llm import language_id, mixing, near_dedup, piece_codec, secret_scan
 from bitloom.llm.common import Scratch, documents
 
-#: Target weights over the natural shares of the domains, and the tokens wanted over those that come in.
-WEIGHTS = {"clean": 1.05, "low": 0.8, "toxic": 0.8}
+#: Tokens wanted from the mixture, over those that come in.
 BUDGET = 1.1
 
 
@@ -42,11 +41,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def to_target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates say, towards the target weights of clean, low and toxic text.
 
-    Targets follow the natural shares, so that whatever these are, no document is taken many times and
-    clean ones have rates of about 1 or more."""
+    The weights are mixing.TARGETS, whatever the natural shares are. A domain's documents have rates of
+    about BUDGET times its target over its natural share, which the budget alone holds down."""
     domains = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     model = mixing.learn(docs, domains, mixing.LABEL_DOMAINS)
-    return mixing.resampled(docs, model, WEIGHTS, BUDGET, relative=True)
+    return mixing.resampled(docs, model, mixing.TARGETS, BUDGET)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

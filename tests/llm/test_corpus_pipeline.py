@@ -100,3 +100,16 @@ def test_stages_keep_extra_and_clashing_columns_and_empty_tables(spark, tmp_path
         assert {x.doc_id for x in docs.collect()} <= {1}
         assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() <= 2
     assert [n for n, _ in C.STAGES] == ["language_id", "near_dedup", "secret_scan", "source_mixing", "piece_encoding"]
+
+
+@pytest.mark.parametrize("natural", [(0.5, 0.3, 0.2), (0.8, 0.1, 0.1), (0.0, 0.0, 1.0)])
+def test_the_mixture_meets_its_targets_whatever_the_natural_shares(spark, tmp_path, natural):
+    rng = random.Random(13)
+    own = {"clean": ["rose", "ruby", "coral"], "low": ["sky", "sea", "lake"], "toxic": ["moss", "leaf", "grass"]}
+    domain = [d for d, share in zip(M.LABEL_DOMAINS, natural, strict=True) for _ in range(round(1000 * share))]
+    docs = [(i, " ".join(rng.choice(own[d] + ["the", "of"]) for _ in range(20)), "aa", "s", 1) for i, d in enumerate(domain)]
+    labels = [(i, int(d == "clean"), int(d == "toxic")) for i, d in enumerate(domain)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = C.to_target_mixture(spark, spark.createDataFrame(docs, SCHEMA).repartition(3), str(tmp_path)).collect()
+    got = [sum(domain[x.doc_id] == d for x in out) / len(docs) for d in M.LABEL_DOMAINS]
+    assert got == pytest.approx([C.BUDGET * M.TARGETS[d] * (share > 0) for d, share in zip(M.LABEL_DOMAINS, natural, strict=True)], abs=0.03)
