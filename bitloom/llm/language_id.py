@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PROFILE = 400
+#: Score up to which a text is in none of the learnt languages. Of 2,499 held-out documents of sf0.1 all with a letter score
+#: 0.468 or more, cuts of 2 to 50 words 0.440 or more; Finnish, Polish and Turkish 0.254 at most, base64 0.170.
+LEAST = 0.35
 UNKNOWN = "und"
 BLANK = ord(" ")
 _BITS = 21

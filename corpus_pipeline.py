@@ -21,7 +21,7 @@ BUDGET = 1.1
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or unlike every language learnt from the labelled ones, go."""
-    return language_id.keep_known(docs, language_id.learn(docs.select("text", "lang")))
+    return language_id.keep_known(docs, language_id.learn(docs.select("text", "lang")), language_id.LEAST)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

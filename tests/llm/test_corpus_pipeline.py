@@ -113,3 +113,17 @@ def test_the_mixture_meets_its_targets_whatever_the_natural_shares(spark, tmp_pa
     out = C.to_target_mixture(spark, spark.createDataFrame(docs, SCHEMA).repartition(3), str(tmp_path)).collect()
     got = [sum(domain[x.doc_id] == d for x in out) / len(docs) for d in M.LABEL_DOMAINS]
     assert got == pytest.approx([C.BUDGET * M.TARGETS[d] * (share > 0) for d, share in zip(M.LABEL_DOMAINS, natural, strict=True)], abs=0.03)
+
+
+def test_texts_of_languages_not_learnt_go(spark):
+    known = [d for d in corpus(random.Random(14)) if d[2] and len(d[1] or "") > 20]
+    short = [(6000 + i, " ".join(d[1].replace("#", "").split()[:4]), None, "s", 1) for i, d in enumerate(known)]
+    strange = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах a",
+        "aGVsbG8gd29ybGQgYmFzZTY0IGp1bmsgd2l0aG91dCBhbnkgbWVhbmluZyBhdCBhbGwsIGl0IGp1c3QgZ29lcyBvbg==",
+    ]
+    rows = [*known, *short, *((9000 + i, t, None, "s", 1) for i, t in enumerate(strange))]
+    got = {x.doc_id for x in C.known_language(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect()}
+    assert got == {d[0] for d in known + short}
