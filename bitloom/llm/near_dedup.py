@@ -12,7 +12,8 @@ proposes and that could join two components is left out.
 
 Defined results: a null or blank text has an empty set, is linked with nothing and kept; a text of
 fewer words than a shingle is one shingle of them all; rows of equal id count as one document;
-a null id takes part through its text but is never a class id unless nothing else is in the class;
+a null id is in the class of the documents with an id that have its very shingles, and is never a class
+id there; without such a document it is linked with nothing and kept, also beside near copies;
 an empty table gives an empty result; other columns are ignored.
 """
 

@@ -113,3 +113,11 @@ def test_very_long_text(spark):
     long = " ".join(map(str, range(60_000)))
     df = spark.createDataFrame([(1, long), (2, long + " x"), (3, "x y")], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in N.near_duplicates(df, 2).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_null_ids_meet_exact_copies_only(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join([*words[:-1], "y"])]
+    df = spark.createDataFrame([(5, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2])], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 5, True), (None, 5, False), (None, None, True), (None, None, True)], key=str)
