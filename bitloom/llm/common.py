@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.functions.columns import let, spread  # noqa: F401
+
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def words(text: Column) -> Column:
@@ -22,23 +26,30 @@ def words(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, SPACE_RUN)).otherwise(F.array().cast("array<string>"))
 
 
-def let(value: Column, body) -> Column:
-    """body(value), where value is evaluated once even if body names it inside other lambdas."""
-    return F.transform(F.array(value), body)[0]
-
-
 def bucket_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def apart(docs: DataFrame, *own: str) -> DataFrame:
+    """docs with columns other than `own` named c0, c1 and so on by place, so that no name clashes with an operator's."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in own else f"c{i}") for i, c in enumerate(docs.columns)))
+
+
+def together(df: DataFrame, like: DataFrame, *own: str) -> DataFrame:
+    """The columns of `like` out of a table made from apart(like, *own), with their names."""
+    return df.select(*(F.col(c if c in own else f"c{i}").alias(c) for i, c in enumerate(like.columns)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors both reach, under spark.checkpoint.dir.
 
-    Only where the cluster names none (tests in one process) a local folder is set.
+    Only where driver and executors are one process, as in tests, a local folder stands in for an unset one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "/tmp/bitloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -49,11 +60,16 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables written once and read again, so that lineage is cut and work isn't repeated.
 
-    They lie in the shared folder, hence outlive any executor.
+    They lie in the shared folder, hence outlive any executor. What a result still reads can't be dropped
+    by the operator that returns it: `dropped_after` does so once the caller has written the result.
     """
 
+    _open: list[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, shared_folder(spark), 0
+        for made in Scratch._open:
+            made.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
@@ -61,7 +77,21 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
+    def drop(self, n: int | None = None) -> None:
+        """The n-th table, or all."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
+        path = jvm.org.apache.hadoop.fs.Path(self.base if n is None else f"{self.base}/{n}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def dropped_after() -> Iterator[None]:
+    """Drops, at its end, the work tables of all operators called inside; their results must be written by then."""
+    made: list[Scratch] = []
+    Scratch._open.append(made)
+    try:
+        yield
+    finally:
+        Scratch._open.remove(made)
+        for scratch in made:
+            scratch.drop()
