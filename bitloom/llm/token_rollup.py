@@ -8,22 +8,31 @@ written again from scratch. Old batches may be compacted into one.
 
 Everything lies under one path that driver and executors share, and is written by Spark.
 
+A record is written aside and renamed to its place, where a rename never replaces a file: so it appears
+whole or not at all, and of two writers of one batch id one commits. That holds where renaming is one
+step, as in HDFS; an object store needs a conditional put in its place.
+
 Defined results: null source, language or version is a key of its own; a null count is 0; events of
 unknown kind fail the batch; an empty batch commits; keys whose documents all went keep a row of
-zeros; repeated events in a batch count each time (an exactly-once feed is the caller's); other
-columns are ignored.
+zeros; repeated events in a batch count each time (an exactly-once feed is the caller's); a null text has no
+tokens and is no copy of another; texts of equal SHA-256 are copies; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The tokenizer version that has a token for each byte.
+BYTES = "utf8_bytes"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public split pattern that goes with the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -75,78 +84,93 @@ class Rollup:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def _rename(self, a: str, b: str) -> bool:
-        make = self.spark._jvm.org.apache.hadoop.fs.Path
-        return make(a).getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(make(a), make(b))
-
     def _record(self, batch: str) -> str:
-        return f"{self.path}/commits/{batch}"
+        return f"{self.path}/commits/{batch}.json"
 
     def committed(self, batch: str) -> bool:
         return self._exists(self._record(batch))
 
-    def _commit(self, batch: str, replaces: list[str]) -> None:
-        """The record appears whole or not at all: it is written aside and renamed."""
-        aside = f"{self.path}/pending/{batch}"
-        self.spark.createDataFrame([(batch, replaces)], "batch string, replaces array<string>").coalesce(1).write.mode("overwrite").parquet(aside)
-        commits = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        commits.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(commits)
-        if not self.committed(batch) and not self._rename(aside, self._record(batch)):
-            raise OSError(f"can't commit {batch}")
+    def _commit(self, batch: str, replaces: list[str], part: str) -> bool:
+        """The batch's record: which part holds its deltas, and which batches it replaces."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        hadoop = jvm.org.apache.hadoop.fs
+        record, aside = hadoop.Path(self._record(batch)), hadoop.Path(f"{self.path}/pending/{uuid.uuid4().hex}.json")
+        fs = record.getFileSystem(conf)
+        fs.mkdirs(record.getParent())
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps({"batch": batch, "part": part, "replaces": replaces}).encode()))
+        out.close()
+        record, aside = fs.makeQualified(record), fs.makeQualified(aside)
+        try:
+            never = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+            hadoop.FileContext.getFileContext(record.toUri(), conf).rename(aside, record, never)
+        except Py4JJavaError:
+            if self.committed(batch):
+                return False
+            raise
+        return True
+
+    def _written(self, rows: DataFrame) -> str:
+        """A part of its own for each attempt, so that attempts never mix."""
+        part = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/deltas/{part}")
+        return part
 
     def apply(self, batch: str, events: DataFrame) -> bool:
         """Commits the batch; False if it is committed already."""
-        if self.committed(batch):
-            return False
-        deltas(events).write.mode("overwrite").parquet(f"{self.path}/deltas/{batch}")
-        self._commit(batch, [])
-        return True
+        return not self.committed(batch) and self._commit(batch, [], self._written(deltas(events)))
 
-    def _live(self) -> list[str]:
-        """Committed batches that no compacted one replaces."""
+    def _live(self) -> dict[str, str]:
+        """Batch to part, of committed batches that no compacted one replaces."""
         if not self._exists(f"{self.path}/commits"):
-            return []
-        rows = self.spark.read.schema("batch string, replaces array<string>").parquet(f"{self.path}/commits/*").collect()  # one row a batch
+            return {}
+        rows = self.spark.read.schema("batch string, part string, replaces array<string>").json(f"{self.path}/commits").collect()  # one row a batch
         gone = {b for r in rows for b in r["replaces"]}
-        return sorted(r["batch"] for r in rows if r["batch"] not in gone)
+        return {r["batch"]: r["part"] for r in rows if r["batch"] not in gone}
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens."""
         live = self._live()
         if not live:
             return self.spark.createDataFrame([], DELTA)
-        all_ = self.spark.read.schema(DELTA).parquet(*(f"{self.path}/deltas/{b}" for b in live))
+        all_ = self.spark.read.schema(DELTA).parquet(*(f"{self.path}/deltas/{part}" for part in sorted(live.values())))
         return all_.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self, name: str) -> None:
         """One batch in place of all live ones."""
         live = self._live()
         if live and not self.committed(name):
-            self.totals().write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
-            self._commit(name, live)
+            self._commit(name, sorted(live), self._written(self.totals()))
 
 
 def replayed_corpus(docs: DataFrame, path: str, vocabulary: dict[bytes, int], version: str) -> DataFrame:
-    """Totals of the documents after three batches: all are inserted; those of several lines are revised
-    to the count of the text put on one line; copies of a text are deleted but for the smallest id.
-    The second batch comes twice."""
+    """Totals of the documents, by two tokenizer versions (the vocabulary's, and one token a byte of UTF-8), after
+    three batches: all are inserted; those of several lines are revised to the count of the text put on
+    one line; copies of a text are deleted but for the smallest id. The second batch comes twice."""
     from bitloom.llm.common import Scratch
 
-    spark = docs.sparkSession
+    spark, work = docs.sparkSession, Scratch(docs.sparkSession)
     line = F.replace("text", F.lit("\n"), F.lit(" "))
-    plain = docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), "text", (F.instr("text", "\n") > 0).alias("several"))
+    plain = docs.select("doc_id", "source", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("copy"), "text", (F.instr("text", "\n") > 0).alias("several"))
     counted = count_tokens(plain, vocabulary).withColumn("text", line).withColumnRenamed("n_tokens", "old_tokens")
-    counted = count_tokens(counted, vocabulary).drop("text").withColumn("version", F.lit(version))
-    counted = Scratch(spark).keep(counted)
+    # The two characters that change places are of one byte each.
+    counted = count_tokens(counted, vocabulary).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).drop("text")
+    counted = work.keep(counted)
+    ways = F.array(F.struct(F.lit(version).alias("version"), "n_tokens", "old_tokens"), F.struct(F.lit(BYTES).alias("version"), F.col("n_bytes").alias("n_tokens"), F.col("n_bytes").alias("old_tokens")))
     rollup = Rollup(spark, path)
-    event = lambda df, kind, new, old: df.select(F.lit(kind).alias("kind"), *KEYS, new.alias("n_tokens"), old.alias("old_tokens"))
-    rollup.apply("insert", event(counted, "insert", F.col("old_tokens"), F.lit(None).cast("long")))
+    none = F.lit(None).cast("long")
+
+    def event(df: DataFrame, kind: str, new: Column, old: Column) -> DataFrame:
+        each = df.select("source", "lang", "several", F.explode(ways).alias("w")).select("source", "lang", "several", "w.*")
+        return each.select(F.lit(kind).alias("kind"), *KEYS, new.alias("n_tokens"), old.alias("old_tokens"))
+
+    rollup.apply("insert", event(counted, "insert", F.col("old_tokens"), none))
     revised = event(counted.where("several"), "revise", F.col("n_tokens"), F.col("old_tokens"))
     for _ in range(2):
         rollup.apply("revise", revised)
-    copies = counted.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = Scratch(spark).keep(copies)
-    gone = counted.join(copies, ["h1", "h2"]).where(F.col("doc_id") > F.col("first"))
+    copies = counted.where("copy IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = counted.join(work.keep(copies), "copy").where(F.col("doc_id") > F.col("first"))
     now = F.when(F.col("several"), F.col("n_tokens")).otherwise(F.col("old_tokens"))
-    rollup.apply("delete", event(gone, "delete", F.lit(None).cast("long"), now))
+    rollup.apply("delete", event(gone, "delete", none, now))
+    work.drop()
     return rollup.totals()

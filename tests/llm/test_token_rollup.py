@@ -58,6 +58,20 @@ def test_a_batch_that_died_before_its_record(spark, tmp_path):
     assert r.apply("b", df) and state(r) == plain([b])
 
 
+def test_two_writers_of_one_batch(spark, tmp_path):
+    r = K.Rollup(spark, str(tmp_path / "r"))
+    b = events(random.Random(4), 20)
+    mine, other = (r._written(K.deltas(spark.createDataFrame(b, EVENTS))) for _ in range(2))
+    assert r._commit("b", [], mine) and not r._commit("b", [], other)
+    assert r._live() == {"b": mine} and state(r) == plain([b])
+
+
+def test_very_long_text(spark):
+    vocabulary = {bytes([i]): i for i in range(256)}
+    df = spark.createDataFrame([(1, "ab cd " * 200_000), (2, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.n_tokens) for r in K.count_tokens(df, vocabulary).collect()} == {(1, 1_200_000), (2, 0)}
+
+
 def test_unknown_kind_fails_and_commits_nothing(spark, tmp_path):
     r = K.Rollup(spark, str(tmp_path / "r"))
     with pytest.raises(PySparkException):
@@ -76,12 +90,13 @@ def test_corpus_replay_against_plain_counts(spark, tmp_path):
     docs = [(i, rng.choice([None, "", "one line", "two\nlines", "é 😀\n\nx", f"own {i}"]), rng.choice(["s0", None]), "en", 1) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_tokens long")
     got = {tuple(x) for x in K.replayed_corpus(df, str(tmp_path / "r"), vocabulary, "v").collect()}
-    first, want, n = {}, Counter(), Counter()
+    first, want, size, n = {}, Counter(), Counter(), Counter()
     for i, t, s, _, _ in docs:
         n[s] += 0
-        if first.setdefault(t, i) == i:
+        if t is None or first.setdefault(t, i) == i:  # null texts are no copies of each other
             n[s] += 1
             want[s] += count((t or "").replace("\n", " "))
-    assert got == {(s, "en", "v", n[s], want[s]) for s in n}
+            size[s] += len((t or "").encode())
+    assert got == {(s, "en", "v", n[s], want[s]) for s in n} | {(s, "en", K.BYTES, n[s], size[s]) for s in n}
     assert K.replayed_corpus(df.limit(0), str(tmp_path / "e"), vocabulary, "v").count() == 0
     assert K.count_tokens(df, vocabulary).agg(F.sum("n_tokens")).first()[0] == sum(count(t or "") for _, t, *_ in docs)
