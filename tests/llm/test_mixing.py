@@ -44,7 +44,8 @@ def test_rates_against_a_plain_solver(spark, model):
     rows = corpus(random.Random(2), 300)
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     want = {"a": 0.4, "b": 0.4, "c": 0.2}
-    got = M.mixed(df, model, want).collect()
+    rows_, plan = M.mixed(df, model, want)
+    got = rows_.collect()
     p, n = np.array([r.posterior for r in got]), np.array([r.n_tokens for r in got], float)
     assert [r.n_tokens for r in got] == [len(r.text.split()) for r in got]
     assert np.allclose(p.sum(1), 1) and np.allclose(p * M.RESOLUTION, np.round(p * M.RESOLUTION))
@@ -53,6 +54,30 @@ def test_rates_against_a_plain_solver(spark, model):
     assert rates == pytest.approx(plain_solution(p, n, np.array([0.4, 0.4, 0.2]), 1e-3), abs=0.02)
     assert (n * rates) @ p / n.sum() == pytest.approx([0.4, 0.4, 0.2], abs=0.01)
     assert all(r.copies in (math.floor(r.rate), math.floor(r.rate) + 1) for r in got)
+    assert plan.reached == pytest.approx((0.4, 0.4, 0.2), abs=0.01) and plan.wanted == pytest.approx((0.4, 0.4, 0.2))
+
+
+def test_bounded_rates_fall_short_by_a_known_figure(spark, model):
+    df = spark.createDataFrame(corpus(random.Random(5), 300), SCHEMA).repartition(4)
+    rows, plan = M.mixed(df, model, {"a": 0.1, "b": 0.1, "c": 0.8}, most=2.0)
+    got = rows.collect()
+    assert max(r.rate for r in got) <= 2 and max(r.copies for r in got) <= 2
+    p, n, rates = np.array([r.posterior for r in got]), np.array([r.n_tokens for r in got], float), np.array([r.rate for r in got])
+    assert (n * rates) @ p / n.sum() == pytest.approx(plan.reached, abs=1e-6)
+    assert plan.reached[2] < 0.5 < plan.wanted[2]
+
+
+def test_a_few_telling_words_count_alike_in_short_and_long_texts():
+    rng = random.Random(8)
+    stock = [f"w{i}" for i in range(3000)]
+    text = lambda n, own: " ".join([*(rng.choice(stock) for _ in range(n)), *own])
+    rows = [(text(rng.choice([30, 100, 500, 1500]), own), d) for d, own in (("a", ()), ("b", ("vile", "foul"))) for _ in range(300)]
+    m = M.train([t for t, _ in rows], [d for _, d in rows], ("a", "b"), {"a": 300, "b": 300})
+    marks = M.Marks()
+    for n in (20, 200, 2000):
+        hit = [m.posterior(M.features(text(n, own), marks))[1] > 0.5 for own in ((), ("vile", "foul")) for _ in range(50)]
+        assert np.mean(hit[:50]) < 0.1 and np.mean(hit[50:]) > 0.9, n
+
 
 
 def test_posteriors_on_held_out_rows(model):
@@ -78,7 +103,7 @@ def test_learning_and_resampling(spark):
     assert np.allclose(m.weights, M.learn(df.repartition(7), df.repartition(7), ("a", "b", "c")).weights)
     out = M.resampled(df, m, {"a": 0.4, "b": 0.4, "c": 0.2})
     assert out.columns == df.columns
-    full = {r.doc_id: r.copies for r in M.mixed(df, m, {"a": 0.4, "b": 0.4, "c": 0.2}).collect()}
+    full = {r.doc_id: r.copies for r in M.mixed(df, m, {"a": 0.4, "b": 0.4, "c": 0.2})[0].collect()}
     assert len(full) == len(rows)
     assert Counter(r.doc_id for r in out.select("doc_id").collect()) == Counter({i: c for i, c in full.items() if c})
 
@@ -91,7 +116,7 @@ def test_label_domains(spark):
 def test_degenerate_tables(spark):
     df = spark.createDataFrame([(1, "a b", "a", 0.0), (2, None, "a", 0.0)], SCHEMA)
     one = M.learn(df, df, ("a", "b"))
-    assert {(r.doc_id, r.n_tokens, r.rate > 0) for r in M.mixed(df, one, {"a": 1.0, "b": 0.0}).collect()} == {(1, 2, True), (2, 0, True)}
+    assert {(r.doc_id, r.n_tokens, r.rate > 0) for r in M.mixed(df, one, {"a": 1.0, "b": 0.0})[0].collect()} == {(1, 2, True), (2, 0, True)}
     none = M.learn(df.limit(0), df.limit(0), ("a", "b"))
-    assert M.mixed(df.limit(0), none, {"a": 1.0, "b": 1.0}).count() == 0
-    assert M.mixed(df.where(F.col("text").isNull()), one, {"a": 1.0}).first().rate == 1.0
+    assert M.mixed(df.limit(0), none, {"a": 1.0, "b": 1.0})[0].count() == 0
+    assert M.mixed(df.where(F.col("text").isNull()), one, {"a": 1.0})[0].first().rate == 1.0
