@@ -1,28 +1,28 @@
-"""Substring dedup by hashing lines, paragraphs or the sentences of lines.
+"""Substring dedup by hashing lines and paragraphs, and the pieces of which they are made.
 
-A text is cut into units; a unit's digest is of its words, lower-cased and joined by single blanks. A
-unit of over LONGEST words is cut further after words chosen by their own letters, so that a
-passage without ends, or put into the midst of a sentence, is cut alike wherever it stands.
+A text is cut into paragraphs, and these into lines. A unit's digest is of its words, lower-cased and
+joined by single blanks; digests are grouped over the whole table, the occurrence that is earliest by
+(document, offset) stays, and each later line or paragraph of `least_whole` words or more goes.
 
-Digests are grouped over the whole table, the occurrence that is earliest by (document, offset) stays
-and later ones go, if their run of neighbouring repeated units has at least least_words words: so a
-short phrase that two texts share by chance stays, and a long passage goes whatever its units.
+Passages that stand amid other lines have no line of their own. So lines are also cut at the ends of
+sentences, and a sentence of over `longest` words after words chosen by their own letters, so that a
+passage is cut alike wherever it stands. Pieces are grouped with the lines; later ones go, if their run
+of neighbouring later pieces has at least `least_words` words: so a short phrase that two texts share by
+chance stays, and a long passage goes whatever its pieces. `pieces=False` leaves this out.
 
-Whole lines and paragraphs are no phrases: remove_repeats decides them by their own digest too, and
-each later occurrence of one of least_whole words or more goes, whatever stands beside it.
+The least place per digest is aggregated before it is shuffled, and what was cut meets it in a join. A digest
+that very many places have is dealt out over SALTS shares there, so a line that a third of all documents
+hold is never gathered in one task. What was cut is written once, and read for both.
 
-The least place per digest is aggregated before it is shuffled, and the units meet it in a join, so
-a line that a third of all documents hold is never gathered in one task.
-
-Defined results: null and blank texts have no units; rows equal in id and text are one document;
+Defined results: null and blank texts have no lines; rows equal in id and text are one document;
 documents of equal id and different text are ranked by a hash of the text; a null id ranks first;
-a text in which all goes becomes empty; an empty table gives an empty result.
+a text in which all goes becomes empty; an empty table gives an empty result; other columns stay as
+they are, whatever their names, in `remove_repeats`, but for `removed`, which it replaces.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
@@ -32,15 +32,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import Scratch
+from bitloom.llm.common import Scratch, apart
 
 #: Cuts between units; no character belongs to a cut.
-UNITS = {"paragraph": r"(?<=\n)(?=\n)", "line": r"(?<=\n)", "sentence": r"(?<=\n)|(?<=[.!?])(?= )"}
+PARAGRAPHS, LINES, SENTENCES = (re.compile(x) for x in (r"(?<=\n)(?=\n)", r"(?<=\n)", r"(?<=[.!?])(?= )"))
+#: Words of the shortest run of later pieces that goes.
 LEAST_WORDS = 20
-#: Words of the shortest whole line or paragraph that goes by its own digest.
+#: Words of the shortest line or paragraph that goes by its own digest.
 LEAST_WHOLE = 5
-#: Words of the longest unit that isn't cut further.
+#: Words of the longest piece that isn't cut further.
 LONGEST = 16
+#: What a row is; a line of one piece is both.
+PIECE, LINE, PARAGRAPH = 1, 2, 4
+#: A digest with at least so many places, and over 1 / HOT_SHARE of all repeated ones', is dealt out over SALTS shares; so there are at most HOT_SHARE.
+LEAST_HOT, HOT_SHARE, SALTS = 10_000, 1000, 256
 WORD = re.compile(r"\S+")
 ROWS_AT_ONCE = 200_000
 
@@ -64,56 +69,86 @@ def _places(part: str, lead: int) -> tuple[list[int], list[int]]:
     return [b - n for b, n in zip(ends, sizes, strict=True)], ends
 
 
-def cut(text: str, unit: re.Pattern, longest: int = LONGEST) -> tuple[list[int], list[int], list[int], list[bytes]]:
-    """starts, ends, words and digests of the units that have words; a unit's outer white space isn't in its span."""
-    starts, ends, counts, digests = [], [], [], []
+def cut(text: str, pieces: bool = True, least_whole: int = LEAST_WHOLE, longest: int = LONGEST) -> tuple[list[int], ...]:
+    """starts, ends, numbers, words, kinds and digests of what a text is cut into; outer white space isn't in a span.
+
+    Pieces are numbered in order; a line or paragraph of several pieces has the first one's number. A
+    paragraph of one line isn't listed beside it. Without pieces each line is one piece."""
+    starts, ends, nos, counts, kinds, digests = [], [], [], [], [], []
+
+    def add(start: int, end: int, no: int, words: list[str], kind: int) -> None:
+        starts.append(start)
+        ends.append(end)
+        nos.append(no)
+        counts.append(len(words))
+        kinds.append(kind)
+        digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+
+    at = no = 0
+    for paragraph in PARAGRAPHS.split(text):
+        seen: list[list[str]] = []
+        begin = stop = first_no = 0
+        for line in LINES.split(paragraph):
+            all_ = line.lower().split()
+            if all_:
+                start, end, own_no = at + len(line) - len(line.lstrip()), at + len(line.rstrip()), no
+                if not seen:
+                    begin, first_no = start, no
+                stop = end
+                seen.append(all_)
+                kind = LINE if len(all_) >= least_whole else 0
+                parts = [p for p in _sentences(line) if p[1]] if pieces else [(0, all_, line)]
+                for lead, words, part in parts:
+                    if pieces and len(words) > longest:
+                        a, b = _places(part, len(part) - len(part.lstrip()))
+                        last = 0
+                        for upto in _cuts(words):
+                            add(at + lead + a[last], at + lead + b[upto - 1], no, words[last:upto], PIECE)
+                            no += 1
+                            last = upto
+                    else:
+                        add(at + lead + len(part) - len(part.lstrip()), at + lead + len(part.rstrip()), no, words, PIECE)
+                        no += 1
+                if no == own_no + 1:
+                    kinds[-1] |= kind
+                elif kind:
+                    add(start, end, own_no, all_, LINE)
+            at += len(line)
+        if len(seen) > 1 and sum(map(len, seen)) >= least_whole:
+            add(begin, stop, first_no, [w for words in seen for w in words], PARAGRAPH)
+    return starts, ends, nos, counts, kinds, digests
+
+
+def _sentences(line: str) -> Iterator[tuple[int, list[str], str]]:
+    """Where each part begins in the line, its words, and the part."""
     at = 0
-    for part in unit.split(text):
-        words = part.lower().split()
-        if words:
-            lead = len(part) - len(part.lstrip())
-            if len(words) > longest:
-                a, b = _places(part, lead)
-                first = 0
-                for last in _cuts(words):
-                    starts.append(at + a[first])
-                    ends.append(at + b[last - 1])
-                    counts.append(last - first)
-                    digests.append(xxhash.xxh3_128_digest(" ".join(words[first:last]).encode("utf-8", "surrogatepass")))
-                    first = last
-            else:
-                starts.append(at + lead)
-                ends.append(at + len(part.rstrip()))
-                counts.append(len(words))
-                digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+    for part in SENTENCES.split(line):
+        yield at, part.lower().split(), part
         at += len(part)
-    return starts, ends, counts, digests
 
 
-def units(docs: DataFrame, unit: str, longest: int = LONGEST) -> DataFrame:
-    """doc_id, row (a hash of the text), no, start, end, words and the digest's halves, of each unit."""
-    pattern = re.compile(UNITS[unit])
-    names = ["doc_id", "row", "no", "start", "end", "words", "h1", "h2"]
+def units(docs: DataFrame, pieces: bool = True, least_whole: int = LEAST_WHOLE, longest: int = LONGEST) -> DataFrame:
+    """doc_id, row (a hash of the text), start, end, no, words, kind and the digest's halves, of each piece, line and paragraph."""
+    names = ["doc_id", "row", "start", "end", "no", "words", "kind", "h1", "h2"]
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
         """found: id, row and the lists of cut(), for each document."""
         sizes = [len(f[2]) for f in found]
         spread = np.repeat(np.arange(len(found)), sizes)
-        no = np.arange(len(spread)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        lists = [np.fromiter(chain.from_iterable(f[k] for f in found), np.int32, len(spread)) for k in (2, 3, 4)]
-        halves = np.frombuffer(b"".join(chain.from_iterable(f[5] for f in found)), "<i8").reshape(-1, 2)
+        lists = [np.fromiter(chain.from_iterable(f[k] for f in found), np.int32, len(spread)) for k in range(2, 7)]
+        halves = np.frombuffer(b"".join(chain.from_iterable(f[7] for f in found)), "<i8").reshape(-1, 2)
         ids = pa.array([f[0] for f in found], pa.int64()).take(pa.array(spread))
         rows = np.array([f[1] for f in found], np.int64)[spread]
-        return pa.RecordBatch.from_arrays([ids, pa.array(rows), pa.array(no.astype(np.int32)), *map(pa.array, lists), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names)
+        return pa.RecordBatch.from_arrays([ids, pa.array(rows), *map(pa.array, lists), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, waiting = [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text, row in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 t = text.as_py()
-                got = cut(t, pattern, longest) if t else ([],)
+                got = cut(t, pieces, least_whole, longest) if t else ([],)
                 if got[0]:
-                    found.append((doc_id.as_py(), xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63), *got))
+                    found.append((doc_id.as_py(), row.as_py(), *got))
                     waiting += len(got[0])
                 if waiting >= ROWS_AT_ONCE:
                     yield batch_of(found)
@@ -121,73 +156,84 @@ def units(docs: DataFrame, unit: str, longest: int = LONGEST) -> DataFrame:
             if found:
                 yield batch_of(found)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, row long, no int, start int, end int, words int, h1 long, h2 long")
+    schema = "doc_id long, row long, start int, end int, no int, words int, kind int, h1 long, h2 long"
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(run, schema)
 
 
-def _later(found: DataFrame) -> DataFrame:
-    """Of units: doc_id, row, no, start, end and words of those whose digest has an earlier place, and keeper, its document."""
+def _later(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of units(), the rows whose digest has an earlier place, and keeper, its document."""
+    found = scratch.keep(found)
     place = F.struct("doc_id", "row", "start")
-    first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # Written and read again, both sides of the join come from plain exchanges, whose hot partitions can be split.
-    first = Scratch(found.sparkSession).keep(first)
-    later = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    return later.select("doc_id", "row", "no", "start", "end", "words", F.col("first.doc_id").alias("keeper"))
-
-
-def repeated_runs(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
-    """The spans to remove: doc_id, row, start, end (code points of the original text, end exclusive),
-    n_units, n_words, kept_doc_id, the document that keeps the longest unit, and kept_in, the ids of all
-    that keep one."""
-    later = _later(units(docs, unit))
-    # Neighbouring numbers less their rank are equal; a row that stands there twice has one rank.
+    first = scratch.keep(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    all_ = first.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(first.where(F.col("n") >= max(LEAST_HOT, -(-all_ // HOT_SHARE))).select("h1", "h2", F.lit(True).alias("hot")))
+    share = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(SALTS)).cast("int")).otherwise(0)
+    shares = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    key = ["h1", "h2"]
+    dealt = found.join(hot, key, "left").withColumn("share", share).drop("hot")
+    firsts = first.drop("n").join(hot, key, "left").withColumn("share", shares).drop("hot")
+    later = dealt.join(firsts, [*key, "share"]).where(~place.eqNullSafe(F.col("first")))
+    return later.select("doc_id", "row", "no", "kind", "start", "end", "words", F.col("first.doc_id").alias("keeper"))
+
+
+def repeats(docs: DataFrame, pieces: bool = True, least_words: int = LEAST_WORDS, least_whole: int = LEAST_WHOLE, longest: int = LONGEST) -> DataFrame:
+    """The spans to remove: doc_id, row, start, end (code points of the original text, end exclusive), n_units
+    (pieces of a run; 1 for a line or paragraph by itself), n_words, kept_doc_id, the document that keeps the
+    unit or the run's longest piece, and kept_in, the ids of all that keep one. None lies inside another."""
+    later = _later(units(docs, pieces, least_whole, longest), Scratch(docs.sparkSession))
+    # Rows equal in id and text come several times and count once. Neighbouring numbers less their rank are equal.
+    order = Window.partitionBy("doc_id", "row").orderBy("no", "kind")
+    again = F.coalesce((F.lag("no").over(order) == F.col("no")) & (F.lag("kind").over(order) == F.col("kind")), F.lit(False))
     run = F.col("no") - F.dense_rank().over(Window.partitionBy("doc_id", "row").orderBy("no"))
-    # Rows that are equal count once.
-    own = later.withColumn("run", run).groupBy("doc_id", "row", "run", "no").agg(F.first("start").alias("start"), F.first("end").alias("end"), F.first("words").alias("words"), F.first("keeper").alias("keeper"))
-    spans = own.groupBy("doc_id", "row", "run").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.count(F.lit(1)).alias("n_units"),
-        F.sum("words").alias("n_words"),
-        F.min_by("keeper", F.struct(-F.col("words"), "no")).alias("kept_doc_id"),
-        F.sort_array(F.collect_set("keeper")).alias("kept_in"),
+    ranked = later.withColumn("again", again).withColumn("run", run).where(~F.col("again"))
+    is_piece, is_whole = F.col("kind").bitwiseAND(PIECE) > 0, F.col("kind").bitwiseAND(LINE | PARAGRAPH) > 0
+    of_piece = lambda c: F.when(is_piece, c)
+
+    def span(start: Column, end: Column, n: Column, words: Column, keeper: Column, kept_in: Column) -> Column:
+        """Of spans that start alike the longest comes first."""
+        names = {"start": start, "back": -end, "end": end, "n_units": n.cast("long"), "n_words": words.cast("long"), "kept_doc_id": keeper, "kept_in": kept_in}
+        return F.struct(*(c.alias(k) for k, c in names.items()))
+
+    own = span(F.col("start"), F.col("end"), F.lit(1), F.col("words"), F.col("keeper"), F.array("keeper"))
+    keeper = F.min_by("keeper", of_piece(F.struct(-F.col("words"), "no")))
+    whole_run = span(
+        F.min(of_piece(F.col("start"))),
+        F.max(of_piece(F.col("end"))),
+        F.sum(is_piece.cast("int")),
+        F.coalesce(F.sum(of_piece(F.col("words"))), F.lit(0)),
+        keeper,
+        F.sort_array(F.collect_set(of_piece(F.col("keeper")))),
     )
-    return spans.where(F.col("n_words") >= least_words).drop("run")
-
-
-def repeated_wholes(docs: DataFrame, least_whole: int = LEAST_WHOLE) -> DataFrame:
-    """The whole lines and paragraphs of least_whole words or more that stand earlier too: doc_id, row, start, end, words, keeper."""
-    parts = [_later(units(docs, unit, sys.maxsize).where(F.col("words") >= least_whole)) for unit in ("line", "paragraph")]
-    return parts[0].unionByName(parts[1]).drop("no").distinct()
-
-
-def _merged(spans: DataFrame) -> DataFrame:
-    """doc_id, row, start, end of the spans' union: those that overlap become one."""
-    upto = Window.partitionBy("doc_id", "row").orderBy("start", "end")
-    apart = F.coalesce(F.max("end").over(upto.rowsBetween(Window.unboundedPreceding, -1)) <= F.col("start"), F.lit(True))
-    group = F.sum(F.col("apart").cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, 0))
-    marked = spans.select("doc_id", "row", "start", "end").withColumn("apart", apart).withColumn("group", group)
-    return marked.groupBy("doc_id", "row", "group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("group")
+    runs = ranked.groupBy("doc_id", "row", "run").agg(whole_run.alias("all"), F.sort_array(F.collect_list(F.when(is_whole, own))).alias("wholes"))
+    beyond = F.filter("wholes", lambda w: (w["end"] > F.col("all.end")) | (w["start"] < F.col("all.start")))
+    found = F.when((F.col("all.n_words") >= least_words) & F.lit(pieces), F.concat(F.array("all"), beyond)).otherwise(F.col("wholes"))
+    each = runs.select("doc_id", "row", "run", F.posexplode(found).alias("at", "s"))
+    # A line inside a paragraph that goes is part of it.
+    reach = F.max("s.end").over(Window.partitionBy("doc_id", "row", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    outer = each.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("s.end") > F.col("reach")))
+    return outer.select("doc_id", "row", "s.*").drop("back")
 
 
 def without(text: Column, spans: Column) -> Column:
-    """The text without the characters of disjoint ascending spans (start, end)."""
+    """The text without the characters of ascending spans (start, end)."""
 
     def step(acc: Column, x: Column) -> Column:
-        return F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"])).alias("out"))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
 
 
-def remove_repeats(docs: DataFrame, unit: str = "sentence", least_words: int = LEAST_WORDS, least_whole: int = LEAST_WHOLE) -> DataFrame:
-    """docs with the repeats cut out of text, and `removed`, their spans in the original text: runs of
-    repeated units, and repeated whole lines and paragraphs."""
-    row = F.udf(lambda t: None if t is None else xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63), "long")
-    names = ["doc_id", "row", "start", "end"]
-    spans = _merged(repeated_runs(docs, unit, least_words).select(*names).unionByName(repeated_wholes(docs, least_whole).select(*names)))
-    spans = spans.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+def remove_repeats(docs: DataFrame, pieces: bool = True, least_words: int = LEAST_WORDS, least_whole: int = LEAST_WHOLE) -> DataFrame:
+    """docs with the repeats cut out of text, and `removed`, their spans in the original text."""
+    own = ("doc_id", "text")
+    rest = docs.drop("removed")
+    plain = apart(rest, *own).withColumn("row", F.xxhash64("text"))
+    spans = repeats(plain, pieces, least_words, least_whole).groupBy(F.col("doc_id").alias("id"), F.col("row").alias("hash"))
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    keyed = docs.drop("removed").withColumn("__key", row("text"))
-    both = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__row")), "left")
+    both = plain.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("hash")), "left")
     text = F.when(F.col("removed").isNotNull(), without(F.col("text"), F.col("removed"))).otherwise(F.col("text"))
-    return both.withColumn("text", text).drop("__id", "__row", "__key")
+    cut_ = both.withColumn("text", text)
+    names = [F.col(c if c in own else f"c{i}").alias(c) for i, c in enumerate(rest.columns)]
+    return cut_.select(*names, "removed")
