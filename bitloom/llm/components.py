@@ -42,11 +42,11 @@ def components(links: DataFrame, scratch: Scratch, few: int = FEW) -> DataFrame:
     Large star: each node hands its larger neighbours its least neighbour; small star: its smaller
     ones. Every step is a minimum per key, aggregated before it is shuffled, and a join on that key;
     no neighbourhood is gathered. It ends when a pass changes nothing: all links then point at roots.
-    A table that is counted to have at most `few` links is left to one task.
+    A table that is counted to have at most `few` links is left to one task; 0: none is.
     """
     edges = scratch.keep(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(edges)
-    if mark[0] <= few:
+    if few and mark[0] <= few:
         return edges.coalesce(1).mapInArrow(_at_once, "id long, root long")
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import Scratch
-from bitloom.llm.components import components
+from bitloom.llm.components import FEW, components
 
 WIDTH_BITS = 20
 BANDS, ROWS = 32, 6
@@ -150,11 +150,13 @@ def parity_maps(sets: DataFrame) -> DataFrame:
     return sets.select("id", "items").mapInArrow(run, "id long, map array<long>")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """By sizes and maps: the sets of two rows (n, map) can't be ruled out. Jaccard >= p% means that at
-    most (100 - p) / (100 + p) of the summed sizes differ."""
+def _may_link(a: str, b: str, percent: int, mapped: bool) -> Column:
+    """By sizes and maps, if there are any: the sets of two rows (n, map) can't be ruled out. Jaccard >= p%
+    means that at most (100 - p) / (100 + p) of the summed sizes differ."""
     n, m = (lambda x: F.col(f"{x}.n")), (lambda x, i: F.get(F.col(f"{x}.map"), F.lit(i)))
     sizes = F.least(n(a), n(b)) * 100 >= F.greatest(n(a), n(b)) * percent
+    if not mapped:
+        return sizes
     bits = sum((F.bit_count(m(a, i).bitwiseXOR(m(b, i))) for i in range(MAP)), F.lit(0))
     return sizes & (bits * (100 + percent) <= (n(a) + n(b)) * (100 - percent))
 
@@ -166,15 +168,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * percent).select("u", "v")
 
 
-def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, native: bool = False) -> DataFrame:
     """(id, root) of the ids that a confirmed link joins to another.
 
-    buckets: (id, n, bucket), n the set's size; sets_of: ids to (id, items).
+    buckets: (id, n, bucket), n the set's size; sets_of: ids to (id, items); native: by DataFrame functions
+    alone, without parity maps.
     """
+    few = 0 if native else FEW
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     near = scratch.keep(buckets.join(scratch.keep(shared), "bucket").distinct())
     sets = scratch.keep(sets_of(near.select("id").distinct()))
-    maps = scratch.keep(parity_maps(sets))
+    maps = sets.select("id", F.lit(None).cast("array<long>").alias("map")) if native else scratch.keep(parity_maps(sets))
     live = scratch.keep(near.join(maps, "id").withColumn("root", F.col("id")))
     root = None
     centres = 1
@@ -183,15 +187,15 @@ def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
         share = F.pmod(F.xxhash64("id", "bucket"), F.lit(centres))
         chosen = scratch.keep(live.groupBy("bucket", share.alias("share")).agg(F.min(F.struct("id", "n", "root", "map")).alias("c")).select("bucket", "c"))
         held = live.withColumn("o", F.struct("id", "n", "root", "map")).select("bucket", "o").join(chosen, "bucket")
-        held = held.where((F.col("c.root") != F.col("o.root")) & _may_link("c", "o", percent))
+        held = held.where((F.col("c.root") != F.col("o.root")) & _may_link("c", "o", percent, not native))
         pairs = held.select(F.least("o.id", "c.id").alias("u"), F.greatest("o.id", "c.id").alias("v")).distinct()
         found = scratch.keep(_verified(pairs, sets, percent))
         if root is None:
-            root = scratch.keep(components(found, scratch))
+            root = scratch.keep(components(found, scratch, few))
         else:
             # Links between components join their roots.
             ends = found.join(root.select(F.col("id").alias("u"), F.col("root").alias("ru")), "u", "left").join(root.select(F.col("id").alias("v"), F.col("root").alias("rv")), "v", "left")
-            over = components(ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")), scratch)
+            over = components(ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")), scratch, few)
             over = scratch.keep(over.select(F.col("id").alias("root"), F.col("root").alias("top")))
             moved = root.join(over, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
             added = over.select(F.col("root").alias("id"), F.col("top").alias("root")).join(root.select("id"), "id", "left_anti")
@@ -224,14 +228,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
 
 def join_classes(sets: DataFrame, propose: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """doc_id and class_id for sets(doc_id, items) under buckets(id, n, bucket) that propose(reps) gives."""
+    """doc_id, n (its items) and class_id for sets(doc_id, items) under buckets(id, n, bucket) that
+    propose(reps) gives, by DataFrame functions alone."""
     scratch, work = Scratch(sets.sparkSession), Scratch(sets.sparkSession)
     own = work.keep(sets.select("doc_id", "items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("digest")))
     first = work.keep(own.where(F.size("items") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep")))
     members = own.join(first, "digest", "left")
     reps = work.keep(members.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "items").dropDuplicates(["id"]))
-    members = scratch.keep(members.select("doc_id", "rep"))
-    root = scratch.keep(linked(work.keep(propose(reps)), lambda ids: reps.join(ids, "id", "left_semi"), percent, work))
+    members = scratch.keep(members.select("doc_id", F.size("items").alias("n"), "rep"))
+    root = scratch.keep(linked(work.keep(propose(reps)), lambda ids: reps.join(ids, "id", "left_semi"), percent, work, native=True))
     work.drop()
     out = members.join(root.select(F.col("id").alias("rep"), "root"), "rep", "left")
-    return out.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"))
+    return out.select("doc_id", "n", F.coalesce("root", "rep", "doc_id").alias("class_id"))

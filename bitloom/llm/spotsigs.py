@@ -2,10 +2,9 @@
 
 Common words of the corpus' languages, and the start of each line, are anchors. An anchor with the
 next CHAIN content words after it is one signature; the set of a text's signatures is its
-fingerprint. Sets are compared by Jaccard; a pair whose set lengths alone keep it under the floor
-isn't compared. `classes` finds duplicates: sets are partitioned by length so that only the same
-and the next partition can hold partners, and an inverted index over each set's rarest signatures
-proposes them.
+fingerprint. Sets are compared by Jaccard. `classes` finds duplicates: sets are partitioned by length so
+that only the same and the next partition can hold partners, an inverted index over each set's rarest
+signatures proposes them, and a pair whose set lengths alone keep it under the threshold isn't compared.
 
 Defined results: null text counts as empty; a text without content words has one signature, of the
 whole of its words, and an empty text has none; two texts of which one has no signature have
@@ -32,7 +31,6 @@ ANCHORS = (
 CHAIN = 2
 LINE = "\x01"
 PUNCTUATION = ".,;:!?\"'()[]{}|*#$%&<>"
-LEAST_LIKENESS = 0.05
 
 
 def _hash(c: Column) -> Column:
@@ -64,11 +62,11 @@ def fingerprint(sigs: Column) -> Column:
     return F.array_join(F.transform(sigs, lambda x: F.lpad(F.lower(F.hex(x.cast("long") + F.lit(1 << 31))), 8, "0")), "")
 
 
-def jaccard(a: Column, b: Column, floor: float = 0.0) -> Column:
-    """Of two sets; 0 where min/max of the lengths, its upper bound, is under the floor."""
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two sets; of two empty ones 1."""
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     both = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
-    return F.when(large == 0, F.lit(1.0)).when(small == 0, F.lit(0.0)).when(small < large * F.lit(floor), F.lit(0.0)).otherwise(both)
+    return F.when(large == 0, F.lit(1.0)).when(small == 0, F.lit(0.0)).otherwise(both)
 
 
 def length_partition(n: Column, threshold: float) -> Column:
@@ -99,17 +97,20 @@ def _range_of(doc_id: Column, bounds: list[int], step: int = 128) -> Column:
     return let(coarse, lambda c: c + below(F.slice(lits(bounds), c + 1, F.lit(step)))) if len(bounds) > step else below(lits(bounds))
 
 
-def with_next(docs: DataFrame, rows_each: int = 500) -> DataFrame:
-    """The columns of docs, and `next`: a struct of the same columns of the document that follows in
-    descending doc_id (after the last: the first).
+def with_next(docs: DataFrame, rows_each: int = 500, more: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of docs and `more`, and `next`: a struct of the same columns of the document that follows
+    in descending doc_id (after the last: the first). What `more` says is worked out after the shuffle.
 
     Ids are cut into ranges of about equal counts, each ordered by itself; the first document of a
     range also goes, marked, to the end of the range before it. So one shuffle carries the texts,
     and only the ranges' bounds (at most 16,384) come to the driver.
     """
+    more = more or {}
+    names = [*docs.columns, *more]
     bounds, tops = _ranges(docs.select("doc_id"), rows_each)
     if not tops:
-        return docs.withColumn("next", F.struct(*docs.columns))
+        full = docs.withColumns(more)
+        return full.withColumn("next", F.struct(*names))
     used = sorted(tops, reverse=True)
     before = {r: used[i - 1] for i, r in enumerate(used)}  # of the first range: the last
     size = max(used) + 1
@@ -119,15 +120,16 @@ def with_next(docs: DataFrame, rows_each: int = 500) -> DataFrame:
     again = F.array(F.struct(F.get(prior, F.col("__r")).alias("r"), F.lit(True).alias("extra")))
     first = F.col("doc_id").eqNullSafe(F.get(top, F.col("__r")))
     dealt = docs.withColumn("__r", _range_of(F.col("doc_id"), bounds)).withColumn("__at", F.explode(F.when(first, F.concat(spots, again)).otherwise(spots)))
-    w = Window.partitionBy(F.col("__at.r")).orderBy(F.col("__at.extra"), F.col("doc_id").desc_nulls_last(), F.col("text"))
-    led = dealt.withColumn("next", F.lead(F.struct(*docs.columns)).over(w))
-    return led.where(~F.col("__at.extra")).drop("__r", "__at")
+    dealt = dealt.withColumn("__k", F.col("__at.r")).repartition("__k").withColumns(more)
+    w = Window.partitionBy("__k").orderBy(F.col("__at.extra"), F.col("doc_id").desc_nulls_last(), F.col("text"))
+    led = dealt.withColumn("next", F.lead(F.struct(*names)).over(w))
+    return led.where(~F.col("__at.extra")).drop("__r", "__at", "__k")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Of each document: its signatures, its edited text and that text's, and the next document's."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    led = with_next(own.withColumn("sigs", signatures(F.col("text"))))
+    led = with_next(own, more={"sigs": signatures(F.col("text"))})
     n = F.length("text")
     cut = (n - n % 3) / 3
     edited = F.concat(F.substr("text", F.lit(1), n - cut.cast("int")), F.substr("next.text", F.lit(1), cut.cast("int")))
@@ -141,13 +143,14 @@ def digest(pairs: DataFrame) -> DataFrame:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("sigs")).alias("fingerprint"),
         fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
-        jaccard(F.col("sigs"), F.col("edited_sigs"), LEAST_LIKENESS).alias("near_edited"),
-        jaccard(F.col("sigs"), F.col("next_sigs"), LEAST_LIKENESS).alias("near_next"),
+        jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
 
 
 def classes(docs: DataFrame, threshold_percent: int = 80) -> DataFrame:
-    """doc_id and class_id, the smallest id among documents joined by likeness >= the threshold."""
+    """doc_id, n_signatures and class_id, the smallest id among documents joined by likeness >= the threshold.
+    A document without signatures is in a class of its own."""
     from bitloom.llm.near_dedup import join_classes
 
     t = threshold_percent / 100
@@ -162,4 +165,5 @@ def classes(docs: DataFrame, threshold_percent: int = 80) -> DataFrame:
         part = length_partition(F.col("n"), t)
         return rare.select("id", F.col("n"), F.explode(F.array(part, part + 1)).alias("p"), "item").select("id", "n", F.xxhash64("p", "item").alias("bucket"))
 
-    return join_classes(sets, propose, threshold_percent)
+    joined = join_classes(sets, propose, threshold_percent)
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_signatures"), "class_id")

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from bitloom.llm import spotsigs as S
+from bitloom.llm.common import Scratch
 
 
 def plain_signatures(text):
@@ -30,7 +32,7 @@ def plain_signatures(text):
 def like(a, b):
     if not a and not b:
         return 1.0
-    if not a or not b or min(len(a), len(b)) < max(len(a), len(b)) * S.LEAST_LIKENESS:
+    if not a or not b:
         return 0.0
     return len(a & b) / len(a | b)
 
@@ -50,7 +52,7 @@ def test_against_brute_force(spark, rows_each, monkeypatch):
     rng.shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string, next string").repartition(5)
     real = S.with_next
-    monkeypatch.setattr(S, "with_next", lambda d: real(d, rows_each))
+    monkeypatch.setattr(S, "with_next", lambda d, more: real(d, rows_each, more))
     got = {r.doc_id: r for r in S.digest(S.edited_pairs(df)).collect()}
     line = sorted(docs, key=lambda d: -d[0])
     assert len(got) == len(docs)
@@ -115,3 +117,25 @@ def test_classes_against_all_pairs(spark):
                 root[y] = x
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in S.classes(df).collect()} == {i: find(i) for i in ids}
+
+
+def test_classes_are_native(spark, monkeypatch):
+    """No Python worker takes part in any table that is written on the way, nor in the result."""
+    plans, real = [], Scratch.keep
+    plan = lambda df: df._jdf.queryExecution().toString()
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: (plans.append(plan(df)), real(self, df))[1])
+    docs = spark.range(12).selectExpr("id AS doc_id", "concat('the alpha ', id % 3, ' beta gamma of delta') AS text")
+    out = S.classes(docs)
+    assert out.count() == 12 and len(plans) > 5
+    assert not [p for p in [*plans, plan(out)] if re.search("Python|Arrow|Pandas", p)]
+
+
+def test_very_long_texts_and_small_likeness(spark):
+    rng = random.Random(5)
+    long_ = " ".join(rng.choice(["the", "of"]) + f" w{i} x{i}" for i in range(150_000))
+    docs = [(2, long_), (1, "the w7 x7 of more"), (0, long_[:-30])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in S.digest(S.edited_pairs(df)).collect()}
+    sets = {i: plain_signatures(t) for i, t in docs}
+    assert 0 < got[2].near_next < 0.001 and got[2].near_next == pytest.approx(like(sets[2], sets[1]), rel=1e-3)  # a few of the short hashes collide
+    assert {r.doc_id: r.class_id for r in S.classes(df).collect()} == {0: 0, 1: 1, 2: 0}
