@@ -4,9 +4,14 @@ The kernel of two words sums, over all letter triples that are subsequences of b
 their decayed spans, so that an insult with gaps or inserted characters stays near the plain one; it
 is scaled to 1 for a word with itself. Landmarks are words of labelled
 sentences; features are the kernel values against them, whitened by the landmarks' own kernel
-matrix. A label is of a document, and its sentences bear it, but not all of a toxic document's are
-toxic: so these take part by the words that mark toxic sentences (by likelihood ratio), and by such
-words with a character put in; clean ones by all their words, the nearest to insults first.
+matrix.
+
+The machine is trained on labelled sentences, as bags of words of which one decides: a sentence's row
+is its witness, the word of greatest margin, and witnesses are chosen anew after each fit (multiple-instance
+training). A label is of a document, and its sentences bear it, but not all of a toxic document's are
+toxic: of these take part the ones that hold a word which marks toxic sentences by likelihood ratio,
+each also with a character put into its witness. Of clean documents all sentences take part. Sentences
+that share a witness share a row, whose weight is the root of their number.
 
 A document's score is that of its worst unit (a word, or letters set apart by blanks), whatever its
 length. As the machine is linear in the kernel, its landmarks fold into one weight per triple, and
@@ -51,7 +56,7 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 def _codes() -> np.ndarray:
     """For each code point: its letter code, 0 for what is skipped, 255 for the line feed."""
     table = np.zeros(0x110000, np.uint8)
-    for c in range(0x30000):
+    for c in range(0x33480):  # no script lies beyond
         ch = chr(c)
         if ch.isalpha():
             plain = unicodedata.normalize("NFKD", ch.lower())[0]
@@ -231,8 +236,8 @@ def _variants(unit: str, rng: np.random.Generator, n: int) -> list[str]:
     return [unit[:p] + chr(97 + int(rng.integers(26))) + unit[p:] for p in places]
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost: float = 5000.0, rounds: int = 2, hard: int = 6000) -> Machine:
-    """A machine from labelled documents, as their sentences' units."""
+def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost: float = 5000.0, rounds: int = 3) -> Machine:
+    """A machine from the sentences of labelled documents."""
     rng = np.random.default_rng(17)
     y = np.array([1 if x else -1 for x in labels])
     if not (y > 0).any() or not (y < 0).any():
@@ -247,7 +252,6 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost:
     for bag, label in parts:
         df[label].update(bag)
     n_pos, n_neg = max(1, sum(label > 0 for _, label in parts)), max(1, sum(label < 0 for _, label in parts))
-    bags = [sorted(set().union(*(_bag(s) for s in SENTENCE.split(t or "")))) for t in texts]
 
     def evidence(u: str) -> float:
         """Signed log-likelihood ratio that the unit marks toxic sentences."""
@@ -264,7 +268,6 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost:
         marks = sorted(marked, key=lambda u: (-marked[u], u))[:20]
     if not marks:
         return Machine(np.zeros(BASE**3), -1.0, 0.0, math.log(n_pos / n_neg))
-    marks = marks[: 3 * landmarks // 2]
     common = [u for u, _ in sorted(df[-1].items(), key=lambda x: (-x[1], x[0])) if len(u) > 3]
     chosen = list(dict.fromkeys(marks[: 2 * landmarks // 3] + common[: landmarks // 3]))
     phi = triple_features(chosen)
@@ -273,36 +276,54 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost:
     white = vectors[:, use] / np.sqrt(values[use])
     spot = lambda us: kernel(us, phi) @ white
 
-    clean = sorted(u for u in df[-1] if u not in set(marks))
-    fold = rng.permutation(len(bags)) % FOLDS
-
-    def fit(rows: np.ndarray) -> Machine:
-        n = Counter(u for i in rows if y[i] > 0 for u in bags[i] if u in marked_set)
-        good = sorted(n)
-        if not good:
+    names = sorted({*df[1], *df[-1]})
+    number = {u: k for k, u in enumerate(names)}
+    marks_set = set(marks)
+    may = np.array([u in marks_set for u in names])
+    at = {s: k for k, (s, _) in enumerate(sorted(sentences.items()))}
+    units = [np.array(sorted(number[u] for u in bag), np.int64) for bag, _ in parts]
+    toxic = np.array([label > 0 and bool(len(units[k])) and bool(may[units[k]].any()) for k, (_, label) in enumerate(parts)])
+    clean = np.array([label < 0 and bool(len(units[k])) for k, (_, label) in enumerate(parts)])
+    of_doc = [np.array(sorted({at[" ".join(s.lower().split())] for s in SENTENCE.split(t or "")}), np.int64) for t in texts]
+    fold = rng.permutation(len(texts)) % FOLDS
+
+    def witnesses(rows: np.ndarray, worth: np.ndarray) -> Counter:
+        """Of each sentence its word of greatest worth, and of how many sentences it is that."""
+        return Counter(int(u[worth[u].argmax()]) for u in (units[k] for k in rows))
+
+    def fit(docs: np.ndarray) -> Machine:
+        own = np.unique(np.concatenate([of_doc[i] for i in docs]))
+        bad, good = own[toxic[own]], own[clean[own]]
+        if not len(bad) or not len(good):
             return Machine(np.zeros(BASE**3), -1.0, 0.0, 0.0)
-        plus = good + [v for u in good for v in _variants(u, rng, VARIANTS)]
-        gain = np.sqrt([n[u] for u in good] + [n[u] for u in good for _ in range(VARIANTS)])
-        against = [clean[i] for i in sorted(rng.choice(len(clean), min(hard, len(clean)), replace=False))]
+        # Before there is a machine: the strongest mark of a toxic sentence, and any word of a clean one.
+        first = np.array([marked.get(u, 0.0) if may[k] else -math.inf for k, u in enumerate(names)])
+        plus, minus = witnesses(bad, first), witnesses(good, rng.random(len(names)))
         for _ in range(rounds):
-            z = spot(plus + against)
-            label = np.r_[np.ones(len(plus)), -np.ones(len(against))]
-            c = cost * np.r_[gain / gain.sum(), np.full(len(against), 1 / max(1, len(against)))]
-            w = _svm(z, label, c)
+            words = [names[k] for k in sorted(plus)]
+            n = np.sqrt([plus[k] for k in sorted(plus)])
+            against = sorted(minus)
+            m = np.sqrt([minus[k] for k in against])
+            rows = words + [v for u in words for v in _variants(u, rng, VARIANTS)]
+            gain = np.concatenate([n, np.repeat(n, VARIANTS)])
+            z = spot(rows + [names[k] for k in against])
+            w = _svm(z, np.r_[np.ones(len(rows)), -np.ones(len(against))], cost * np.r_[gain / gain.sum(), m / m.sum()])
             machine = Machine(phi.T.astype(np.float64) @ (white @ w[:-1]), float(w[-1]), 1.0, 0.0, tuple(chosen))
-            # Then the clean words that come nearest to insults.
-            margins = machine.margins(clean)
-            against = sorted({*(clean[i] for i in np.argsort(-margins, kind="stable")[: hard // 2]), *against[: hard // 2]})
+            margin = machine.margins(names)
+            plus = witnesses(bad, np.where(may, margin, -math.inf))
+            # What was a witness against remains one: else each fit would forget the last one's.
+            minus = Counter(dict(minus)) | witnesses(good, margin)
         return machine
 
-    marked_set = set(marks)
-    worst = np.zeros(len(bags))
+    worst = np.zeros(len(texts))
     for k in range(FOLDS):  # margins for the calibration are of documents that the machine hasn't met
         machine = fit(np.flatnonzero(fold != k))
+        margin = machine.margins(names)
         for i in np.flatnonzero(fold == k):
-            worst[i] = machine.margins(bags[i]).max() if bags[i] else machine.bias
+            own = [units[j] for j in of_doc[i] if len(units[j])]
+            worst[i] = max(margin[u].max() for u in own) if own else machine.bias
     slope, shift = _platt(worst, y)
-    whole = fit(np.arange(len(bags)))
+    whole = fit(np.arange(len(texts)))
     return Machine(whole.weights, whole.bias, slope, shift, whole.landmarks)
 
 
