@@ -31,13 +31,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from bitloom.llm.mixing import LABEL_DOMAINS, TARGETS, label_domains, learn, mixed
+    from bitloom.llm.mixing import LABEL_DOMAINS, MOST, TARGETS, label_domains, learn, mixed
 
     docs = documents(spark, sf_dir)
     domains = label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     model = learn(docs, domains, LABEL_DOMAINS)
-    out = mixed(docs.select("doc_id", "source", "text"), model, TARGETS).drop("text")
-    return out.select("doc_id", "source", "n_tokens", *(F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(LABEL_DOMAINS)), "rate", "copies")
+    out, plan = mixed(docs.select("doc_id", "source", "text"), model, TARGETS, most=MOST)
+    own = [F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(LABEL_DOMAINS)]
+    # What the whole mixture was to have of each domain, and has, over the tokens that came in.
+    whole = [F.lit(float(x)).alias(f"{name}_{d}") for name, xs in (("wanted", plan.wanted), ("reached", plan.reached)) for d, x in zip(LABEL_DOMAINS, xs, strict=True)]
+    return out.select("doc_id", "source", "n_tokens", *own, "rate", "copies", *whole)
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,14 +79,22 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(edited_pairs(documents(spark, sf_dir)))
 
 
+def document_fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside op9's comparisons of neighbours: the search over all documents by length partitions."""
+    from bitloom.llm.spotsigs import classes
+
+    return classes(documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from bitloom.llm.unit_dedup import repeated_runs
+    from bitloom.llm.unit_dedup import repeats
 
-    return repeated_runs(documents(spark, sf_dir)).select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
+    return repeats(documents(spark, sf_dir)).select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()} | {"pipeline": corpus_pipeline.run}
+    own = {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
+    return own | {"document_fingerprint_classes": document_fingerprint_classes, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -62,9 +62,12 @@ def _op4() -> str:
     window = "substr(m[j], w, 20)"
     total = f"list_sum(list_transform(list_distinct(string_split({window}, '')), lambda c: {table}[1 + length({window}) - length(replace({window}, c, ''))]))"
     least = f"list_min(list_transform(range(1, length(m[j]) - 18), lambda w: {total}))"
-    most = "CASE " + " ".join(f"WHEN regexp_matches(m[j], '{p}') THEN {secret_scan.most_sum(b)}" for _, p, b in secret_scan.THRESHOLDS) + " END"
+    classes = secret_scan.THRESHOLDS
+    case = lambda said: "CASE " + " ".join(f"WHEN regexp_matches(m[j], '{c[1]}') THEN {said(c)}" for c in classes) + " END"
+    most = case(lambda c: secret_scan.most_sum(c[2]))
+    held = case(lambda c: " AND ".join(f"regexp_matches(m[j], '{x}')" for x in c[3]))
     allowed = " OR ".join(f"regexp_matches(m[j], '{p}')" for p in secret_scan.ALLOWED)
-    odd = f"regexp_matches(m[j], '[0-9]') AND regexp_matches(m[j], '[A-Za-z]') AND NOT ({allowed}) AND {least} <= {most}"
+    odd = f"{held} AND NOT ({allowed}) AND {least} <= {most}"
     parts = [_matches(0, assign, f"length(regexp_extract(m[j], '{assign}', 2)) >= 12"), _matches(1, secret_scan.ACCESS), _matches(2, secret_scan.HEX), _matches(3, runs, odd)]
     name = "['" + "', '".join(secret_scan.KINDS) + "'][kind + 1] || ':' || start || ':' || stop"
     n = ", ".join(f"CAST(count(kind) FILTER (kind = {k}) AS BIGINT) AS n_{x}" for k, x in enumerate(secret_scan.KINDS))
@@ -74,27 +77,46 @@ def _op4() -> str:
              coalesce(string_agg({name}, ',' ORDER BY start, kind), '') AS spans FROM d LEFT JOIN s USING (rid) GROUP BY rid"""
 
 
-def _op9() -> str:
+def _signatures(texts: str) -> str:
+    """The tables w to f: f(doc_id, which, f) has the sorted sets of the texts x(doc_id, which, t)."""
     stops = "(" + ", ".join(f"'{w}'" for w in sorted(set(spotsigs.ANCHORS))) + ", chr(1))"
     marks = spotsigs.PUNCTUATION.replace("'", "''")
     chain = ", ".join(f"c[i - k + {n + 1}]" for n in range(spotsigs.CHAIN))
     one = lambda x: f"substr(md5({x}), 1, 8)"
-    like = lambda a, b: f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 OR least(len({a}), len({b})) < greatest(len({a}), len({b})) * CAST({spotsigs.LEAST_LIKENESS} AS DOUBLE) THEN 0.0 ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b}))) END"
-    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-      o AS (SELECT doc_id, t, lead(doc_id) OVER w AS ni, lead(t) OVER w AS nt, first_value(doc_id) OVER w AS fi, first_value(t) OVER w AS ft FROM d WINDOW w AS (ORDER BY doc_id DESC)),
-      e AS (SELECT doc_id, t, coalesce(ni, fi) AS ni, substr(t, 1, length(t) - length(t) // 3) || substr(coalesce(nt, ft), 1, length(t) // 3) AS ed FROM o),
-      x AS (SELECT doc_id, 'own' AS which, t FROM e UNION ALL SELECT doc_id, 'edited', ed FROM e),
+    return f"""x AS ({texts}),
       w AS (SELECT doc_id, which, list_filter(regexp_split_to_array(chr(1) || ' ' || replace(lower(translate(t, '{marks}', '')), chr(10), ' ' || chr(1) || ' '), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM x),
       c AS (SELECT doc_id, which, w, list_filter(w, lambda v: v NOT IN {stops}) AS c, list_filter(range(1, len(w) + 1), lambda i: w[i] IN {stops}) AS a FROM w),
       g AS (SELECT doc_id, which, CASE WHEN len(c) > 0 THEN list_filter(list_transform(a, lambda i, k: CASE WHEN i - k < len(c) THEN {one(f"concat_ws(' ', w[i], {chain})")} END), lambda v: v IS NOT NULL)
               WHEN len(list_filter(w, lambda v: v <> chr(1))) > 0 THEN [{one("array_to_string(w, ' ')")}] ELSE [] END AS g FROM c),
-      f AS (SELECT doc_id, which, list_sort(list_distinct(g)) AS f FROM g),
+      f AS (SELECT doc_id, which, list_sort(list_distinct(g)) AS f FROM g)"""
+
+
+def _op9() -> str:
+    like = lambda a, b: f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b}))) END"
+    texts = "SELECT doc_id, 'own' AS which, t FROM e UNION ALL SELECT doc_id, 'edited', ed FROM e"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+      o AS (SELECT doc_id, t, lead(doc_id) OVER w AS ni, lead(t) OVER w AS nt, first_value(doc_id) OVER w AS fi, first_value(t) OVER w AS ft FROM d WINDOW w AS (ORDER BY doc_id DESC)),
+      e AS (SELECT doc_id, t, coalesce(ni, fi) AS ni, substr(t, 1, length(t) - length(t) // 3) || substr(coalesce(nt, ft), 1, length(t) // 3) AS ed FROM o),
+      {_signatures(texts)},
       p AS (SELECT e.doc_id, length(t) AS n, sha256(ed) AS h, a.f AS fa, b.f AS fb, z.f AS fz FROM e JOIN f a ON a.doc_id = e.doc_id AND a.which = 'own' JOIN f b ON b.doc_id = e.doc_id AND b.which = 'edited'
             JOIN f z ON z.doc_id = e.ni AND z.which = 'own')
       SELECT doc_id, CAST(n AS BIGINT) AS n_chars, h AS edited_sha256, array_to_string(fa, '') AS fingerprint, array_to_string(fb, '') AS edited_fingerprint,
              CAST({like("fa", "fb")} AS DOUBLE) AS near_edited, CAST({like("fa", "fz")} AS DOUBLE) AS near_next FROM p"""
 
 
+def _fingerprint_classes() -> str:
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+      {_signatures("SELECT doc_id, 'own' AS which, t FROM d")},
+      n AS (SELECT f AS sh, min(doc_id) AS rep FROM f WHERE len(f) > 0 GROUP BY f),
+      u AS (SELECT rep, len(sh) AS n, unnest(sh) AS g FROM n),
+      p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.rep < b.rep WHERE least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80 GROUP BY ALL),
+      l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+      y AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+      r AS (SELECT rep AS id, rep AS seen FROM n UNION SELECT r.id, y.b FROM r JOIN y ON r.seen = y.a),
+      k AS (SELECT id, min(seen) AS root FROM r GROUP BY id)
+      SELECT f.doc_id, CAST(len(f.f) AS BIGINT) AS n_signatures, coalesce(k.root, f.doc_id) AS class_id FROM f LEFT JOIN n ON n.sh = f.f LEFT JOIN k ON k.id = n.rep"""
+
+
 OP10 = rf"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, text, string_split(replace(regexp_replace(text, '([.!?])( )', '\1' || chr(2) || '\2', 'g'), chr(10), chr(10) || chr(2)), chr(2)) AS u FROM d),
@@ -103,12 +125,23 @@ q AS (SELECT doc_id, text, j, pos, regexp_extract_all(part, '\S+') AS ws, regexp
 w AS (SELECT doc_id, text, j, k, len(ws) AS n, lower(ws[k]) AS word, length(ws[k]) AS size,
              pos + list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1:k - 1], lambda x: length(x))), 0) AS a FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM q)),
 e AS (SELECT *, coalesce(sum(CAST(n > {unit_dedup.LONGEST} AND (length(word) + 3 * ord(left(word, 1)) + 5 * ord(right(word, 1))) & 7 = 0 AS INT)) OVER (PARTITION BY doc_id, text, j ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM w),
-n AS (SELECT doc_id, text, j, part, min(a) AS a, max(a + size) AS b, count(*) AS words, string_agg(word, ' ' ORDER BY k) AS norm FROM e GROUP BY doc_id, text, j, part),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY j, part) AS no FROM n),
+n0 AS (SELECT doc_id, text, j, part, min(a) AS a, max(a + size) AS b, count(*) AS words, string_agg(word, ' ' ORDER BY k) AS norm FROM e GROUP BY doc_id, text, j, part),
+-- The line and paragraph of a piece: how many line feeds, and pairs of them, lie before it.
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY j, part) AS no, length(h) - length(replace(h, chr(10), '')) AS line, length(h) - length(replace(h, chr(10) || chr(10), '')) AS para
+      FROM (SELECT *, left(text, CAST(a AS BIGINT)) AS h FROM n0)),
+l AS (SELECT doc_id, text, line, any_value(para) AS para, min(no) AS no, min(a) AS a, max(b) AS b, sum(words) AS words, string_agg(norm, ' ' ORDER BY no) AS norm, count(*) AS n_parts FROM n GROUP BY doc_id, text, line),
+pg AS (SELECT doc_id, text, para, min(no) AS no, min(a) AS a, max(b) AS b, sum(words) AS words, string_agg(norm, ' ' ORDER BY no) AS norm FROM l GROUP BY doc_id, text, para HAVING count(*) > 1 AND sum(words) >= {unit_dedup.LEAST_WHOLE}),
+k AS (SELECT doc_id, text, n.no, n.a, n.b, n.words, n.norm, true AS is_piece, n_parts = 1 AND l.words >= {unit_dedup.LEAST_WHOLE} AS is_whole FROM n JOIN l USING (doc_id, text, line)
+      UNION ALL SELECT doc_id, text, no, a, b, words, norm, false, true FROM l WHERE n_parts > 1 AND words >= {unit_dedup.LEAST_WHOLE}
+      UNION ALL SELECT doc_id, text, no, a, b, words, norm, false, true FROM pg),
 m AS (SELECT *, first_value(doc_id) OVER f AS fd, row_number() OVER f AS r FROM k WINDOW f AS (PARTITION BY norm ORDER BY doc_id, a)),
-i AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id, text ORDER BY no) AS run FROM m WHERE r > 1)
-SELECT doc_id, CAST(min(a) AS INTEGER) AS start, CAST(max(b) AS INTEGER) AS "end", count(*) AS n_units, CAST(sum(words) AS BIGINT) AS n_words, first(fd ORDER BY words DESC, no) AS kept_doc_id
-FROM i GROUP BY doc_id, text, run HAVING sum(words) >= {unit_dedup.LEAST_WORDS}
+i AS (SELECT *, no - dense_rank() OVER (PARTITION BY doc_id, text ORDER BY no) AS run FROM m WHERE r > 1),
+g AS (SELECT doc_id, text, run, coalesce(sum(words) FILTER (is_piece), 0) AS n_words FROM i GROUP BY doc_id, text, run),
+z AS (SELECT doc_id, text, run, min(a) AS a, max(b) AS b, count(*) AS n_units, sum(words) AS n_words, first(fd ORDER BY words DESC, no) AS fd FROM i JOIN g USING (doc_id, text, run)
+      WHERE is_piece AND g.n_words >= {unit_dedup.LEAST_WORDS} GROUP BY doc_id, text, run
+      UNION ALL SELECT doc_id, text, run, a, b, 1, words, fd FROM i WHERE is_whole)
+SELECT doc_id, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", CAST(n_units AS BIGINT) AS n_units, CAST(n_words AS BIGINT) AS n_words, fd AS kept_doc_id
+FROM z QUALIFY coalesce(b > max(b) OVER (PARTITION BY doc_id, text, run ORDER BY a, b DESC, n_units DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)
 """
 
 OP2 = rf"""
@@ -128,4 +161,4 @@ b AS (SELECT doc_id, lang, far FROM f QUALIFY row_number() OVER (PARTITION BY do
 SELECT d.doc_id, d.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 - b.far, 0) AS score FROM d LEFT JOIN b USING (doc_id)
 """
 
-SQL = {"op2_language_id": OP2, "op4_secret_scans": _op4(), "op6_minhash_near_dedup": OP6, "op8_quality_rules": OP8, "op9_document_fingerprints": _op9(), "op10_substring_dedup": OP10}
+SQL = {"op2_language_id": OP2, "op4_secret_scans": _op4(), "op6_minhash_near_dedup": OP6, "op8_quality_rules": OP8, "op9_document_fingerprints": _op9(), "op10_substring_dedup": OP10, "document_fingerprint_classes": _fingerprint_classes()}

@@ -25,7 +25,7 @@ def rows(df, columns):
 
 
 def test_names():
-    assert {k.split("_")[0] for k in entries.queries()} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {k.split("_")[0] for k in entries.queries()} == {f"op{n}" for n in range(1, 11)} | {"pipeline", "document"}
 
 
 @pytest.mark.parametrize("name", sorted(entries.queries()))
