@@ -4,12 +4,13 @@ The kernel of two words sums, over all letter triples that are subsequences of b
 their decayed spans, so that an insult with gaps or inserted characters stays near the plain one; it
 is scaled to 1 for a word with itself. Landmarks are words of labelled
 sentences; features are the kernel values against them, whitened by the landmarks' own kernel
-matrix.
+matrix. Labels hold errors: the score is calibrated on documents that the fit hasn't met, with a floor
+for documents whose label nothing in the text explains.
 
 The machine is trained on labelled sentences, as bags of words of which one decides: a sentence's row
 is its witness, the word of greatest margin, and witnesses are chosen anew after each fit (multiple-instance
 training). A label is of a document, and its sentences bear it, but not all of a toxic document's are
-toxic: of these take part the ones that hold a word which marks toxic sentences by likelihood ratio,
+toxic: of these take part the ones that hold a word which marks toxic sentences and documents by likelihood ratio,
 each also with a character put into its witness. Of clean documents all sentences take part. Sentences
 that share a witness share a row, whose weight is the root of their number.
 
@@ -150,13 +151,14 @@ def units_of(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Machine:
-    """weights: by letter triple; score = 1 / (1 + exp(-(slope * margin + shift))), margin the greatest of a text's units."""
+    """weights: by letter triple; score = floor + (1 - floor) / (1 + exp(-(slope * margin + shift))), margin the greatest of a text's units."""
 
     weights: np.ndarray
     bias: float
     slope: float
     shift: float
     landmarks: tuple[str, ...] = ()
+    floor: float = 0.0
 
     def margins(self, units: list[str]) -> np.ndarray:
         out = np.full(len(units), -np.inf)
@@ -167,7 +169,7 @@ class Machine:
         return np.where(np.isneginf(out), self.bias, out)
 
     def probability(self, margin: float) -> float:
-        return float(1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * margin + self.shift)))))
+        return self.floor + (1 - self.floor) / (1 + math.exp(-max(-500.0, min(500.0, self.slope * margin + self.shift))))
 
 
 class Scorer:
@@ -209,20 +211,38 @@ def _svm(z: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> np.nd
     return w
 
 
-def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through the margins, with smoothed targets."""
-    pos, neg = (y > 0).sum(), (y <= 0).sum()
-    target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+def _platt(margin: np.ndarray, target: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Slope and shift of a logistic curve through the margins, with targets from 0 to 1; w: where to begin."""
     x = np.stack([margin, np.ones_like(margin)], 1)
-    w = np.zeros(2)
-    for _ in range(100):
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - target @ (x @ w) + 5e-4 * w @ w
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - target) + 1e-3 * w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        step, size = np.linalg.solve(h, x.T @ (p - target) + 1e-3 * w), 1.0
+        while size > 1e-3 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
             break
-    return float(w[0]), float(w[1])
+    return w
+
+
+def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Slope, shift and floor, by expectation and maximisation: a document bears the label 1 for what the
+    machine sees with the odds of a logistic curve of the margin, and else by chance, with the odds `floor`."""
+    # The ends of the curve are held back as if one more document of the other label had been there.
+    pos, neg = (y > 0).sum(), (y <= 0).sum()
+    low, high = 1 / (neg + 2), (pos + 1) / (pos + 2)
+    w, floor = np.array([1.0, -np.median(margin)]), 0.5 * pos / (pos + neg)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(margin * w[0] + w[1], -30, 30)))
+        seen = np.where(y > 0, p / (p + floor * (1 - p)), 0.0)
+        before = floor
+        floor = float((1 - seen[y > 0]).sum() / (1 - seen).sum())
+        w = _platt(margin, low + (high - low) * seen, w)
+        if abs(floor - before) < 1e-7:
+            break
+    return float(w[0]), float(w[1]), floor
 
 
 def _bag(sentence: str) -> set[str]:
@@ -236,8 +256,11 @@ def _variants(unit: str, rng: np.random.Generator, n: int) -> list[str]:
     return [unit[:p] + chr(97 + int(rng.integers(26))) + unit[p:] for p in places]
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost: float = 5000.0, rounds: int = 3) -> Machine:
-    """A machine from the sentences of labelled documents."""
+def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost: float = 50_000.0, balance: float = 100.0, rounds: int = 4, begin: int = 3000) -> Machine:
+    """A machine from the sentences of labelled documents; the first fit takes `begin` words of clean ones at most, the others add all that have a loss.
+
+    cost: of the toxic rows together; balance: of the clean ones over that, so that words near insults stay clean and
+    insults with a character put in come out above them."""
     rng = np.random.default_rng(17)
     y = np.array([1 if x else -1 for x in labels])
     if not (y > 0).any() or not (y < 0).any():
@@ -260,10 +283,28 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost:
         part = lambda k, n, x: (k * math.log(x) if k else 0) + ((n - k) * math.log(1 - x) if k < n and x < 1 else 0)
         return (2 if p > q else -2) * (part(a, n_pos, p) + part(b, n_neg, q) - part(a, n_pos, r) - part(b, n_neg, r))
 
+    # A passage that returns with changes makes many sentences and documents of the same neighbours: a unit counts
+    # as often as it has different ones, and as it is in different documents.
+    near: dict[str, set] = {}
+    for s, label in sentences.items():
+        if label > 0:
+            words = ["", *(re.sub(r"[\W_]+", "", u) for u in s.split()), ""]
+            for left, u, right in zip(words, words[1:], words[2:], strict=False):
+                if u in df[1]:
+                    near.setdefault(u, set()).add((left, right))
+    bags = [set().union(*(_bag(s) for s in SENTENCE.split(t or ""))) for t in texts]
+    in_docs = {k: Counter(u for bag, label in zip(bags, y.tolist(), strict=True) if label == k for u in bag) for k in (1, -1)}
+    n_bad, n_good = int((y > 0).sum()), int((y < 0).sum())
+
+    def least_odds(u: str) -> float:
+        """Two standard errors below the log ratio of how often toxic and clean documents hold the unit."""
+        a, b = min(in_docs[1][u], len(near.get(u, ()))) + 0.5, in_docs[-1][u] + 0.5
+        return math.log(a / (n_bad + 1)) - math.log(b / (n_good + 1)) - 2 * math.sqrt(1 / a + 1 / b)
+
     marked = {u: evidence(u) for u in df[1] if df[1][u] > 1 and len(u) > 2}
     # Of n words without any meaning the greatest ratio is about 2 ln n.
     enough = 6 + 2 * math.log(1 + len(df[1]))
-    marks = sorted((u for u in marked if marked[u] > enough and df[1][u] / n_pos > 5 * df[-1][u] / n_neg), key=lambda u: (-marked[u], u))
+    marks = sorted((u for u in marked if marked[u] > enough and least_odds(u) > math.log(5)), key=lambda u: (-marked[u], u))
     if not marks:
         marks = sorted(marked, key=lambda u: (-marked[u], u))[:20]
     if not marks:
@@ -299,6 +340,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost:
         # Before there is a machine: the strongest mark of a toxic sentence, and any word of a clean one.
         first = np.array([marked.get(u, 0.0) if may[k] else -math.inf for k, u in enumerate(names)])
         plus, minus = witnesses(bad, first), witnesses(good, rng.random(len(names)))
+        if len(minus) > begin:
+            minus = Counter({k: minus[k] for k in sorted(rng.choice(sorted(minus), begin, replace=False).tolist())})
         for _ in range(rounds):
             words = [names[k] for k in sorted(plus)]
             n = np.sqrt([plus[k] for k in sorted(plus)])
@@ -307,12 +350,12 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost:
             rows = words + [v for u in words for v in _variants(u, rng, VARIANTS)]
             gain = np.concatenate([n, np.repeat(n, VARIANTS)])
             z = spot(rows + [names[k] for k in against])
-            w = _svm(z, np.r_[np.ones(len(rows)), -np.ones(len(against))], cost * np.r_[gain / gain.sum(), m / m.sum()])
+            w = _svm(z, np.r_[np.ones(len(rows)), -np.ones(len(against))], cost * np.r_[gain / gain.sum(), balance * m / m.sum()])
             machine = Machine(phi.T.astype(np.float64) @ (white @ w[:-1]), float(w[-1]), 1.0, 0.0, tuple(chosen))
             margin = machine.margins(names)
             plus = witnesses(bad, np.where(may, margin, -math.inf))
-            # What was a witness against remains one: else each fit would forget the last one's.
-            minus = Counter(dict(minus)) | witnesses(good, margin)
+            # All whose margin has a loss join those that were there: so no fit forgets the last one's.
+            minus |= Counter({k: n for k, n in witnesses(good, margin).items() if margin[k] > -1})
         return machine
 
     worst = np.zeros(len(texts))
@@ -322,9 +365,9 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost:
         for i in np.flatnonzero(fold == k):
             own = [units[j] for j in of_doc[i] if len(units[j])]
             worst[i] = max(margin[u].max() for u in own) if own else machine.bias
-    slope, shift = _platt(worst, y)
+    slope, shift, floor = _calibrated(worst, y)
     whole = fit(np.arange(len(texts)))
-    return Machine(whole.weights, whole.bias, slope, shift, whole.landmarks)
+    return Machine(whole.weights, whole.bias, slope, shift, whole.landmarks, floor)
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS) -> Machine:

@@ -1,12 +1,20 @@
 import itertools
 import math
+import os
 import random
+import unicodedata
+import zlib
+from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
+from bitloom.llm import entries
 from bitloom.llm import toxicity as X
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def plain_kernel(s, t):
     def features(w):
@@ -101,3 +109,80 @@ def test_one_class_and_empty(spark):
 def test_long_texts_and_words(machine):
     s = X.Scorer(machine)
     assert all(0 <= p <= 1 for p in s.scores(["z" * 5000, "kalo " * 20_000, None, "😀 \n", "a" * 24 + "grubzak"]))
+
+
+def test_sentences_of_toxic_documents_are_not_all_toxic():
+    """Training is on sentences: what stands beside a toxic one isn't learnt as toxic, though it never stands in clean documents."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8)))
+    sentence = lambda *own: " ".join([word() for _ in range(8)] + list(own)).capitalize() + "."
+    rows = []
+    for i in range(500):
+        toxic = i % 3 == 0
+        body = [sentence() for _ in range(rng.randint(2, 6))]
+        if toxic:
+            body.append(sentence(rng.choice(["grubzak", "fwistle", "snorvq"])))
+        rows.append((" ".join(body), int(toxic)))
+    s = X.Scorer(X.train([t for t, _ in rows], [y for _, y in rows]))
+    beside = [t.rsplit(". ", 1)[0] + "." for t, y in rows if y]
+    assert np.mean(np.array(s.scores(beside)) >= 0.7) < 0.05
+    assert np.mean(np.array(s.scores([sentence(w) for w in ("grubzak", "fwistle", "snorvq") for _ in range(30)])) >= 0.7) > 0.95
+
+
+def plain_scores(machine, texts):
+    """Each text's score by a walk over the letters of its words."""
+
+    def code(c):
+        if c.isalpha():
+            low = unicodedata.normalize("NFKD", c.lower())[0]
+            return ord(low) - 96 if "a" <= low <= "z" else 28 + ord(c) % 4
+        return 27 if c.isdigit() else 0
+
+    def margin(unit):
+        letters = [k for k in map(code, unit) if k]
+        if len(letters) < 3:
+            return machine.bias
+        n = X.LONGEST
+        windows = [letters] if len(letters) <= n else [letters[i : i + n] for i in [*range(0, len(letters) - n, n // 2), len(letters) - n]]
+        best = -math.inf
+        for w in windows:
+            triples = defaultdict(float)
+            for i in range(len(w)):
+                for j in range(i + 1, len(w)):
+                    for k in range(j + 1, min(len(w), i + X.REACH)):
+                        triples[(w[i] * X.BASE + w[j]) * X.BASE + w[k]] += X.DECAY ** (k - i + 1)
+            norm = math.sqrt(sum(v * v for v in triples.values()))
+            best = max(best, sum(machine.weights[t] * v for t, v in triples.items()) / norm + machine.bias)
+        return best
+
+    known = {}
+    out = []
+    for t in texts:
+        words = (t or "").lower().split()
+        runs, run = [], []
+        for w in [*words, "  "]:
+            if len(w) == 1:
+                run.append(w)
+            else:
+                runs += ["".join(run)] * (len(run) > 2)
+                run = []
+        most = max((known.setdefault(u, margin(u)) if u not in known else known[u] for u in words + runs), default=machine.bias)
+        out.append(machine.floor + (1 - machine.floor) / (1 + math.exp(-max(-500, min(500, machine.slope * most + machine.shift)))))
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_the_query_against_a_plain_version(spark):
+    docs = pq.read_table(f"{SF}/documents.parquet").to_pylist()
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    toxic = {}
+    for r in pq.read_table(f"{SF}/labels.parquet").to_pylist():
+        if not held(r["doc_id"]) and r["toxic"] is not None:
+            toxic[r["doc_id"]] = max(toxic.get(r["doc_id"], 0), r["toxic"])
+    fit = sorted((d["doc_id"], d["text"]) for d in docs if d["doc_id"] in toxic and d["text"] is not None and len(d["text"]) <= X.SAMPLE_CHARS)
+    machine = X.train([t for _, t in fit], [toxic[i] for i, _ in fit])
+    want = {d["doc_id"]: s for d, s in zip(docs, plain_scores(machine, [d["text"] for d in docs]), strict=True)}
+    got = entries.op1_toxicity(spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.held_out == held(r.doc_id) and r.score == pytest.approx(want[r.doc_id], abs=1e-6) and r.predicted == int(r.score >= 0.7)
