@@ -82,3 +82,20 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     p = L.learn(df)
     assert L.identify(df, p).count() == 0 and p.predict("abc") == ("und", 0.0)
+
+
+def test_very_long_text_and_letters_of_all_planes(spark):
+    rows = corpus(random.Random(9))
+    long_ = " ".join(t for _, t, lang, _ in rows if lang == "bb") * 200 + " \U00031350\U00020000"
+    df = spark.createDataFrame(rows + [(950, long_, None, "x"), (951, "\U00031350", None, "x")], "doc_id long, text string, lang string, x string")
+    profiles = L.learn(df)
+    counts = {}
+    for _, t, lang, _ in rows:
+        if lang:
+            counts.setdefault(lang, Counter()).update(plain_grams(t))
+    plain = {lang: rank(n, L.PROFILE) for lang, n in counts.items()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(df.where("doc_id >= 950"), profiles).collect()}
+    for i, t in ((950, long_), (951, "\U00031350")):
+        want = plain_predict(plain, t, L.PROFILE)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1])
+    assert got[950][0] == "bb" and got[951][0] != "und"

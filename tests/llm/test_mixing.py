@@ -120,3 +120,13 @@ def test_degenerate_tables(spark):
     none = M.learn(df.limit(0), df.limit(0), ("a", "b"))
     assert M.mixed(df.limit(0), none, {"a": 1.0, "b": 1.0})[0].count() == 0
     assert M.mixed(df.where(F.col("text").isNull()), one, {"a": 1.0})[0].first().rate == 1.0
+
+
+def test_very_long_text_and_columns_of_the_operators_names(spark, model):
+    long_ = "rose ruby the of " * 300_000
+    df = spark.createDataFrame([(1, long_, "x", 99, -7.5), (2, None, "y", 98, -8.5), (None, "sea sky", "z", 97, -9.5)], "doc_id long, text string, posterior string, copies int, rate double")
+    rows, _ = M.mixed(df, model, {"a": 1.0, "b": 1.0, "c": 1.0})
+    got = {r.doc_id: r for r in rows.collect()}
+    assert got[1].n_tokens == 1_200_000 and got[1].posterior[0] > 0.9 and got[2].n_tokens == 0 and len(got) == 3
+    kept = M.resampled(df, model, {"a": 1.0, "b": 1.0, "c": 1.0}).collect()
+    assert {tuple(r)[2:] for r in kept} <= {("x", 99, -7.5), ("y", 98, -8.5), ("z", 97, -9.5)} and kept
