@@ -19,7 +19,11 @@ EDGES = rf"^[{WS}]+|[{WS}]+$"
 BOUNDARY = rf"[.!?][{WS}]*$"
 #: ASCII white space without what RE2's \s leaves out: a line with another character is kept.
 INK = r"[^ \t\n\r\f\x{0b}]"
-#: Cell texts that stand for a missing value.
+#: Cell texts that a reader takes as missing, before it strips them.
+NA_MARKERS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+#: Stripped texts that stand for a missing value.
 NA_TOKENS = ("nan",)
 
 

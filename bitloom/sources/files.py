@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.schema import PAIR_SCHEMA
-from bitloom.functions.text import NA_TOKENS, present, strip
+from bitloom.functions.text import NA_MARKERS, NA_TOKENS, present, strip
 from bitloom.sources.ooxml import read_workbook, write_workbook
 
 
@@ -35,8 +34,12 @@ class Columns:
 _EDGE = re.compile(r"^[\s\x1c-\x1f\x85]+|[\s\x1c-\x1f\x85]+$")
 
 
+#: Of `ord`: a file's lines follow those of the files before it in path order, name pairs all lines, and CSV rows both.
+EACH_FILE, NAMES_FROM, CSV_FROM = 1 << 32, 1 << 61, 1 << 62
+
+
 def _clean(v: str | None, drop: tuple[str, ...]) -> str | None:
-    v = None if v is None else _EDGE.sub("", str(v))
+    v = None if v is None or v in NA_MARKERS else _EDGE.sub("", str(v))
     return None if not v or v in NA_TOKENS or v.lower() in drop else v
 
 
@@ -50,8 +53,8 @@ def _lines(doc: str, path: str, sheet: str, rows: list, c: Columns, clean: bool)
         if clean and (src is None or tgt is None):
             continue
         # Ids belong to the row that they stand in, whatever rows before it were dropped.
-        line = get(row, c.line) or f"{doc.lower().replace(' ', '_')}_{sheet}_{i + 1}"
-        yield doc, line, get(row, c.fragment), get(row, c.section), get(row, c.chapter), src, tgt, path, sheet, i
+        ids = [None if v in NA_MARKERS else v for v in (get(row, n) for n in (c.line, c.fragment, c.section, c.chapter))]
+        yield doc, *ids, src, tgt, path, sheet
 
 
 def _names(doc: str, path: str, sheet: str, rows: list, c: Columns) -> Iterator[tuple]:
@@ -67,43 +70,96 @@ def _names(doc: str, path: str, sheet: str, rows: list, c: Columns) -> Iterator[
         for i, row in enumerate(rows[1:]):
             src, tgt = _clean(row[at], ("n/a",)), _clean(row[head.index(twin)], ("n/a",))
             if src is not None and tgt is not None:
-                yield doc, f"{doc}_meta_{sheet}_{h}_{i}", None, None, None, src, tgt, path, sheet, i
+                yield doc, f"{doc}_meta_{sheet}_{h}_{i}", None, None, None, src, tgt, path, sheet
+
+
+def _workbooks(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
+    """path and content of the workbooks under a folder, and `file`, the path's place in the order of all."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", recursive).load(path).select("path", "content")
+    # Names only: contents aren't read for their order. Folders are compared part by part.
+    order = files.select("path").withColumn("file", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long"))
+    if order.isEmpty():
+        raise FileNotFoundError(f"no workbook under {path}")
+    return files.join(order, "path")
 
 
 def workbook_pairs(spark: SparkSession, path: str, columns: Columns = Columns(), recursive: bool = True, lines: bool = True, names: bool = True, clean: bool = True) -> DataFrame:
     """The pairs of all workbooks under a folder: line sheets, and name columns of the other sheets.
 
-    A workbook is read and parsed by one task; a sheet that can't be parsed is left out.
+    A workbook is read and parsed by one task; a sheet that can't be parsed is left out (`broken_sheets`
+    lists those). `ord` goes by file in path order, then sheet and row, name pairs after all lines; a
+    line without an id has none (`fill_line_ids` gives it one).
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", recursive).load(path).select("path", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for where, content in zip(batch["path"], batch["content"], strict=True):
+            for where, content, file in zip(batch["path"], batch["content"], batch["file"], strict=True):
                 doc, out = re.sub(r"\.xlsx$", "", where.rsplit("/", 1)[-1]), []
-                for sheet, rows in read_workbook(bytes(content)).items():
-                    if rows:
-                        out += _lines(doc, where, sheet, rows, columns, clean) if lines else ()
-                        out += _names(doc, where, sheet, rows, columns) if names else ()
-                yield pd.DataFrame([(*r[:-1], n) for n, r in enumerate(out)], columns=PAIR_SCHEMA.names, dtype=object)
+                sheets = [(sheet, rows) for sheet, rows in read_workbook(bytes(content)).items() if rows]
+                for on, read, base in ((lines, lambda *a: _lines(*a, clean), 0), (names, _names, NAMES_FROM)):
+                    found = [r for sheet, rows in sheets for r in read(doc, where, sheet, rows, columns)] if on else []
+                    out += [(*r, base + file * EACH_FILE + n) for n, r in enumerate(found)]
+                yield pd.DataFrame(out, columns=PAIR_SCHEMA.names, dtype=object)
 
-    return files.mapInPandas(parse, PAIR_SCHEMA)
+    return _workbooks(spark, path, recursive).mapInPandas(parse, PAIR_SCHEMA)
+
+
+def broken_sheets(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """path and sheet of the sheets that can't be parsed."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for where, content in zip(batch["path"], batch["content"], strict=True):
+                yield pd.DataFrame([(where, name) for name, rows in read_workbook(bytes(content)).items() if rows is None], columns=["path", "sheet"], dtype=object)
+
+    return _workbooks(spark, path, recursive).mapInPandas(parse, "path string, sheet string")
+
+
+def _position(df: DataFrame, part: Column, order: Column, name: str) -> DataFrame:
+    """df with the rows' 1-based place in the whole table, which goes by part (bounded in number), then order.
+
+    Rows are ranked within their part, and offset by the counts of the parts before."""
+    ranked = df.withColumn("__part", part).withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
+    counts = df.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__part", before.alias("__before"))
+    return ranked.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
 def csv_pairs(spark: SparkSession, path: str, src: str, tgt: str, document: str) -> DataFrame:
-    """The pairs of two columns of a CSV file with a header; line ids number the rows kept, in file order."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """The pairs of two columns of a CSV file (or a folder of them) with a header.
+
+    Line ids number the rows kept, without gaps, by file in path order and then as they stand.
+    """
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).withColumn("__file", F.split(F.col("_metadata.file_path"), "/"))
     raw = raw.toDF(*(c.strip() for c in raw.columns))
-    sides = raw.select(strip(F.col(f"`{src}`")).alias("src"), strip(F.col(f"`{tgt}`")).alias("tgt"), F.monotonically_increasing_id().alias("ord")).where(present(F.col("src")) & present(F.col("tgt")))
+    cell = lambda c: F.when(~F.col(f"`{c}`").isin(*NA_MARKERS), strip(F.col(f"`{c}`")))
+    sides = raw.select(cell(src).alias("src"), cell(tgt).alias("tgt"), "__file", F.monotonically_increasing_id().alias("__row")).where(present(F.col("src")) & present(F.col("tgt")))
+    placed = _position(sides, F.col("__file"), F.col("__row"), "__n")
     name = document.lower().replace(" ", "_")
-    lits = {"source_doc": F.lit(document), "line_id": F.concat(F.lit(f"{name}_"), (F.col("ord") + 1).cast("string")), "source_path": F.lit(path), "sheet_name": F.lit("csv")}
+    lits = {"source_doc": F.lit(document), "line_id": F.concat(F.lit(f"{name}_"), F.col("__n").cast("string")), "source_path": F.lit(path), "sheet_name": F.lit("csv"), "ord": F.lit(CSV_FROM) + F.col("__n")}
     none = {c: F.lit(None).cast("string") for c in ("fragment_id", "section_id", "chapter_id")}
-    return sides.withColumns(lits | none).select(*PAIR_SCHEMA.names)
+    return placed.withColumns(lits | none).select(*PAIR_SCHEMA.names)
 
 
-def optional(path: str, read) -> DataFrame | None:
-    """read() if the local path is there."""
-    return read() if os.path.exists(path) else None
+def fill_line_ids(pairs: DataFrame) -> DataFrame:
+    """Pairs without a line id get the document's name and the row's 1-based place in the whole table by ord.
+
+    Places are counted by stretches of ord as long as a file's, and offset by the stretches before."""
+    name = F.lower(F.replace("source_doc", F.lit(" "), F.lit("_")))
+    placed = _position(pairs, F.floor(F.col("ord") / EACH_FILE), F.col("ord"), "__place")
+    return placed.withColumn("line_id", F.coalesce("line_id", F.concat_ws("_", name, F.col("__place").cast("string")))).select(*pairs.columns)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reaches it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def optional(spark: SparkSession, path: str, read) -> DataFrame | None:
+    """read() if the path is there."""
+    return read() if exists(spark, path) else None
 
 
 def union(parts: list[DataFrame | None]) -> DataFrame:
@@ -129,13 +185,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_xlsx(sheets: dict[str, DataFrame], path: str, most: int = 10_000) -> None:
-    """One sheet per table; a table of over `most` rows is refused."""
+def write_xlsx(sheets: dict[str, DataFrame], path: str, most: int = 10_000, spark: SparkSession | None = None) -> None:
+    """One sheet per table; a table of over `most` rows is refused. With a session the path may be in any store that Spark reaches."""
     out = {}
     for name, df in sheets.items():
         rows = df.limit(most + 1).collect()
         if len(rows) > most:
             raise ValueError(f"{name} has over {most} rows")
         out[name] = [df.columns, *([None if v is None else v for v in r] for r in rows)]
-    with open(path, "wb") as f:
-        f.write(write_workbook(out))
+    data = write_workbook(out)
+    if spark is None:
+        with open(path, "wb") as f:
+            f.write(data)
+        return
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()

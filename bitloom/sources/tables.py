@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bitloom.functions.columns import settled, spread
 from bitloom.functions.text import INK
 
 
@@ -14,9 +15,9 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Documents in French lack the fragment id, those in German have the section id instead, so that every
     fallback of group ids occurs.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    full = docs.withColumn("lines", F.filter(lines, lambda x: F.regexp_like(x["line"], F.lit(INK))))
+    full = settled(docs, lines=F.filter(lines, lambda x: F.regexp_like(x["line"], F.lit(INK))))
     pair = lambda i: F.struct(F.get("lines", 2 * i).alias("a"), F.get("lines", 2 * i + 1).alias("b"))
     rows = full.where(F.size("lines") > 1).select("doc_id", "lang", "source", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("lines") / 2).cast("int") - 1), pair)).alias("p"))
     none = F.lit(None).cast("string")
@@ -50,11 +51,11 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SYSTEMS = ("sys_copy", "sys_lower", "sys_novowel", "sys_reverse", "sys_src")
+SYSTEMS = ("sys_copy", "sys_empty", "sys_lower", "sys_novowel", "sys_reverse", "sys_src")
 
 
 def hypotheses(rows: DataFrame) -> DataFrame:
-    """(source_doc, seg_id, system, src, hyp, ref): five stand-ins for translations of rows(line_id, src, tgt)."""
-    made = {"sys_copy": F.col("tgt"), "sys_lower": F.lower("tgt"), "sys_novowel": F.regexp_replace("tgt", "[aeiou]", ""), "sys_reverse": F.reverse("tgt"), "sys_src": F.col("src")}
+    """(source_doc, seg_id, system, src, hyp, ref): six stand-ins for translations of rows(line_id, src, tgt)."""
+    made = {"sys_copy": F.col("tgt"), "sys_empty": F.lit(""), "sys_lower": F.lower("tgt"), "sys_novowel": F.regexp_replace("tgt", "[aeiou]", ""), "sys_reverse": F.reverse("tgt"), "sys_src": F.col("src")}
     all_ = F.explode(F.array(*(F.struct(F.lit(k).alias("system"), v.alias("hyp")) for k, v in made.items())))
     return rows.select("source_doc", F.col("line_id").alias("seg_id"), "src", F.col("tgt").alias("ref"), all_.alias("x")).select("source_doc", "seg_id", "x.system", "src", "x.hyp", "ref")

@@ -20,20 +20,22 @@ def test_line_and_name_sheets(spark, tmp_path):
     names = [["name_title_src", "name_title_tgt", "name_x_src"], ["T", "U", "z"], ["n/a", "U", None], ["V", "W", None]]
     book(tmp_path / "in" / "Doc One.xlsx", {"lines": lines, "names": names, "other": [["q"], ["1"]]})
     book(tmp_path / "in" / "sub" / "two.xlsx", {"lines": [["line_src", "line_tgt"], ["g", "h"]]})
-    got = files.workbook_pairs(spark, str(tmp_path / "in")).collect()
+    got = files.fill_line_ids(files.workbook_pairs(spark, str(tmp_path / "in"))).collect()
     by = {(r.source_doc, r.src): r for r in got}
     assert set(by) == {("Doc One", "a"), ("Doc One", "c"), ("Doc One", "e"), ("Doc One", "T"), ("Doc One", "V"), ("two", "g")}
     # Ids stay with their rows though rows before them were dropped.
     assert by["Doc One", "e"].line_id == "5" and by["Doc One", "e"].section_id == "t"
-    assert by["Doc One", "c"].line_id == "doc_one_lines_4" and by["Doc One", "c"].section_id is None
+    assert by["Doc One", "c"].line_id == "doc_one_2" and by["Doc One", "c"].section_id is None
     assert by["Doc One", "T"].line_id == "Doc One_meta_names_name_title_src_0" and by["two", "g"].fragment_id is None
+    # Lines of all workbooks by path, then name pairs; a missing id holds the place in the whole table.
+    assert [r.src for r in sorted(got, key=lambda r: r.ord)] == ["a", "c", "e", "g", "T", "V"] and by["two", "g"].line_id == "two_4"
     flat = files.workbook_pairs(spark, str(tmp_path / "in"), recursive=False, names=False)
     assert {r.src for r in flat.collect()} == {"a", "c", "e"}
     raw = files.workbook_pairs(spark, str(tmp_path / "in" / "sub"), clean=False)
     assert raw.first().src == "g"
 
 
-def test_shared_strings_numbers_and_broken_sheets(tmp_path):
+def test_shared_strings_numbers_and_broken_sheets(spark, tmp_path):
     import zipfile
 
     path = tmp_path / "x.xlsx"
@@ -46,18 +48,35 @@ def test_shared_strings_numbers_and_broken_sheets(tmp_path):
         z.writestr("xl/worksheets/b.xml", "<broken")
     got = read_workbook(path.read_bytes())
     assert got["bad"] is None
+    (tmp_path / "y").mkdir()
+    path.rename(tmp_path / "y" / "x.xlsx")
+    assert [r.sheet for r in files.broken_sheets(spark, str(tmp_path / "y")).collect()] == ["bad"]
     assert got["s"][0][:3] == ["plain", None, "rich"] and got["s"][1][:2] == ["3", "2.5"] and got["s"][1][26] == "f"
 
 
 def test_csv_pairs(spark, tmp_path):
-    (tmp_path / "p.csv").write_text(' src , other,tgt\n"a, ""q""",1,"two\nlines"\nnan,2,x\n,3,y\n b ,4, c \n', encoding="utf-8")
+    (tmp_path / "p.csv").write_text(' src , other,tgt\n"a, ""q""",1,"two\nlines"\nnan,2,x\n,3,y\nN/A,3,y\nnull,3,y\n nan ,3,y\n b ,4, c \n', encoding="utf-8")
     got = files.csv_pairs(spark, str(tmp_path / "p.csv"), "src", "tgt", "My Book").collect()
-    assert [(r.source_doc, r.line_id, r.src, r.tgt) for r in got] == [("My Book", "my_book_1", 'a, "q"', "two\nlines"), ("My Book", "my_book_4", "b", "c")]
+    assert [(r.source_doc, r.line_id, r.src, r.tgt) for r in got] == [("My Book", "my_book_1", 'a, "q"', "two\nlines"), ("My Book", "my_book_2", "b", "c")]
+
+
+def test_csv_ids_have_no_gaps_over_several_files(spark, tmp_path):
+    for name, rows in (("b.csv", ["p,q", "NA,x", "r,s"]), ("a.csv", ["t,u", ",v", "w,x"])):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(["src,tgt", *rows]) + "\n")
+    got = sorted(files.csv_pairs(spark, str(tmp_path / "in"), "src", "tgt", "D").collect(), key=lambda r: r.ord)
+    assert [(r.line_id, r.src) for r in got] == [("d_1", "t"), ("d_2", "w"), ("d_3", "p"), ("d_4", "r")]
+
+
+def test_no_workbook(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError, match="no workbook"):
+        files.workbook_pairs(spark, str(tmp_path / "none"))
 
 
 def test_optional_union_and_sinks(spark, tmp_path):
     a = spark.createDataFrame([("x", 1)], "src string, n int")
-    assert files.optional(str(tmp_path / "none.csv"), lambda: a) is None
+    assert files.optional(spark, str(tmp_path / "none.csv"), lambda: a) is None and files.optional(spark, str(tmp_path), lambda: a) is a
     assert files.union([None, a, a.drop("n")]).count() == 2
     with pytest.raises(FileNotFoundError):
         files.union([None])
