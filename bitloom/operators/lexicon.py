@@ -12,12 +12,16 @@ from bitloom.functions.stemming import spanish
 
 #: Letters of a counted word.
 LETTERS = "a-záéíóúüñ"
-#: Frequent Spanish function words.
+#: The words that aren't counted.
 STOPWORDS = (
-    "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre "
-    "también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí antes algunos qué unos yo otro "
-    "otras otra él tanto esa estos mucho quienes nada muchos cual poco ella estar estas algunas algo nosotros mi mis tú te ti tu tus ellas es son fue era "
-    "ser ha han había"
+    "de la el en y a que se los las un una con "
+    "no lo es su al del por le me te nos les "
+    "más si pero ya o era han hay fue ser son "
+    "como cuando para esto esta este eso esa ese "
+    "sus él ella ellos ellas yo tú tu mi mis "
+    "también todo todos toda todas muy bien así "
+    "porque entre hasta desde sobre sin ni e u "
+    "unos unas an has have the le les nos os"
 ).split()
 
 

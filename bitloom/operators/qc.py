@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitloom.functions.columns import settled
 from bitloom.functions.text import n_tokens, present, strip
 
 
@@ -38,15 +39,31 @@ EVAL = QcPolicy(("src", "tgt"), 0.2, 5.0, inclusive=True, least_tokens=2)
 
 def clean(pairs: DataFrame) -> DataFrame:
     """Both sides as stripped text; pairs that lack one go."""
-    sides = {s: strip(F.col(s).cast("string")) for s in ("src", "tgt")}
-    return pairs.withColumns(sides).where(present(F.col("src")) & present(F.col("tgt")))
+    sides = settled(pairs, **{s: strip(F.col(s).cast("string")) for s in ("src", "tgt")})
+    return sides.where(present(F.col("src")) & present(F.col("tgt"))).select(*pairs.columns)
 
 
-def add_features(pairs: DataFrame) -> DataFrame:
-    counted = pairs.withColumns({f"{s}_{n}": f(F.col(s)) for s in ("src", "tgt") for n, f in (("chars", F.length), ("tokens", n_tokens))})
+def _sizes(pairs: DataFrame) -> DataFrame:
+    return settled(pairs, **{f"{s}_chars": F.length(s) for s in ("src", "tgt")})
+
+
+def _tokens(pairs: DataFrame) -> DataFrame:
+    counted = settled(pairs, **{f"{s}_tokens": n_tokens(F.col(s)) for s in ("src", "tgt")})
     return counted.withColumn("len_ratio", (F.col("tgt_tokens") + 1) / (F.col("src_tokens") + 1))
 
 
+def add_features(pairs: DataFrame) -> DataFrame:
+    return _tokens(_sizes(pairs))
+
+
+def accepted(pairs: DataFrame, policy: QcPolicy) -> DataFrame:
+    """Pairs within the bounds, with their features; tokens are counted where the sizes don't rule a pair out."""
+    sized = _sizes(pairs)
+    if policy.chars_below is not None:
+        sized = sized.where((F.col("src_chars") < policy.chars_below) & (F.col("tgt_chars") < policy.chars_below))
+    return _tokens(sized).where(policy.accepts())
+
+
 def dedup_first(pairs: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """Of the rows of a key the one of least ord."""
     first = F.row_number().over(Window.partitionBy(*key).orderBy("ord", "line_id"))
@@ -55,7 +72,7 @@ def dedup_first(pairs: DataFrame, key: tuple[str, ...]) -> DataFrame:
 
 def apply_qc(pairs: DataFrame, policy: QcPolicy) -> DataFrame:
     """Accepted pairs, deduplicated. The bounds read only what is in the key, so they come first."""
-    return dedup_first(add_features(pairs).where(policy.accepts()), policy.dedup_key)
+    return dedup_first(accepted(pairs, policy), policy.dedup_key)
 
 
 def removed_counts(pairs: DataFrame, policy: QcPolicy) -> DataFrame:

@@ -49,12 +49,18 @@ def _joined(lines: DataFrame, by: list[str]) -> DataFrame:
 
 def fragment_level(pairs: DataFrame) -> str | None:
     """The first of fragment, section, chapter that any row has."""
-    has = pairs.agg(*(F.max(F.col(c).isNotNull()).alias(c) for c in LEVELS)).first()
-    return next((c for c in LEVELS if has[c]), None)
+    return levels(pairs).first()["level"]
+
+
+def levels(pairs: DataFrame) -> DataFrame:
+    """One row: level, the first of fragment, section, chapter that any row has."""
+    has = pairs.agg(*(F.max(F.col(c).isNotNull()).alias(c) for c in LEVELS))
+    return has.select(F.coalesce(*(F.when(F.col(c), F.lit(c)) for c in LEVELS)).alias("level"))
 
 
 def fragment_view(pairs: DataFrame, level: str | None = None) -> DataFrame:
-    """Lines joined per document and id of the level; rows without the id go. No level: empty."""
+    """Lines joined per document and id of the level; rows without the id go. Without a level given the pairs
+    are run through once more to find it; where there is none the view is empty."""
     level = level or fragment_level(pairs)
     if level is None:
         return _joined(pairs.limit(0), ["source_doc", "fragment_id"]).withColumnRenamed("fragment_id", "unit_id")

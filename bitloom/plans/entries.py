@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.operators import lexicon, metrics, sample, splits, stats, translate, views
-from bitloom.operators.qc import EVAL, TRAIN, QcPolicy, add_features, apply_qc, clean, dedup_first, removed_counts
+from bitloom.operators.qc import EVAL, TRAIN, QcPolicy, accepted, add_features, apply_qc, clean, dedup_first, removed_counts
 from bitloom.plans import oracles
+from bitloom.sources import files
 from bitloom.sources.files import Columns, unpivot_names
 from bitloom.sources.tables import SYSTEMS, document_pairs, hypotheses, turn_pairs
 
@@ -62,17 +65,18 @@ def turn_pairs_eval(spark, d):
 
 @query
 def qc_features(spark, d):
-    return add_features(_pairs(spark, d)).select("line_id", "src_chars", "tgt_chars", "src_tokens", "tgt_tokens", F.round("len_ratio", 6).alias("len_ratio"))
+    counts = ["src_chars", "tgt_chars", "src_tokens", "tgt_tokens"]
+    return add_features(_pairs(spark, d)).select("line_id", *counts, F.round("len_ratio", 6).alias("len_ratio"))
 
 
 @query
 def qc_train(spark, d):
-    return add_features(_pairs(spark, d)).where(TRAIN.accepts()).select("line_id", "src", "tgt")
+    return accepted(_pairs(spark, d), TRAIN).select("line_id", "src", "tgt")
 
 
 @query
 def qc_eval(spark, d):
-    return add_features(_pairs(spark, d)).where(EVAL.accepts()).select("line_id", "src", "tgt")
+    return accepted(_pairs(spark, d), EVAL).select("line_id", "src", "tgt")
 
 
 @query
@@ -158,13 +162,24 @@ def view_sentence(spark, d):
 
 @query
 def view_fragment(spark, d):
-    return views.fragment_view(_qc(spark, d, TRAIN))
+    return views.fragment_view(_qc(spark, d, TRAIN), "fragment_id")
+
+
+@query
+def view_level(spark, d):
+    return views.levels(_qc(spark, d, TRAIN))
 
 
 @query
 def metadata_unpivot(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
-    named = part.select(F.col("p_partkey").cast("string").alias("line_id"), F.col("p_name").alias("name_part_src"), F.col("p_type").alias("name_part_tgt"), F.col("p_brand").alias("name_brand_src"), F.when(F.length("p_name") > 12, "N/A").otherwise(F.col("p_brand")).alias("name_brand_tgt"))
+    named = part.select(
+        F.col("p_partkey").cast("string").alias("line_id"),
+        F.col("p_name").alias("name_part_src"),
+        F.col("p_type").alias("name_part_tgt"),
+        F.col("p_brand").alias("name_brand_src"),
+        F.when(F.length("p_name") > 12, "N/A").otherwise(F.col("p_brand")).alias("name_brand_tgt"),
+    )
     return unpivot_names(named, ["line_id"], Columns())
 
 
@@ -229,11 +244,50 @@ def rating_sheet(spark, d):
     return sample.rating_sheet(translate.wide(hypotheses(chosen).where(F.col("system").isin(two)), two), two, "a", "b")
 
 
+def _translated(spark: SparkSession, d: str) -> DataFrame:
+    rows = translate.both_directions(_shuffled(spark, d).where("split = 'test'").withColumnRenamed("line_id", "seg_id"), ("aa", "bb"))
+    return translate.translate(rows, [translate.System("back", translate.reversing), translate.System("mark", translate.marking, 8)])
+
+
 @query
 def translate_stub(spark, d):
-    rows = translate.both_directions(_shuffled(spark, d).where("split = 'test'").withColumnRenamed("line_id", "seg_id"), ("aa", "bb"))
-    made = translate.translate(rows, [translate.System("back", translate.reversing), translate.System("mark", translate.marking, 8)])
-    return made.select("seg_id", "direction", "system", "hyp")
+    return _translated(spark, d).select("seg_id", "direction", "system", "hyp")
+
+
+@query
+def eval_results(spark, d):
+    return metrics.results(_translated(spark, d))
+
+
+@query
+def eval_samples(spark, d):
+    return metrics.samples(_hyps(spark, d))
+
+
+def _files(spark: SparkSession) -> str:
+    """A folder for files that a query writes and reads again, in the shared folder of the session."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+@query
+def csv_round_trip(spark, d):
+    """All turns with their answers, written as CSV in their order and read again as pairs."""
+    path = f"{_files(spark)}/turns"
+    files.write_csv(turn_pairs(spark, d).select(F.col("src").alias(" first "), F.col("tgt").alias("second"), "ord").orderBy("ord"), path)
+    return files.csv_pairs(spark, path, "first", "second", "The Turns").select("source_doc", "line_id", "src", "tgt", "sheet_name")
+
+
+@query
+def xlsx_round_trip(spark, d):
+    """The nations as a line sheet, and the regions' names as a sheet of name columns, written as a workbook and read again."""
+    nation, region = spark.read.parquet(f"{d}/nation.parquet"), spark.read.parquet(f"{d}/region.parquet")
+    has = F.col("n_nationkey") % 3 > 0
+    lines = nation.select(F.col("n_name").alias("line_src"), F.lower("n_name").alias("line_tgt"), F.when(has, F.col("n_nationkey")).alias("id_line"), F.col("n_regionkey").alias("id_section")).orderBy("n_nationkey")
+    named = region.select(F.col("r_name").alias("name_region_src"), F.when(F.col("r_regionkey") == 2, "N/A").otherwise(F.lower("r_name")).alias("name_region_tgt")).orderBy("r_regionkey")
+    path = _files(spark)
+    files.write_xlsx({"lines": lines, "names": named}, f"{path}/The Nations.xlsx", spark=spark)
+    return files.fill_line_ids(files.workbook_pairs(spark, path)).select("source_doc", "line_id", "section_id", "src", "tgt", "sheet_name")
 
 
 def queries() -> dict:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bitloom.functions.text import BOUNDARY, EDGES, INK, TOKEN, WS
-from bitloom.operators.lexicon import LETTERS, STOPWORDS
+from bitloom.functions.text import BOUNDARY, EDGES, INK, NA_MARKERS, TOKEN, WS
+from bitloom.operators.lexicon import LETTERS
 from bitloom.operators.metrics import PUNCTUATION, TOKENIZE_13A
 
 PAIRS = rf"""
@@ -38,7 +38,7 @@ shuf AS (SELECT eg.*, CASE WHEN k <= ceil(ceil(n * CAST(0.2 AS DOUBLE)) * CAST(0
 
 
 def _hyps(rows: str) -> str:
-    made = {"sys_copy": "tgt", "sys_lower": "lower(tgt)", "sys_novowel": "regexp_replace(tgt, '[aeiou]', '', 'g')", "sys_reverse": "reverse(tgt)", "sys_src": "src"}
+    made = {"sys_copy": "tgt", "sys_empty": "''", "sys_lower": "lower(tgt)", "sys_novowel": "regexp_replace(tgt, '[aeiou]', '', 'g')", "sys_reverse": "reverse(tgt)", "sys_src": "src"}
     return " UNION ALL ".join(f"SELECT source_doc, line_id AS seg_id, '{k}' AS system, src, {v} AS hyp, tgt AS ref FROM {rows}" for k, v in made.items())
 
 
@@ -54,27 +54,45 @@ def _chrf_words(c: str) -> str:
     return f"flatten(list_transform(list_filter(regexp_split_to_array({c}, '[{WS}]+'), lambda w: w <> ''), lambda w: {cut}))"
 
 
-def _stats() -> str:
+def _stats(h: str) -> str:
+    """Statistics and scores of h(seg_id, system, hyp, ref)."""
     sides = []
     for s in ("hyp", "ref"):
-        sides.append(f"SELECT seg_id, system, '{s}' AS side, 'char' AS kind, n, list_transform(range(1, length(b) - n + 2), lambda i: substr(b, i, n)) AS grams FROM (SELECT seg_id, system, regexp_replace({s}, '[{WS}]+', '', 'g') AS b FROM h), range(1, 7) t(n)")
+        sides.append(
+            f"SELECT seg_id, system, '{s}' AS side, 'char' AS kind, n, list_transform(range(1, length(b) - n + 2), lambda i: substr(b, i, n)) AS grams "
+            f"FROM (SELECT seg_id, system, regexp_replace({s}, '[{WS}]+', '', 'g') AS b FROM h), range(1, 7) t(n)"
+        )
         for kind, words, most in (("word", _chrf_words(s), 2), ("bleu", _bleu_words(s), 4)):
-            sides.append(f"SELECT seg_id, system, '{s}' AS side, '{kind}' AS kind, n, list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], chr(1))) AS grams FROM (SELECT seg_id, system, {words} AS w FROM h), range(1, {most + 1}) t(n)")
+            sides.append(
+                f"SELECT seg_id, system, '{s}' AS side, '{kind}' AS kind, n, list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], chr(1))) AS grams "
+                f"FROM (SELECT seg_id, system, {words} AS w FROM h), range(1, {most + 1}) t(n)"
+            )
     return f""",
-h AS ({_hyps("(SELECT * FROM strat WHERE split = 'test')")}),
+h AS ({h}),
 gr AS ({" UNION ALL ".join(sides)}),
-gc AS (SELECT seg_id, system, kind, n, gram, count(*) FILTER (side = 'hyp') AS h, count(*) FILTER (side = 'ref') AS r FROM (SELECT seg_id, system, side, kind, n, unnest(grams) AS gram FROM gr) GROUP BY ALL),
+gc AS (SELECT seg_id, system, kind, n, gram, count(*) FILTER (side = 'hyp') AS h, count(*) FILTER (side = 'ref') AS r
+       FROM (SELECT seg_id, system, side, kind, n, unnest(grams) AS gram FROM gr) GROUP BY ALL),
 gs AS (SELECT seg_id, system, kind, n, sum(h) AS h, sum(r) AS r, sum(least(h, r)) AS m FROM gc GROUP BY ALL),
-st AS (SELECT system, kind, CAST(n AS BIGINT) AS n, CAST(sum(CASE WHEN r > 0 THEN h ELSE 0 END) AS BIGINT) AS hyp, CAST(sum(h) AS BIGINT) AS hyp_all, CAST(sum(r) AS BIGINT) AS ref, CAST(sum(m) AS BIGINT) AS match FROM gs GROUP BY ALL),
-cm AS (SELECT system, o.w AS word_order, b.b AS beta, avg(CAST(match AS DOUBLE) / hyp) AS p, avg(CAST(match AS DOUBLE) / ref) AS r FROM st, (VALUES (0), (2)) o(w), (VALUES (1), (2)) b(b)
-       WHERE hyp > 0 AND ref > 0 AND (kind = 'char' OR (kind = 'word' AND n <= o.w)) GROUP BY ALL),
-chrf AS (SELECT system, CAST(word_order AS BIGINT) AS word_order, CAST(beta AS BIGINT) AS beta, CASE WHEN p + r > 0 THEN 100 * (1 + beta * beta) * p * r / (beta * beta * p + r) ELSE 0 END AS score FROM cm),
-bl AS (SELECT system, CAST(max(hyp_all) FILTER (n = 1) AS DOUBLE) AS c, CAST(max(ref) FILTER (n = 1) AS DOUBLE) AS r, list(CAST(match AS DOUBLE) ORDER BY n) AS m, list(CAST(hyp_all AS DOUBLE) ORDER BY n) AS t FROM st WHERE kind = 'bleu' GROUP BY system),
-bz AS (SELECT *, list_transform(range(1, 5), lambda i: CASE WHEN m[i] > 0 THEN m[i] / t[i] ELSE 1 / (pow(2, len(list_filter(m[1:i], lambda x: x = 0))) * t[i]) END) AS p FROM bl),
-bleu AS (SELECT system, 100 * CASE WHEN c < r THEN exp(1 - r / c) ELSE 1 END * exp((ln(p[1]) + ln(p[2]) + ln(p[3]) + ln(p[4])) / 4) AS score FROM bz)"""
-
-
-_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+sf AS (SELECT system, kind, CAST(n AS BIGINT) AS n, sum(CASE WHEN r > 0 THEN h ELSE 0 END) AS hyp, sum(h) AS hyp_all, sum(r) AS ref, sum(m) AS match FROM gs GROUP BY ALL),
+ks AS (SELECT 'char' AS kind, CAST(n AS BIGINT) AS n FROM range(1, 7) t(n) UNION ALL SELECT 'word', n FROM range(1, 3) t(n) UNION ALL SELECT 'bleu', n FROM range(1, 5) t(n)),
+st AS (SELECT system, kind, n, CAST(coalesce(hyp, 0) AS BIGINT) AS hyp, CAST(coalesce(hyp_all, 0) AS BIGINT) AS hyp_all, CAST(coalesce(ref, 0) AS BIGINT) AS ref,
+       CAST(coalesce(match, 0) AS BIGINT) AS match FROM (SELECT DISTINCT system FROM h) CROSS JOIN ks LEFT JOIN sf USING (system, kind, n)),
+cm AS (SELECT system, o.w AS word_order, b.b AS beta, avg(CAST(match AS DOUBLE) / nullif(hyp, 0)) FILTER (hyp > 0 AND ref > 0) AS p, avg(CAST(match AS DOUBLE) / nullif(ref, 0)) FILTER (hyp > 0 AND ref > 0) AS r
+       FROM st, (VALUES (0), (2)) o(w), (VALUES (1), (2)) b(b) WHERE kind = 'char' OR (kind = 'word' AND n <= o.w) GROUP BY ALL),
+chrf AS (SELECT system, CAST(word_order AS BIGINT) AS word_order, CAST(beta AS BIGINT) AS beta,
+         CASE WHEN p + r > 0 THEN 100 * (1 + beta * beta) * p * r / (beta * beta * p + r) ELSE 0 END AS score FROM cm),
+bl AS (SELECT system, CAST(max(hyp_all) FILTER (n = 1) AS DOUBLE) AS c, CAST(max(ref) FILTER (n = 1) AS DOUBLE) AS r, list(CAST(match AS DOUBLE) ORDER BY n) AS m, list(CAST(hyp_all AS DOUBLE) ORDER BY n) AS t
+       FROM st WHERE kind = 'bleu' GROUP BY system),
+bz AS (SELECT *, list_transform(range(1, 5), lambda i: CASE WHEN m[i] > 0 THEN m[i] / t[i] ELSE 1 / (pow(2, len(list_filter(m[1:i], lambda x: x = 0))) * greatest(t[i], 1)) END) AS p FROM bl),
+bleu AS (SELECT system, CASE WHEN list_max(m) = 0 OR list_min(t) = 0 THEN 0
+         ELSE 100 * CASE WHEN c < r THEN exp(1 - r / greatest(c, 1)) ELSE 1 END * exp((ln(p[1]) + ln(p[2]) + ln(p[3]) + ln(p[4])) / 4) END AS score FROM bz)"""
+
+
+#: The words that aren't counted.
+_UNCOUNTED = """de la el en y a que se los las un una con no lo es su al del por le me te nos les más si pero ya o era han hay fue ser son
+como cuando para esto esta este eso esa ese sus él ella ellos ellas yo tú tu mi mis también todo todos toda todas muy bien así
+porque entre hasta desde sobre sin ni e u unos unas an has have the le les nos os"""
+_STOP = ", ".join(f"'{w}'" for w in _UNCOUNTED.split())
 WORDS = f""",
 tx AS (SELECT 'src' AS system, ord, src AS text FROM train UNION ALL SELECT 'tgt', ord, tgt FROM train),
 tw AS (SELECT system, ord, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[{LETTERS}]+$') AND length(w) > 2 AND w NOT IN ({_STOP})) AS ws FROM tx),
@@ -109,7 +127,13 @@ FROM sr JOIN pack USING (source_doc, key, i) GROUP BY source_doc, key, seg"""
 
 def sql() -> dict[str, str]:
     t, s, e = f"WITH {PAIRS}", f"WITH {PAIRS}{SPLIT}", f"WITH {PAIRS}{SHUFFLE}"
-    m = s + _stats()
+    m = s + _stats(_hyps("(SELECT * FROM strat WHERE split = 'test')"))
+    ways = "SELECT line_id AS seg_id, 'aa-bb' AS direction, src, tgt AS ref FROM shuf WHERE split = 'test' UNION ALL SELECT line_id, 'bb-aa', tgt, src FROM shuf WHERE split = 'test'"
+    made = "SELECT *, 'back' AS system, reverse(src) AS hyp FROM ways UNION ALL SELECT *, 'mark', '[' || replace(direction, '-', '>') || '] ' || src FROM ways"
+    both = f"{e}, ways AS ({ways})" + _stats(f"SELECT seg_id, system || ' ' || direction AS system, hyp, ref FROM ({made})")
+    family = {"ChrF": (0, 1), "ChrF++": (2, 1), "ChrF2": (0, 2), "ChrF2++": (2, 2)}
+    scores = ", ".join(f"round(max(c.score) FILTER (word_order = {o} AND beta = {b}), 2) AS \"{name}\"" for name, (o, b) in family.items())
+    marks = ", ".join("'" + x + "'" for x in NA_MARKERS)
     w = t + WORDS
     return {
         "pairs_clean": f"{t} SELECT * FROM pairs",
@@ -146,13 +170,24 @@ def sql() -> dict[str, str]:
         "chrf_scores": f"{m} SELECT system, word_order, beta, round(score, 4) AS score FROM chrf",
         "bleu_scores": f"{m} SELECT system, round(score, 4) AS score FROM bleu",
         "metric_delta": f"{m} SELECT a.word_order, a.beta, round(a.score - b.score, 4) AS delta FROM chrf a JOIN chrf b USING (word_order, beta) WHERE a.system = 'sys_lower' AND b.system = 'sys_novowel'",
-        "hyp_wide": f"""{s} SELECT source_doc, line_id AS seg_id, src, tgt AS ref, tgt AS sys_copy, lower(tgt) AS sys_lower, regexp_replace(tgt, '[aeiou]', '', 'g') AS sys_novowel, reverse(tgt) AS sys_reverse, src AS sys_src
+        "hyp_wide": f"""{s} SELECT source_doc, line_id AS seg_id, src, tgt AS ref, tgt AS sys_copy, '' AS sys_empty, lower(tgt) AS sys_lower, regexp_replace(tgt, '[aeiou]', '', 'g') AS sys_novowel, reverse(tgt) AS sys_reverse, src AS sys_src
             FROM strat WHERE split = 'test'""",
         "word_freq_top": f"{w} SELECT system, rank, word, n FROM tops WHERE rank <= 100",
         "word_freq_compare": f"{w} SELECT a.rank, a.word AS word_left, a.n AS count_left, b.word AS word_right, b.n AS count_right FROM tops a JOIN tops b USING (rank) WHERE a.system = 'src' AND b.system = 'tgt' AND rank <= 20",
         "sample_allocation": f"{e}{ALLOC} SELECT source_doc, count, n FROM alloc",
         "stratified_sample": f"{e}{ALLOC} SELECT source_doc, line_id AS seg_id, src, tgt FROM picked",
         "rating_sheet": f"{e}{ALLOC} SELECT source_doc, line_id AS seg_id, src AS source_a, tgt AS reference_b, tgt AS translation_b_sys_copy, lower(tgt) AS translation_b_sys_lower, '' AS eval_sys_copy, '' AS eval_sys_lower FROM picked",
-        "translate_stub": f"""{e}, d AS (SELECT line_id AS seg_id, 'aa-bb' AS direction, src FROM shuf WHERE split = 'test' UNION ALL SELECT line_id, 'bb-aa', tgt FROM shuf WHERE split = 'test')
-            SELECT seg_id, direction, 'back' AS system, reverse(src) AS hyp FROM d UNION ALL SELECT seg_id, direction, 'mark', '[' || replace(direction, '-', '>') || '] ' || src FROM d""",
+        "translate_stub": f"{e}, ways AS ({ways}) SELECT seg_id, direction, system, hyp FROM ({made})",
+        "eval_results": f"""{both} SELECT split_part(system, ' ', 1) AS system, split_part(system, ' ', 2) AS direction, round(max(b.score), 2) AS "BLEU", {scores}
+            FROM chrf c JOIN bleu b USING (system) GROUP BY system""",
+        "eval_samples": f"{s}, h AS ({_hyps("(SELECT * FROM strat WHERE split = 'test')")}) "
+        "SELECT system, seg_id, src, ref, hyp FROM h QUALIFY row_number() OVER (PARTITION BY system ORDER BY seg_id) <= 5",
+        "view_level": f"{t} SELECT CASE WHEN count(fragment_id) > 0 THEN 'fragment_id' WHEN count(section_id) > 0 THEN 'section_id' WHEN count(chapter_id) > 0 THEN 'chapter_id' END AS level FROM train",
+        "csv_round_trip": f"""WITH led AS (SELECT *, lead(text) OVER w AS nt, lead(role) OVER w AS nr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+            p AS (SELECT conv_id * 1000 + turn AS ord, regexp_replace(text, '{EDGES}', '', 'g') AS src, regexp_replace(nt, '{EDGES}', '', 'g') AS tgt
+                  FROM led WHERE role = 'user' AND nr = 'assistant' AND text NOT IN ({marks}) AND nt NOT IN ({marks}))
+            SELECT 'The Turns' AS source_doc, 'the_turns_' || row_number() OVER (ORDER BY ord) AS line_id, src, tgt, 'csv' AS sheet_name FROM p WHERE src NOT IN ('', 'nan') AND tgt NOT IN ('', 'nan')""",
+        "xlsx_round_trip": """SELECT 'The Nations' AS source_doc, CASE WHEN n_nationkey % 3 > 0 THEN CAST(n_nationkey AS VARCHAR) ELSE 'the_nations_' || row_number() OVER (ORDER BY n_nationkey) END AS line_id,
+              CAST(n_regionkey AS VARCHAR) AS section_id, n_name AS src, lower(n_name) AS tgt, 'lines' AS sheet_name FROM nation
+            UNION ALL SELECT 'The Nations', 'The Nations_meta_names_name_region_src_' || r_regionkey, NULL, r_name, lower(r_name), 'names' FROM region WHERE r_regionkey <> 2""",
     }

@@ -71,6 +71,23 @@ def test_bleu_by_hand(spark):
     assert metrics.bleu(two).first().score == pytest.approx(100 * math.exp(1 - 6 / 4) * (3 / 4 * 1 / 3 * 1 / (2 * 2) * 1 / (4 * 1)) ** 0.25)
 
 
+def test_systems_without_a_match_or_without_output_score_0(spark):
+    rows = [("none", "", "a b c d e"), ("none", None, "f g"), ("other", "q r s t u", "a b c d e"), ("same", "a b c d e", "a b c d e"), ("short", "a b", "a b")]
+    stats = metrics.ngram_stats(hyps(spark, rows), ("char", "word", "bleu"))
+    assert {r.system: round(r.score, 6) for r in metrics.bleu(stats).collect()} == {"none": 0, "other": 0, "same": 100, "short": 0}
+    for r in metrics.chrf_all(stats).collect():
+        assert round(r.score, 6) == {"none": 0, "other": 0, "same": 100, "short": 100}[r.system], (r.system, r.word_order, r.beta)
+
+
+def test_results_summary_and_samples(spark):
+    rows = spark.createDataFrame([("d", "2", "a-b", "x", "s", "the cat sat here", "the cat sat here"), ("d", "1", "a-b", "y", "s", "one two", "one two"), ("d", "1", "b-a", "y", "s", "", "z")], "source_doc string, seg_id string, direction string, src string, system string, hyp string, ref string")
+    table = metrics.results(rows)
+    assert table.columns == ["system", "direction", "BLEU", "ChrF", "ChrF++", "ChrF2", "ChrF2++"]
+    assert {tuple(r) for r in table.collect()} == {("s", "a-b", *[100.0] * 5), ("s", "b-a", *[0.0] * 5)}
+    assert metrics.summary(table).splitlines()[1].split() == ["s", "a-b", *["100.00"] * 5]
+    assert [r.seg_id for r in metrics.samples(rows.where("direction = 'a-b'"), 1).collect()] == ["1"]
+
+
 def test_13a_tokens(spark):
     df = spark.createDataFrame([("He said: \"3,000.5 km!\" - a-b 9-10 &quot;x&quot;.",)], "t string")
     assert df.select(metrics.bleu_tokens(F.col("t"))).first()[0] == ["He", "said", ":", '"', "3,000.5", "km", "!", '"', "-", "a-b", "9", "-", "10", '"', "x", '"', "."]
