@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from bitloom.llm import language_id, mixing, near_dedup, piece_codec, secret_scan
 from bitloom.llm.common import Scratch, apart, documents, dropped_after, together
 
-#: Tokens wanted from the mixture, over those that come in: what is taken from low and toxic text is made up by clean.
-BUDGET = 1.0
+#: Tokens wanted from the mixture, over those that come in: enough that clean documents stay, and make up for what low and toxic ones lose.
+BUDGET = 1.1
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
