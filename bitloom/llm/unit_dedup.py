@@ -12,7 +12,7 @@ chance stays, and a long passage goes whatever its pieces. `pieces=False` leaves
 
 The least place per digest is aggregated before it is shuffled, and what was cut meets it in a join. A digest
 that very many places have is dealt out over SALTS shares there, so a line that a third of all documents
-hold is never gathered in one task. What was cut is written once, and read for both.
+hold is never gathered in one task. Texts are cut once for each: what is cut weighs more than the texts.
 
 Defined results: null and blank texts have no lines; rows equal in id and text are one document;
 documents of equal id and different text are ranked by a hash of the text; a null id ranks first;
@@ -162,7 +162,6 @@ def units(docs: DataFrame, pieces: bool = True, least_whole: int = LEAST_WHOLE,
 
 def _later(found: DataFrame, scratch: Scratch) -> DataFrame:
     """Of units(), the rows whose digest has an earlier place, and keeper, its document."""
-    found = scratch.keep(found)
     place = F.struct("doc_id", "row", "start")
     # Written and read again, both sides of the join come from plain exchanges, whose hot partitions can be split.
     first = scratch.keep(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
