@@ -122,9 +122,9 @@ def kernel(units: list[str], landmark_features: np.ndarray) -> np.ndarray:
     by_triple = np.ascontiguousarray(landmark_features.T)
     out = np.zeros((len(units), len(landmark_features)), np.float32)
     for own, rows in _by_length(units):
-        for a in range(0, len(rows), 128):
-            ids, w, norm = _triple_ids(rows[a : a + 128])
-            np.maximum.at(out, own[a : a + 128], np.einsum("btm,t->bm", by_triple[ids], w.astype(np.float32)) / norm[:, None].astype(np.float32))
+        for a in range(0, len(rows), 32):
+            ids, w, norm = _triple_ids(rows[a : a + 32])
+            np.maximum.at(out, own[a : a + 32], np.einsum("btm,t->bm", by_triple[ids], w.astype(np.float32)) / norm[:, None].astype(np.float32))
     return out
 
 
@@ -327,6 +327,8 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, cost:
     clean = np.array([label < 0 and bool(len(units[k])) for k, (_, label) in enumerate(parts)])
     of_doc = [np.array(sorted({at[" ".join(s.lower().split())] for s in SENTENCE.split(t or "")}), np.int64) for t in texts]
     fold = rng.permutation(len(texts)) % FOLDS
+    # What the fits don't read needn't lie beside them.
+    del parts, bags, near, in_docs
 
     def witnesses(rows: np.ndarray, worth: np.ndarray) -> Counter:
         """Of each sentence its word of greatest worth, and of how many sentences it is that."""
