@@ -168,17 +168,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= (F.size("x") + F.size("y") - F.col("common")) * percent).select("u", "v")
 
 
-def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, native: bool = False) -> DataFrame:
+def linked(
+    buckets: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    percent: int,
+    scratch: Scratch,
+    native: bool = False,
+    narrow: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(id, root) of the ids that a confirmed link joins to another.
 
-    buckets: (id, n, bucket), n the set's size; sets_of: ids to (id, items); native: by DataFrame functions
-    alone, without parity maps.
+    buckets: (id, n, bucket), n the set's size; sets_of: ids to (id, items) and what else narrow reads; native: by
+    DataFrame functions alone, without parity maps; narrow: takes from the pairs (u, v), given the sets, those that
+    a filter of the caller's own rules out, in place of parity maps.
     """
-    few = 0 if native else FEW
+    few, mapped = 0 if native else FEW, not native and narrow is None
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     near = scratch.keep(buckets.join(scratch.keep(shared), "bucket").distinct())
     sets = scratch.keep(sets_of(near.select("id").distinct()))
-    maps = sets.select("id", F.lit(None).cast("array<long>").alias("map")) if native else scratch.keep(parity_maps(sets))
+    maps = scratch.keep(parity_maps(sets)) if mapped else sets.select("id", F.lit(None).cast("array<long>").alias("map"))
     live = scratch.keep(near.join(maps, "id").withColumn("root", F.col("id")))
     root = None
     centres = 1
@@ -187,9 +195,9 @@ def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
         share = F.pmod(F.xxhash64("id", "bucket"), F.lit(centres))
         chosen = scratch.keep(live.groupBy("bucket", share.alias("share")).agg(F.min(F.struct("id", "n", "root", "map")).alias("c")).select("bucket", "c"))
         held = live.withColumn("o", F.struct("id", "n", "root", "map")).select("bucket", "o").join(chosen, "bucket")
-        held = held.where((F.col("c.root") != F.col("o.root")) & _may_link("c", "o", percent, not native))
+        held = held.where((F.col("c.root") != F.col("o.root")) & _may_link("c", "o", percent, mapped))
         pairs = held.select(F.least("o.id", "c.id").alias("u"), F.greatest("o.id", "c.id").alias("v")).distinct()
-        found = scratch.keep(_verified(pairs, sets, percent))
+        found = scratch.keep(_verified(narrow(pairs, sets) if narrow else pairs, sets, percent))
         if root is None:
             root = scratch.keep(components(found, scratch, few))
         else:
