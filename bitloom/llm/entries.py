@@ -92,6 +92,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(documents(spark, sf_dir)).select("doc_id", "start", "end", "n_units", "n_words", "kept_doc_id")
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.ngram_join import similar_documents
+
+    return similar_documents(documents(spark, sf_dir), shingle=4, percent=85)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.impact_index import search
+
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", k=50)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bitloom.llm.prefix_trie import seeded_trie
+
+    return seeded_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict:
     own = {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return own | {"document_fingerprint_classes": document_fingerprint_classes, "pipeline": corpus_pipeline.run}

@@ -28,6 +28,70 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+def _components(n: int, percent: int) -> str:
+    grams = "list_transform(range(1, len(ws) - %d), lambda i: %s)" % (n - 2, " || ' ' || ".join(f"ws[i + {k}]" for k in range(n)))
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= {n} THEN {grams}
+                                             WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS sh FROM w),
+n AS (SELECT sh, min(doc_id) AS rep FROM s WHERE len(sh) > 0 GROUP BY sh),
+u AS (SELECT rep, len(sh) AS n, unnest(sh) AS g FROM n),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.rep < b.rep
+      WHERE least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= {percent} * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS id, rep AS seen FROM n UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a),
+k AS (SELECT id, min(seen) AS root FROM r GROUP BY id)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(k.root, s.doc_id) AS component_id
+FROM s LEFT JOIN n USING (sh) LEFT JOIN k ON k.id = n.rep
+"""
+
+
+OP12 = r"""
+WITH t AS (SELECT rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)),
+f AS (SELECT rid, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT rid, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY rid),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // all_terms)))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN f USING (term) JOIN d USING (rid), c GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""
+
+#: Nodes are named by the digests of their turns, one after another; a descendant's path is its smallest member's.
+OP13 = r"""
+WITH bits AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([CAST(i AS BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]),
+                lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+crc AS (SELECT conv_id, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8))) AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL) CROSS JOIN bits),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+                  coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS root, h % 4 AS h FROM crc),
+b AS (SELECT c.conv_id, o.pos, role, txt FROM c JOIN o ON o.conv_id = c.root WHERE o.pos <= h
+      UNION ALL SELECT c.conv_id, o.pos, role, txt FROM c JOIN o USING (conv_id) WHERE o.pos > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(length(role) || ':' || role || txt), '') OVER w AS node,
+             len(list_filter(regexp_split_to_array(txt, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+      FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+      UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+e AS (SELECT conv_id, max(depth) AS last FROM p GROUP BY conv_id),
+n AS (SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+             coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = last), '') AS ends FROM p JOIN e USING (conv_id) GROUP BY depth, node),
+k AS (SELECT depth - 1 AS depth, left(node, 32 * (CAST(depth AS INTEGER) - 1)) AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, node)),
+s AS (SELECT p.depth, p.node, sum((m.n_convs - 1) * m.words) AS saved, count(*) FILTER (m.n_children = 0) AS n_leaves
+      FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY ALL)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(m.n_convs AS BIGINT) AS n_convs, CAST(m.n_children AS BIGINT) AS n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN s USING (depth, node) LEFT JOIN m u ON u.depth = m.depth - 1 AND u.node = left(m.node, 32 * (CAST(m.depth AS INTEGER) - 1)) AND m.depth > 0
+"""
+
 OP6 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -162,3 +226,4 @@ SELECT d.doc_id, d.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1 -
 """
 
 SQL = {"op2_language_id": OP2, "op4_secret_scans": _op4(), "op6_minhash_near_dedup": OP6, "op8_quality_rules": OP8, "op9_document_fingerprints": _op9(), "op10_substring_dedup": OP10, "document_fingerprint_classes": _fingerprint_classes()}
+SQL |= {"op11_ngram_jaccard_join": _components(4, 85), "op12_ranked_search": OP12, "op13_conversation_trie": OP13}
