@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Documents of a block.
-SPAN = 2048
+SPAN = 512
 #: Rows (query, term) of a batch, about.
 QUERY_TERMS = 16_384
 #: Terms are runs of ASCII letters and digits and of all characters beyond ASCII; A-Z are lower-cased.

@@ -1,0 +1,90 @@
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from bitloom.llm import impact_index as I
+
+RUNS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def split(text):
+    return RUNS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in (text or "")))
+
+
+def plain(docs, items, k):
+    """Every document for every item, by the formula."""
+    counts = [(i, Counter(split(t))) for i, t in docs]
+    n_docs, all_ = sum(bool(c) for _, c in counts), sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    out = []
+    asked = {}
+    for item, text in items:
+        asked.setdefault(item, set()).update(split(text))
+    for item, wanted in asked.items():
+        scored = []
+        for doc, c in counts:
+            m = 50 + 50 * sum(c.values()) * n_docs // all_ if c else 0
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t in wanted if t in c)
+            if s > 0:
+                scored.append((-s, doc is None, doc or 0, doc))
+        out += [(item, r, doc, -s) for r, (s, _, _, doc) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def result(df):
+    return sorted((tuple(r) for r in df.select("item_id", "rank", "doc_id", "score").collect()), key=str)
+
+
+def corpus(rng, n):
+    word = lambda: rng.choice("abcd") + rng.choice("xyzé") * rng.randint(0, 2)
+    docs = [(i, rng.choice([" ", ", ", "\n"]).join(word().title() if rng.random() < 0.2 else word() for _ in range(rng.choice([1, 3, 20, 120])))) for i in rng.sample(range(10_000), n)]
+    return docs + [(docs[i][0] + 20_000, docs[i][1]) for i in range(0, n, 7)]  # equal scores
+
+
+def frames(spark, docs, items):
+    return spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize(("span", "batch", "k"), [(512, 16_384, 50), (17, 16_384, 5), (64, 9, 7), (1, 16_384, 3)])
+def test_against_every_document(spark, span, batch, k):
+    rng = random.Random(span)
+    docs = corpus(rng, 60 if span == 1 else 300)
+    items = [(i, " ".join(rng.choice("abcd") + rng.choice(["", "x", "yy", "éz", "Z"]) for _ in range(rng.randint(1, 9)))) for i in range(12)]
+    d, q = frames(spark, docs, items)
+    assert result(I.search(d, q, "item_id", k=k, span=span, batch=batch)) == plain(docs, items, k)
+
+
+def slices_of(numbers):
+    return [sum((x >> b & 1) << p for p, x in enumerate(numbers)) for b in range(max(numbers).bit_length())]
+
+
+def test_slices_add_and_rank_like_numbers():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(1, 70)
+        a, b = ([rng.choice([0, rng.randrange(1 << rng.randint(1, 34))]) for _ in range(n)] for _ in range(2))
+        total = I.added(slices_of(a), slices_of(b))
+        sums = [sum((s >> p & 1) << i for i, s in enumerate(total)) for p in range(n)]
+        assert sums == [x + y for x, y in zip(a, b, strict=True)]
+        k = rng.randint(1, 12)
+        want = sorted((-s, p) for p, s in enumerate(sums) if s)[:k]
+        chosen = I.best(total, k)
+        assert {p for p in range(n) if chosen >> p & 1} == {p for _, p in want}
+    assert I.best([], 5) == 0 and I.best([0, 0], 5) == 0
+
+
+def test_edges(spark):
+    long = "alpha " * 40_000 + "beta"
+    docs = [(1, None), (2, ""), (3, "... \n"), (5, "alpha"), (5, "alpha"), (4, "ALPHA"), (None, "alpha"), (6, long), (7, "gamma"), (8, "İstanbul é_x")]
+    items = [(1, "Alpha? beta"), (2, None), (3, "--"), (4, "nowhere"), (5, "alpha"), (5, "gamma"), (None, "beta"), (6, "İSTANBUL é x")]
+    d, q = frames(spark, docs, items)
+    d, q = d.select("doc_id", "text", F.lit(0).alias("score"), F.lit(0).alias("a.b"), F.lit(0).alias("term")), q.select("item_id", "text", F.lit(0).alias("query"), F.lit(0).alias("c d"))
+    got = result(I.search(d, q, "item_id"))
+    assert got == plain(docs, items, 50)
+    assert {r[0] for r in got} == {1, 5, None, 6}
+    assert I.search(d.limit(0), q, "item_id").count() == 0
+    assert I.search(d, q.limit(0), "item_id").count() == 0

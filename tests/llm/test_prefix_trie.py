@@ -1,0 +1,112 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from bitloom.llm import prefix_trie as P
+from bitloom.llm.common import Scratch
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def rebuilt(rows):
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(t)] for c, t in own.items()}
+    rest = lambda c: c - (abs(c) % 20) * (1 if c >= 0 else -1)
+    h = lambda c: zlib.crc32(str(c).encode()) % 4
+    return {c: own.get(rest(c), [])[: h(c)] + t[h(c) :] for c, t in own.items()}
+
+
+def plain(convs):
+    """The trie as a dictionary of prefixes."""
+    nodes = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(tuple(turns[:d]), []).append(c)
+    out = []
+    below = lambda v: [x for x in nodes if x[: len(v)] == v]
+    words = lambda t: len([w for w in t.replace("\n", " ").replace("\t", " ").split(" ") if w])
+    for v, members in nodes.items():
+        sub = below(v)
+        ends = ",".join(map(str, sorted(c for c in members if len(convs[c]) == len(v))))
+        leaves = sum(not any(len(y) == len(x) + 1 and y[: len(x)] == x for y in sub) for x in sub)
+        saved = sum((len(nodes[x]) - 1) * words(x[-1][1]) for x in sub if x)
+        out.append((min(members), len(v), min(nodes[v[:-1]]) if v else None, len(members), sum(len(x) == len(v) + 1 for x in sub), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def result(df):
+    return sorted((tuple(r) for r in df.select(COLUMNS).collect()), key=str)
+
+
+def conversations(rng, n):
+    rows = []
+    for c in rng.sample(range(-40, 200), n):
+        turns = rng.choice([1, 2, 3, 5, 12])
+        kind = rng.choice("abc")
+        same = rng.randint(0, turns)
+        for t in range(turns):
+            text = f"{kind} says {t} to all" if t < same else " ".join(rng.choice("xyz") for _ in range(rng.randint(0, 6)))
+            rows.append((c, t + 3, rng.choice(["user", "bot"]) if t >= same else ["user", "bot"][t % 2], text))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_a_dictionary(spark, seed, monkeypatch):
+    rows = conversations(random.Random(seed), 90)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert result(P.seeded_trie(df)) == plain(rebuilt(rows))
+
+
+def test_short_stretches_and_many_passes(spark, monkeypatch):
+    """Long equal conversations, stretches of three turns, first pass over one depth."""
+    monkeypatch.setattr(P, "STRETCH", 3)
+    rows = [(c, t, "user", f"t{t} a b") for c in range(4) for t in range(23 if c < 2 else 17 + c)] + [(9, t, "user", f"t{t} a b" if t < 11 else "else") for t in range(15)]
+    convs = {}
+    for c, _, role, text in rows:
+        convs.setdefault(c, []).append((role, text))
+    scratch = Scratch(spark)
+    placed = P.ordered_turns(spark.createDataFrame(rows, SCHEMA).repartition(3), scratch)
+    got = P.trie(placed.withColumnRenamed("pos", "depth"), placed.groupBy("conv_id").agg(F.max("pos").alias("len")), scratch, first=1)
+    assert result(got) == plain(convs)
+    assert result(P.conversation_trie(spark.createDataFrame(rows, SCHEMA))) == plain(convs)
+
+
+def test_one_conversation_over_many_partitions(spark):
+    rows = [(7, t, "user", f"turn {t}") for t in range(3000)] + [(c, 0, "user", "hi") for c in range(40, 50)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    placed = P.ordered_turns(df.repartition(8), Scratch(spark))
+    long = placed.where("conv_id = 7")
+    assert sorted(r["pos"] for r in long.collect()) == list(range(1, 3001))
+    got = result(P.seeded_trie(df))
+    assert got == [r for r in plain_long(rebuilt(rows))]
+
+
+def plain_long(convs):
+    """plain() for a conversation that is alone from its first turn on."""
+    few = {c: t for c, t in convs.items() if c != 7} | {7: convs[7][:1]}
+    out = [r for r in plain(few) if not (r[0] == 7 and r[1] > 0)]
+    n, empty = len(convs[7]), hashlib.sha256(b"").hexdigest()
+    low = min(few)
+    out += [(7, d, low if d == 1 else 7, 1, int(d < n), 1, 0, hashlib.sha256(b"7").hexdigest() if d == n else empty) for d in range(1, n + 1)]
+    return sorted(out, key=str)
+
+
+def test_edges(spark):
+    long = "w " * 50_000
+    rows = [
+        (None, 1, "user", "x"), (1, None, "user", "first"), (1, 0, None, None), (2, None, "user", "first"), (2, 0, "", ""), (3, 1, "a", "bc"), (4, 1, "ab", "c"),
+        (23, 0, "user", long), (24, 0, "user", long), (25, 5, "user", "same"), (25, 5, "user", "same"), (26, 5, "bot", "tie"), (26, 5, "ant", "tie"), (-3, 0, "user", "neg"), (60, 0, "user", None),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).select("*", F.lit(1).alias("depth"), F.lit(2).alias("len"), F.lit(3).alias("a.b"), F.lit(4).alias("k1"))
+    assert result(P.seeded_trie(df)) == plain(rebuilt(rows))
+    assert P.seeded_trie(df.limit(0)).count() == 0
+    one = spark.createDataFrame([(5, 0, "user", "only")], SCHEMA)
+    assert result(P.seeded_trie(one)) == plain(rebuilt([(5, 0, "user", "only")]))
+    assert result(P.conversation_trie(one)) == plain({5: [("user", "only")]})
