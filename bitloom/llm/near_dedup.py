@@ -180,9 +180,9 @@ def linked(
 
     buckets: (id, n, bucket), n the set's size; sets_of: ids to (id, items) and what else narrow reads; native: by
     DataFrame functions alone, without parity maps; narrow: takes from the pairs (u, v), given the sets, those that
-    a filter of the caller's own rules out, in place of parity maps.
+    a filter of the caller's own rules out.
     """
-    few, mapped = 0 if native else FEW, not native and narrow is None
+    few, mapped = 0 if native else FEW, not native
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     near = scratch.keep(buckets.join(scratch.keep(shared), "bucket").distinct())
     sets = scratch.keep(sets_of(near.select("id").distinct()))

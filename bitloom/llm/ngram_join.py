@@ -13,7 +13,10 @@ whatever the counts are, so they bear on the work and not on the result.
 
 Sets that are equal are one node. In a bucket one member after another is a centre that the others are held
 against, only while the bucket still spans several components (near_dedup.linked), so groups of near copies
-are joined by few pairs and no pair that could join two components is left out.
+are joined by few pairs and no pair that could join two components is left out. Sizes and parity maps go before
+the other orders, so that pairs which can't reach the Jaccard are dropped before their prefixes are fetched.
+Tokens that one document alone has, most of all, are shuffled once, and texts never: bitmaps of fixed size tell tasks
+which tokens and documents may be wanted, a join settles it.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a text of fewer words than a
 shingle is one shingle of them all; rows of equal id count as one document; a null id is in the class of the
@@ -39,6 +42,8 @@ from bitloom.llm.near_dedup import ODD, WordHashes, _lists, _sliced, linked, mix
 ORDERS = 3
 #: Counters of a row (two rows), as a power of two: 4 MB in all, whatever the table's size.
 COUNTER_BITS = 18
+#: Bits of a membership bitmap, as a power of two: 1 MB, whatever the table's size.
+MAP_BITS = 23
 
 
 def _slots(items: np.ndarray) -> np.ndarray:
@@ -91,20 +96,80 @@ def prefixes(items: np.ndarray, counts: np.ndarray, percent: int, orders: int) -
     return [items[np.argsort(rank | h, kind="stable")[:first]].view(np.int64) for h in own]
 
 
-def _prefixed(docs: DataFrame, shingle: int, percent: int, orders: int, counts, whole: bool) -> DataFrame:
-    """id, n, prefixes o0, o1 and so on, of docs(doc_id, text); whole: with the set itself as items."""
-    names = ["id", "n", *(f"o{j}" for j in range(orders)), *(["items"] if whole else [])]
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (mixed(keys.astype(np.int64).view(np.uint64) * ODD[1]) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def membership(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the bit of each of keys(k) set: what isn't in it is no key, what is may be one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << MAP_BITS, bool)
+        for batch in batches:
+            bits[_slot(batch.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(bits), pa.int32())], ["slot"])
+
+    slots = keys.mapInArrow(run, "slot int").distinct().toArrow()["slot"].to_numpy()
+    bits = np.zeros(1 << MAP_BITS, bool)
+    bits[slots] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _slot(keys)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def first_prefixes(docs: DataFrame, shingle: int, percent: int, counts) -> DataFrame:
+    """id, n and the prefix under the first order, o0, of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = WordHashes(), counts.value
         for batch in _sliced(batches):
             sets = [shingle_set(t.as_py(), shingle, hashes) for t in batch.column(1)]
+            own = _lists([prefixes(s, known, percent, 1)[0] for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), own], ["id", "n", "o0"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, o0 array<long>")
+
+
+def sets_and_prefixes(docs: DataFrame, wanted, shingle: int, percent: int, orders: int, counts) -> DataFrame:
+    """id, items and the prefixes under the other orders, o1 and so on, of docs(doc_id, text) whose id is in the bitmap `wanted`."""
+    names = ["id", "items", *(f"o{j}" for j in range(1, orders))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, known, bits = WordHashes(), counts.value, wanted.value
+        for batch in _sliced(batches):
+            ids = batch.column(0)
+            asked = _may_hold(bits, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+            some = batch.filter(pa.array(asked))
+            sets = [shingle_set(t.as_py(), shingle, hashes) for t in some.column(1)]
             found = [prefixes(s, known, percent, orders) for s in sets]
-            lists = [_lists([f[j] for f in found]) for j in range(orders)]
-            full = [_lists([s.view(np.int64) for s in sets])] if whole else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), *lists, *full], names)
+            lists = [_lists([s.view(np.int64) for s in sets]), *(_lists([f[j] for f in found]) for j in range(1, orders))]
+            yield pa.RecordBatch.from_arrays([some.column(0), *lists], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(["id long", *(f"{c} array<long>" for c in names[1:])]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(["id long", "n long", *(f"{c} array<long>" for c in names[2:])]))
+
+def shared_tokens(keyed: DataFrame, members: DataFrame, work: Scratch) -> DataFrame:
+    """(id, n, bucket) of the prefix tokens of keyed(id, n, o0) that two or more documents have, of documents that stand for
+    their copies. Of the tokens that one document has, few pass the bitmap of the others, so they are shuffled once."""
+    spark = keyed.sparkSession
+    all_ = keyed.select("id", F.explode("o0").alias("bucket"))
+    shared = work.keep(all_.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket"))
+    bits = spark.sparkContext.broadcast(membership(shared))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            tokens = np.asarray(lists.flatten())
+            near = _may_hold(bits.value, tokens)
+            of = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))[near]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(tokens[near])], ["id", "n", "bucket"])
+
+    near = keyed.select("id", "n", "o0").mapInArrow(run, "id long, n long, bucket long").join(shared, "bucket", "left_semi")
+    firsts = members.where("doc_id = rep").select(F.col("doc_id").alias("id")).distinct()
+    return work.keep(near.join(firsts, "id", "left_semi").select("id", "n", "bucket"))
 
 
 def sharing_prefixes(pairs: DataFrame, sets: DataFrame, orders: int) -> DataFrame:
@@ -127,12 +192,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, orde
     copies = work.keep(own.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
     members = own.join(copies, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
     members = scratch.keep(members)
-    firsts = members.where("doc_id = rep").select(F.col("doc_id").alias("id")).distinct()
-    keyed = _prefixed(plain, shingle, percent, 1, counts, False).join(firsts, "id", "left_semi")
-    buckets = work.keep(keyed).select("id", "n", F.explode("o0").alias("bucket"))
+    buckets = shared_tokens(work.keep(first_prefixes(plain, shingle, percent, counts)), members, work)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return _prefixed(plain.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), shingle, percent, orders, counts, True)
+        wanted = spark.sparkContext.broadcast(membership(ids.select("id")))
+        return sets_and_prefixes(plain, wanted, shingle, percent, orders, counts).join(ids, "id", "left_semi")
 
     root = linked(buckets, sets_of, percent, work, narrow=lambda pairs, sets: sharing_prefixes(pairs, sets, orders))
     root = scratch.keep(root)

@@ -57,15 +57,24 @@ def test_orders_differ_and_put_rare_tokens_first():
 
 
 def test_other_orders_rule_pairs_out(spark):
-    """Pairs that share a rare token alone meet under the first order and go by the others."""
+    """Pairs that meet under the first order by the one word they share go by the others, but for chance."""
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
-    docs = [(i, " ".join(["same", *[word() for _ in range(60)]])) for i in range(60)]
-    sets = J._prefixed(frame(spark, docs), 1, 85, 3, spark.sparkContext.broadcast(np.ones(2 << J.COUNTER_BITS, np.int64)), True).cache()
-    met = sets.select(F.col("id").alias("u"), F.explode("o0").alias("t")).join(sets.select(F.col("id").alias("v"), F.explode("o0").alias("t")), "t")
-    pairs = met.where("u < v").select("u", "v").distinct()
-    assert J.sharing_prefixes(pairs, sets, 3).count() < pairs.count() or not pairs.count()
-    assert {tuple(r) for r in J.sharing_prefixes(pairs, sets, 1).collect()} == {tuple(r) for r in pairs.collect()}
+    df = frame(spark, [(i, " ".join(["same", *[word() for _ in range(60)]])) for i in range(60)])
+    share = spark.sparkContext.broadcast
+    counts = share(np.ones(2 << J.COUNTER_BITS, np.int64))
+    sets = J.sets_and_prefixes(df, share(np.full((1 << J.MAP_BITS) // 8, 255, np.uint8)), 1, 85, 3, counts).cache()
+    pairs = sets.select(F.col("id").alias("u")).join(sets.select(F.col("id").alias("v")), F.col("u") < F.col("v"))
+    left = {tuple(r) for r in J.sharing_prefixes(pairs, sets, 3).collect()}
+    arrays = {r["id"]: (set(r["o1"]), set(r["o2"])) for r in sets.collect()}
+    assert left == {(u, v) for u in arrays for v in arrays if u < v and all(a & b for a, b in zip(arrays[u], arrays[v], strict=True))}
+    assert len(left) < pairs.count() and {tuple(r) for r in J.sharing_prefixes(pairs, sets, 1).collect()} == {tuple(r) for r in pairs.collect()}
+
+
+def test_bitmap_holds_every_key(spark):
+    keys = np.random.default_rng(2).integers(-(2**63), 2**63, 5000)
+    bits = J.membership(spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(3))
+    assert J._may_hold(bits, keys).all() and J._may_hold(bits, keys + 1).mean() < 0.01
 
 
 def test_a_large_group_beside_a_common_passage(spark):
