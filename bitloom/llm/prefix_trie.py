@@ -96,7 +96,8 @@ def refined(at: DataFrame, scratch: Scratch, first: int = FIRST) -> DataFrame:
         if alive is not None:
             here = here.join(alive, "conv_id", "left_semi")
         split = here.groupBy(*node).agg(F.count(F.lit(1)).alias("n_convs"), F.min("conv_id").alias("owner"), F.sum((F.col("len") == F.col("depth")).cast("long")).alias("enders"))
-        rows = scratch.keep(here.join(split.where("n_convs > 1"), node))
+        # Written first, the classes are joined by a join of their own, in which a class of many members can be split.
+        rows = scratch.keep(here.join(scratch.keep(split.where("n_convs > 1")), node))
         shared = rows if shared is None else shared.union(rows)
         alive = rows.where((F.col("depth") == hi) & (F.col("len") > hi)).select("conv_id")
         if alive.isEmpty():
