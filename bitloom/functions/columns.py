@@ -23,6 +23,21 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*(f"`{c}`" for c in df.columns if c not in columns), row).select(*(f"`{c}`" for c in df.columns if c not in columns), "settled.*")
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever is in it."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def apart(df: DataFrame, *own: str) -> DataFrame:
+    """df with columns other than `own` named c0, c1 and so on by place, so that no name clashes with an operator's, and none needs quotes."""
+    return df.select(*(quoted(c).alias(c if c in own else f"c{i}") for i, c in enumerate(df.columns)))
+
+
+def together(df: DataFrame, like: DataFrame, *own: str) -> DataFrame:
+    """The columns of `like` out of a table made from apart(like, *own), with their names."""
+    return df.select(*(F.col(c if c in own else f"c{i}").alias(c) for i, c in enumerate(like.columns)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt out to all cores if it is small: a file of one row group would be read and worked on by one task."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
