@@ -97,6 +97,39 @@ def test_sentence_packing_against_a_plain_pass(spark):
     assert sorted((r.source_doc, r.line_id, r.n_lines, r.src, r.tgt) for r in got.collect()) == plain_sentences(rows)
 
 
+@pytest.mark.parametrize("kind", ["never closes", "closes now and then", "other documents between"])
+def test_one_long_document_over_many_partitions(spark, kind):
+    """Tasks share a document; what hangs on the partitions before is told by tables of states."""
+    rng = random.Random(len(kind))
+    rows = []
+    for i in range(3000):
+        long = kind == "closes now and then" and rng.random() < 0.002
+        text = "y" * 270 if long else "x" * rng.choice([1, 2, 7, 30, 90]) + ("." if kind == "other documents between" and i % 40 == 0 else "")
+        doc = rng.choice("AB") if kind == "other documents between" and 900 < i < 1500 else "A"
+        rows.append((doc, f"l{i}", None, None, None, text, f"t{i}", i))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = views.sentence_view(table(spark, rows).repartition(7)).collect()
+        scratch = [r.part for r in views._segments(_laid(spark, rows)).where("last").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((r.source_doc, r.line_id, r.n_lines, r.src, r.tgt) for r in got) == plain_sentences(rows)
+    assert len(scratch) >= 12
+
+
+def _laid(spark, rows):
+    lines = table(spark, rows).selectExpr("source_doc AS doc", "'d' AS key", "ord", "line_id", "src", "tgt", "length(src) AS chars", "src LIKE '%.' AS ends")
+    return lines.repartitionByRange("doc", "ord").sortWithinPartitions("doc", "ord").withColumn("part", F.spark_partition_id())
+
+
+def test_sentence_view_of_no_lines_and_null_documents(spark):
+    assert views.sentence_view(table(spark, [("A", "1", None, None, None, "x", "p", 1)]).limit(0)).count() == 0
+    got = views.sentence_view(table(spark, [(None, "1", None, None, None, "x", "p", 1), (None, "2", None, None, None, "y" * 30 + ".", "q", 2)])).collect()
+    assert [(r.source_doc, r.line_id, r.n_lines, r.tgt) for r in got] == [(None, "1", 2, "p q")]
+
+
 def test_fragment_level_and_text(spark):
     rows = [("A", "1", None, "s", None, "x", "p", 2), ("A", "0", None, "s", None, "y", "q", 1), ("A", "2", None, None, "c", "z", "r", 3)]
     got = views.fragment_view(table(spark, rows)).collect()
