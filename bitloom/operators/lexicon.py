@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,9 +54,5 @@ def compare_top(freq: DataFrame, left: str, right: str, k: int = 20) -> DataFram
     return side(left, "left").join(side(right, "right"), "rank")
 
 
-def _stem_all(words: pd.Series) -> pd.Series:
-    return words.map(spanish)
-
-
 def spanish_stem(word: Column) -> Column:
-    return F.pandas_udf(_stem_all, "string")(word)
+    return spanish(word)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.operators import lexicon, metrics, sample, splits, stats, translate, views
+from bitloom.functions.scratch import Scratch
+from bitloom.functions.text import n_tokens
+from bitloom.operators import encode, lexical, lexicon, metrics, sample, splits, stats, translate, views
 from bitloom.operators.qc import EVAL, TRAIN, QcPolicy, accepted, add_features, apply_qc, clean, dedup_first, removed_counts
 from bitloom.plans import oracles
 from bitloom.sources import files
@@ -226,6 +230,13 @@ def word_freq_stemmed(spark, d):
     return lexicon.top_words(lexicon.word_freq(_texts(spark, d), lexicon.spanish_stem), 100)
 
 
+@query
+def word_stems(spark, d):
+    """The stem of every distinct word."""
+    words = lexicon.word_freq(_texts(spark, d)).select("word").distinct()
+    return words.select("word", lexicon.spanish_stem(F.col("word")).alias("stem"))
+
+
 @query
 def sample_allocation(spark, d):
     return sample.allocate(_shuffled(spark, d).where("split = 'test'"), SAMPLE)
@@ -254,6 +265,69 @@ def translate_stub(spark, d):
     return _translated(spark, d).select("seg_id", "direction", "system", "hyp")
 
 
+def _trained(spark: SparkSession, d: str) -> DataFrame:
+    """The test segments in both directions by models learnt from the training segments, after one pass and after five."""
+    scratch = Scratch(spark)
+    rows = scratch.keep(_stratified(spark, d).select("source_doc", F.col("line_id").alias("seg_id"), "src", "tgt", "split"))
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    first, fifth = {}, {}
+    for way, pairs in ((("aa", "bb"), train), (("bb", "aa"), train.select(F.col("tgt").alias("src"), F.col("src").alias("tgt")))):
+        models = [m for m, _ in zip(lexical.epochs(pairs, scratch=scratch), range(lexical.PASSES), strict=False)]
+        empty = lexical.learn(pairs, passes=0)
+        first[way], fifth[way] = (models[0], models[-1]) if models else (empty, empty)
+    systems = [translate.System("one_pass", translate.lexical(first)), translate.System("five_passes", translate.lexical(fifth, no_repeat=3, batch_size=8), 8)]
+    return translate.translate(translate.both_directions(test, ("aa", "bb")), systems)
+
+
+@query
+def trained_translations(spark, d):
+    return _trained(spark, d).select("seg_id", "direction", "system", "hyp")
+
+
+@query
+def trained_results(spark, d):
+    return metrics.results(_trained(spark, d))
+
+
+@query
+def lexical_table(spark, d):
+    """What the words of the training segments become, by three passes over all of them; shares of a hundredth or more."""
+    model = lexical.learn(_stratified(spark, d).where("split = 'train'"), passes=3)
+    e, f = np.nonzero(model.table >= 0.01)  # of 1,002 source words at most 100 each
+    words = lambda own, at: [None if i < lexical.OWN else own[i - lexical.OWN] for i in at]
+    table = pa.table({"e": e, "src": pa.array(words(model.src, e), pa.string()), "tgt": pa.array(words(model.tgt, f), pa.string()), "p": np.round(model.table[e, f], 6)})
+    return spark.createDataFrame(table).where("e <> 1 AND tgt IS NOT NULL").drop("e")
+
+
+def _examples(spark: SparkSession, d: str) -> DataFrame:
+    train = _stratified(spark, d).where("split = 'train'")
+    return translate.both_directions(train.withColumnRenamed("line_id", "seg_id"), ("aa", "bb"))
+
+
+@query
+def encoded_examples(spark, d):
+    """The training segments in both directions as ids, tagged, cut, batched and padded."""
+    rows = encode.encode_pairs(_examples(spark, d).withColumn("key", F.concat_ws("|", "seg_id", "direction")), ("aa", "bb"))
+    batched = encode.batches(rows.withColumn("length", F.size("input_ids")), "key", "length")
+    return encode.padded(batched).select("seg_id", "direction", "bucket", "batch", "input_ids", "attention_mask", "labels")
+
+
+def _batched(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths are words here, up to the limit, so that SQL can follow."""
+    rows = _examples(spark, d).select(F.concat_ws("|", "seg_id", "direction").alias("key"), F.least(n_tokens(F.col("src")), F.lit(encode.LIMIT)).alias("length"))
+    return encode.batches(rows, "key", "length")
+
+
+@query
+def length_batches(spark, d):
+    return _batched(spark, d).select("key", "length", "bucket", "places", "batch")
+
+
+@query
+def padding_by_bucket(spark, d):
+    return encode.padding_share(_batched(spark, d), "length")
+
+
 @query
 def eval_results(spark, d):
     return metrics.results(_translated(spark, d))

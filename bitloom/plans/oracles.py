@@ -99,6 +99,63 @@ tw AS (SELECT system, ord, list_filter(regexp_extract_all(lower(text), '[\\p{{L}
 ws AS (SELECT system, ord, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM tw),
 wf AS (SELECT system, word, count(*) AS n, min({{'ord': ord, 'pos': pos}}) AS first FROM ws GROUP BY ALL),
 tops AS (SELECT system, row_number() OVER (PARTITION BY system ORDER BY n DESC, first, word) AS rank, word, n FROM wf)"""
+#: The endings of the public Snowball stemmer for Spanish.
+_V = "aeiouáéíóúü"
+_SE = "me|se|sela|selo|selas|selos|la|le|lo|las|les|los|nos"
+_OSO = "anza|anzas|ico|ica|icos|icas|ismo|ismos|able|ables|ible|ibles|ista|istas|oso|osa|osos|osas|amiento|amientos|imiento|imientos"
+_ADORA = "adora|ador|ación|adoras|adores|aciones|ante|antes|ancia|ancias"
+_REST = "logía|logías|ución|uciones|encia|encias|mente|idad|idades|iva|ivo|ivas|ivos|amente"
+_YA = "ya|ye|yan|yen|yeron|yendo|yo|yó|yas|yes|yais|yamos"
+_EN = "en|es|éis|emos"
+_AR = """arían|arías|arán|arás|aríais|aría|aréis|aríamos|aremos|ará|aré|erían|erías|erán|erás|eríais|ería|eréis|eríamos|eremos|erá|eré
+irían|irías|irán|irás|iríais|iría|iréis|iríamos|iremos|irá|iré|aba|ada|ida|ía|ara|iera|ad|ed|id|ase|iese|aste|iste|an|aban|ían|aran|ieran|asen
+iesen|aron|ieron|ado|ido|ando|iendo|ió|ar|er|ir|as|abas|adas|idas|ías|aras|ieras|ases|ieses|ís|áis|abais|íais|arais|ierais|aseis|ieseis|asteis
+isteis|ados|idos|amos|ábamos|íamos|imos|áramos|iéramos|iésemos|ásemos""".replace("\n", "|")
+
+
+def _stems(words: str) -> str:
+    """(word, stem) of words(word), a step after another."""
+    end = lambda w, endings, start="0": f"regexp_extract(substr({w}, CAST({start} AS BIGINT) + 1), '({endings})$', 1)"
+    cut = lambda w, e: f"left({w}, length({w}) - length({e}))"
+    plain = lambda w: f"translate({w}, 'áéíóú', 'aeiou')"
+    at = lambda w, pattern: f"length(regexp_extract({w}, '{pattern}', 0))"
+    after = f"^.*?[{_V}][^{_V}]"
+    second = f"CASE WHEN regexp_matches(w, '^.[^{_V}]') THEN {at('w', f'^..[^{_V}]*[{_V}]')} ELSE {at('w', f'^..[{_V}]*[^{_V}]')} END"
+    last = f"CASE WHEN l IN ('e', 'é') AND {cut('v', 'l')} LIKE '%gu' AND length(v) - 1 > rv THEN left(v, length(v) - 2) ELSE {cut('v', 'l')} END"
+    steps = [
+        f"SELECT word, lower(word) AS w FROM ({words})",
+        f"SELECT *, CASE WHEN {at('w', after)} > 0 THEN {at('w', after)} ELSE length(w) END AS r1 FROM @",
+        f"SELECT *, CASE WHEN {at('substr(w, r1 + 1)', after)} > 0 THEN r1 + {at('substr(w, r1 + 1)', after)} ELSE length(w) END AS r2, "
+        f"CASE WHEN length(w) < 3 THEN length(w) WHEN regexp_matches(w, '^[^{_V}][{_V}]') THEN 3 WHEN {second} > 0 THEN {second} ELSE length(w) END AS rv FROM @",
+        f"SELECT *, {end('w', _SE, 'rv')} AS p FROM @",
+        f"SELECT *, {cut('w', 'p')} AS b FROM @",
+        f"SELECT *, {end('b', 'iéndo|ándo|ár|ér|ír', 'rv')} AS pa, {end('b', 'ando|iendo|ar|er|ir', 'rv')} <> '' OR (b LIKE '%uyendo' AND length(b) - 5 >= rv) AS pv FROM @",
+        f"SELECT word, r1, r2, rv, CASE WHEN p = '' THEN w WHEN pa <> '' THEN {cut('b', 'pa')} || {plain('pa')} WHEN pv THEN b ELSE w END AS w FROM @",
+        f"SELECT *, {end('w', f'{_OSO}|{_ADORA}|{_REST}')} AS e FROM @",
+        f"SELECT *, {cut('w', 'e')} AS s, '|' || e || '|' AS x FROM @",
+        f"""SELECT *, CASE WHEN contains('|{_ADORA}|', x) THEN {end('s', 'ic')} WHEN e = 'mente' THEN {end('s', 'ante|able|ible')} WHEN e IN ('idad', 'idades') THEN {end('s', 'abil|ic|iv')}
+            WHEN e IN ('iva', 'ivo', 'ivas', 'ivos') THEN {end('s', 'at')} WHEN e = 'amente' THEN {end('s', 'iv|os|ic|ad')} ELSE '' END AS m,
+            CASE WHEN e IN ('logía', 'logías') THEN 'log' WHEN e IN ('ución', 'uciones') THEN 'u' WHEN e IN ('encia', 'encias') THEN 'ente' ELSE '' END AS new FROM @""",
+        f"""SELECT word, rv, w, CASE WHEN e = '' THEN w WHEN e <> 'amente' AND length(s) < r2 THEN w WHEN e = 'amente' AND length(s) < r1 THEN w
+            WHEN m <> '' AND length(s) - length(m) >= r2 THEN CASE WHEN e = 'amente' AND m = 'iv' AND s LIKE '%ativ' AND length(s) - 4 >= r2 THEN left(s, length(s) - 4) ELSE {cut('s', 'm')} END
+            ELSE s || new END AS v FROM @""",
+        f"SELECT *, {end('v', _YA, 'rv')} AS y, {end('v', f'{_EN}|{_AR}', 'rv')} AS z FROM @",
+        f"""SELECT word, rv, CASE WHEN v <> w THEN v WHEN y <> '' AND {cut('v', 'y')} LIKE '%u' THEN {cut('v', 'y')} WHEN z = '' THEN v
+            WHEN contains('|{_EN}|', '|' || z || '|') AND {cut('v', 'z')} LIKE '%gu' THEN left(v, length(v) - length(z) - 1) ELSE {cut('v', 'z')} END AS v FROM @""",
+        f"SELECT *, {end('v', 'os|a|o|á|í|ó|e|é', 'rv')} AS l FROM @",
+        f"SELECT word, {plain(last)} AS stem FROM @",
+    ]
+    out = steps[0]
+    for step in steps[1:]:
+        out = step.replace("@", f"({out})")
+    return out
+
+
+STEMS = f""",
+stems AS MATERIALIZED ({_stems("SELECT DISTINCT word FROM wf")}),
+sw AS (SELECT system, stem, word, n, first, row_number() OVER (PARTITION BY system, stem ORDER BY n DESC, first, word) AS k, sum(n) OVER w AS total, min(first) OVER w AS f
+       FROM wf JOIN stems USING (word) WINDOW w AS (PARTITION BY system, stem)),
+stops AS (SELECT system, row_number() OVER (PARTITION BY system ORDER BY total DESC, f, stem) AS rank, word, CAST(total AS BIGINT) AS n FROM sw WHERE k = 1)"""
 ALLOC = """,
 al AS (SELECT source_doc, count(*) AS count FROM shuf WHERE split = 'test' GROUP BY ALL),
 ax AS (SELECT *, CAST(count AS DOUBLE) / sum(count) OVER () * 28 AS exact FROM al),
@@ -109,6 +166,34 @@ picked AS (SELECT s.* FROM (SELECT *, row_number() OVER (PARTITION BY source_doc
 STATS = ", ".join(f"CAST(sum({s}_tokens) AS BIGINT) AS {s}_tokens, round(avg({s}_tokens), 2) AS {s}_avg_len, round(stddev_samp({s}_tokens), 2) AS {s}_std_len" for s in ("src", "tgt"))
 
 
+def _lexical(passes: int, size: int = 1000, most: int = 128) -> str:
+    """Expectation-maximisation over all word pairs of the training segments, pass after pass."""
+    toks = lambda c: f"regexp_extract_all(lower({c}), '{TOKEN}')[1:{most}]"
+    vocab = lambda s: f"SELECT w, CAST(row_number() OVER (ORDER BY count(*) DESC, w) AS INT) + 1 AS i FROM (SELECT unnest({s}) AS w FROM lp) GROUP BY w QUALIFY row_number() OVER (ORDER BY count(*) DESC, w) <= {size}"
+    out = f""",
+lp AS (SELECT row_number() OVER () AS sid, {toks("src")} AS s, {toks("tgt")} AS t FROM strat WHERE split = 'train'),
+vs AS ({vocab("s")}), vt AS ({vocab("t")}),
+ls AS (SELECT sid, e, count(*) AS n FROM (SELECT sid, coalesce(i, 1) AS e FROM (SELECT sid, unnest(s) AS w FROM lp WHERE len(s) > 0 AND len(t) > 0) LEFT JOIN vs USING (w)
+       UNION ALL SELECT sid, 0 FROM lp WHERE len(s) > 0 AND len(t) > 0) GROUP BY ALL),
+lt AS (SELECT sid, f, count(*) AS n FROM (SELECT sid, coalesce(i, 1) AS f FROM (SELECT sid, unnest(t) AS w FROM lp WHERE len(s) > 0 AND len(t) > 0) LEFT JOIN vt USING (w)) GROUP BY ALL),
+co AS MATERIALIZED (SELECT sid, e, f, ls.n AS a, ls.n * lt.n AS n FROM ls JOIN lt USING (sid)),
+t0 AS (SELECT DISTINCT e, f, CAST(1 AS DOUBLE) AS p FROM co)"""
+    for k in range(passes):
+        out += f""",
+t{k + 1} AS MATERIALIZED (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS p FROM (SELECT e, f, sum(n * p / z) AS c
+  FROM (SELECT co.*, p, sum(a * p) OVER (PARTITION BY sid, f) AS z FROM co JOIN t{k} USING (e, f)) GROUP BY e, f))"""
+    return f"{out} SELECT vs.w AS src, vt.w AS tgt, round(p, 6) AS p FROM t{passes} LEFT JOIN vs ON vs.i = e JOIN vt ON vt.i = f WHERE p >= CAST(0.01 AS DOUBLE) AND e <> 1"
+
+
+BATCHES = f""",
+ex AS (SELECT line_id || '|' || way AS key, CAST(least(len(regexp_extract_all(side, '{TOKEN}')), 128) AS INT) AS length FROM
+       (SELECT line_id, 'aa-bb' AS way, src AS side FROM strat WHERE split = 'train' UNION ALL SELECT line_id, 'bb-aa', tgt FROM strat WHERE split = 'train')),
+lh AS (SELECT length, count(*) AS n FROM ex GROUP BY length),
+lb AS (SELECT length, CAST(floor((sum(n) OVER (ORDER BY length) - n) * 16 / CAST(sum(n) OVER () AS DOUBLE)) AS INT) AS bucket FROM lh),
+lc AS (SELECT *, CAST(ceil(max(length) OVER (PARTITION BY bucket) / CAST(8 AS DOUBLE)) * 8 AS BIGINT) AS places FROM lb),
+ba AS (SELECT key, length, bucket, places, CAST(floor((row_number() OVER (PARTITION BY bucket ORDER BY md5('42|' || key), key) - 1) / greatest(1, 4096 // places)) AS BIGINT) AS batch FROM ex JOIN lc USING (length))"""
+
+
 def _leaks(key: str) -> str:
     keys = f"SELECT {key}, max(CAST(split = 'train' AS INT)) AS a, max(CAST(split = 'dev' AS INT)) AS b, max(CAST(split = 'test' AS INT)) AS c FROM strat GROUP BY {key}"
     one = lambda name, x, y: f"SELECT '{name}' AS \"check\", CAST(coalesce(sum({x} * {y}), 0) AS BIGINT) AS shared FROM k"
@@ -174,12 +259,17 @@ def sql() -> dict[str, str]:
             FROM strat WHERE split = 'test'""",
         "word_freq_top": f"{w} SELECT system, rank, word, n FROM tops WHERE rank <= 100",
         "word_freq_compare": f"{w} SELECT a.rank, a.word AS word_left, a.n AS count_left, b.word AS word_right, b.n AS count_right FROM tops a JOIN tops b USING (rank) WHERE a.system = 'src' AND b.system = 'tgt' AND rank <= 20",
+        "word_freq_stemmed": f"{w}{STEMS} SELECT system, rank, word, n FROM stops WHERE rank <= 100",
+        "word_stems": f"{w}, stems AS ({_stems('SELECT DISTINCT word FROM wf')}) SELECT word, stem FROM stems",
         "sample_allocation": f"{e}{ALLOC} SELECT source_doc, count, n FROM alloc",
         "stratified_sample": f"{e}{ALLOC} SELECT source_doc, line_id AS seg_id, src, tgt FROM picked",
         "rating_sheet": f"{e}{ALLOC} SELECT source_doc, line_id AS seg_id, src AS source_a, tgt AS reference_b, tgt AS translation_b_sys_copy, lower(tgt) AS translation_b_sys_lower, '' AS eval_sys_copy, '' AS eval_sys_lower FROM picked",
         "translate_stub": f"{e}, ways AS ({ways}) SELECT seg_id, direction, system, hyp FROM ({made})",
         "eval_results": f"""{both} SELECT split_part(system, ' ', 1) AS system, split_part(system, ' ', 2) AS direction, round(max(b.score), 2) AS "BLEU", {scores}
             FROM chrf c JOIN bleu b USING (system) GROUP BY system""",
+        "lexical_table": s + _lexical(3),
+        "length_batches": f"{s}{BATCHES} SELECT * FROM ba",
+        "padding_by_bucket": f"{s}{BATCHES} SELECT bucket, count(*) AS examples, max(batch) + 1 AS batches, CAST(sum(places) AS BIGINT) AS places, round(1 - sum(greatest(length, 1)) / CAST(sum(places) AS DOUBLE), 6) AS padding FROM ba GROUP BY bucket",
         "eval_samples": f"{s}, h AS ({_hyps("(SELECT * FROM strat WHERE split = 'test')")}) "
         "SELECT system, seg_id, src, ref, hyp FROM h QUALIFY row_number() OVER (PARTITION BY system ORDER BY seg_id) <= 5",
         "view_level": f"{t} SELECT CASE WHEN count(fragment_id) > 0 THEN 'fragment_id' WHEN count(section_id) > 0 THEN 'section_id' WHEN count(chapter_id) > 0 THEN 'chapter_id' END AS level FROM train",

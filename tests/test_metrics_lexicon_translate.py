@@ -1,10 +1,13 @@
 import math
 from collections import Counter
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from bitloom.functions.stemming import spanish
+from bitloom.functions.stemming import ACCENTED_VERBS, E_VERBS, PRONOUNS, SUFFIXES, VERBS, Y_VERBS
+from tests.plain_stemmer import spanish
 from bitloom.operators import lexicon, metrics, translate
 
 PUNCT = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -113,6 +116,18 @@ def test_spanish_stems(word, stem):
     assert spanish(word) == stem
 
 
+def test_stem_expression_equals_the_plain_stemmer(spark):
+    rng = random.Random(5)
+    roots = ["habl", "com", "viv", "nacion", "rápid", "biolog", "constru", "pag", "segu", "avergü", "arguy", "a", "o", "é", "niñ", "ll", "c", "actu"]
+    middle = ["", "at", "ic", "iv", "abil", "ativ", "os", "ad", "ant", "gu", "u", "uy"]
+    ends = ["", *PRONOUNS, *ACCENTED_VERBS, *Y_VERBS, *E_VERBS, *VERBS, *SUFFIXES, "amente", "os", "a", "é", "ándolas", "iéndoselo", "uyendola"]
+    words = sorted({rng.choice(roots) + rng.choice(middle) + rng.choice(ends) + rng.choice(["", "", *PRONOUNS]) for _ in range(3000)} | {"", "y", "aé", "ñ", "ÑU", "Él"})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    got = df.select("word", lexicon.spanish_stem(F.col("word")).alias("stem")).collect()
+    assert {r.word: r.stem for r in got} == {w: spanish(w) for w in words}
+    assert spark.createDataFrame([(None,)], "word string").select(lexicon.spanish_stem(F.col("word"))).first()[0] is None
+
+
 def test_translate_both_ways(spark):
     pairs = spark.createDataFrame([("d", "1", "ab", "xy"), ("d", "2", "c", "z")], "source_doc string, seg_id string, src string, tgt string")
     rows = translate.both_directions(pairs, ("p", "q"))
@@ -123,8 +138,6 @@ def test_translate_both_ways(spark):
     }
     w = translate.wide(got.where("direction = 'p-q'"), ["rev", "mark"]).orderBy("seg_id").collect()
     assert (w[0].rev, w[0].mark) == ("ba", "[p>q] ab")
-    e = translate.encode_pairs(rows.where("direction = 'p-q'"), lambda t: [ord(c) for c in t], 1).orderBy("seg_id").first()
-    assert e.input_ids == [97] and e.attention_mask == [1] and e.labels == [120]
     with pytest.raises(RuntimeError, match="torch"):
         translate.neural("nowhere")("p", "q")
     assert translate.missing_artefacts([translate.System("s", translate.marking, paths=(("p-q", "/x"), ("q-p", "/y")))], lambda p: p == "/x") == [("s", "q-p", "/y")]
