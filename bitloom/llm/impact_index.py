@@ -6,7 +6,8 @@ the sum of the terms' slices, added bit by bit with a carry, as numbers are adde
 found from the most significant slice down: those with the bit go before those without it, for as long as
 they are fewer than k, and ties go by id, the bitmap's own order. Nothing is estimated and no document skipped.
 
-A task keeps its best k of each query over its blocks, so that what is shuffled is k rows for a query and task.
+A task keeps its best k of each query over its blocks, so that what is shuffled is k rows for a query and task. `search`
+searches each block as it is made; `index` gives the blocks as a table to be written, which `found_in` searches.
 Queries come in batches of about QUERY_TERMS terms, counted first; a batch's terms and their weights are all that
 every task is handed, and the index of a batch has just its terms.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import zip_longest
 
 import numpy as np
@@ -99,30 +100,39 @@ def _block(found: list[tuple[int | None, int, dict[bytes, int]]], weights: dict[
     return [d[0] for d in found], list(at), [s.tobytes() for s in slices]
 
 
+Block = tuple[list[int | None], list[bytes], list[bytes]]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], weights: dict[bytes, int], n_docs: int, all_terms: int, span: int) -> Iterator[Block]:
+    """The blocks of a task's documents (id, text)."""
+    waiting: list[tuple[int | None, int, dict[bytes, int]]] = []
+    for batch in batches:
+        for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            all_ = terms(x.as_py())
+            counts = {t: n for t, n in Counter(all_).items() if t in weights}
+            if counts:
+                waiting.append((doc, len(all_), counts))
+            if len(waiting) == span:
+                yield _block(waiting, weights, n_docs, all_terms)
+                waiting = []
+    if waiting:
+        yield _block(waiting, weights, n_docs, all_terms)
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+
+
 def index(docs: DataFrame, held: dict[bytes, int], n_docs: int, all_terms: int, span: int = SPAN) -> DataFrame:
-    """A row for each block: ids, terms, slices. held: the documents that hold each term to be indexed."""
+    """The index as a table, a row for each block: ids, terms, slices. held: the documents that hold each term to be indexed."""
     weights = {t: weight(n_docs, df) for t, df in held.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row() -> pa.RecordBatch:
-            ids, names, slices = _block(waiting, weights, n_docs, all_terms)
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((ids, names, slices), kinds, strict=True)], ["ids", "terms", "slices"])
-
-        waiting: list[tuple[int | None, int, dict[bytes, int]]] = []
-        for batch in batches:
-            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                all_ = terms(x.as_py())
-                counts = {t: n for t, n in Counter(all_).items() if t in weights}
-                if counts:
-                    waiting.append((doc, len(all_), counts))
-                if len(waiting) == span:
-                    yield row()
-                    waiting = []
-        if waiting:
-            yield row()
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()))
+        for block in _blocks(batches, weights, n_docs, all_terms, span):
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(block, kinds, strict=True)], ["ids", "terms", "slices"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "ids array<long>, terms array<binary>, slices array<binary>")
+    return _plain(docs).mapInArrow(run, "ids array<long>, terms array<binary>, slices array<binary>")
 
 
 def added(a: list[int], b: list[int]) -> list[int]:
@@ -166,27 +176,45 @@ def _ranked(slices: list[int], k: int, ids: list[int | None]) -> list[tuple[int,
     return out
 
 
+FOUND = "query long, doc_id long, score long"
+
+
+def _best_of(blocks: Iterable[Block], queries: dict[int | None, list[bytes]], k: int) -> pa.RecordBatch:
+    """Of each query the best k of all the blocks."""
+    top: dict[int | None, list[tuple[int, int | None]]] = {}
+    for ids, names, slices in blocks:
+        width = -(-len(ids) // 8)
+        cut = lambda x: [int.from_bytes(x[i : i + width], "little") for i in range(0, len(x), width)]  # noqa: B023, E731
+        held = {t: cut(s) for t, s in zip(names, slices, strict=True)}
+        for q, wanted in queries.items():
+            total: list[int] = []
+            for t in wanted:
+                if t in held:
+                    total = added(total, held[t])
+            if new := _ranked(total, k, ids):
+                top[q] = sorted([*top.get(q, ()), *new], key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]
+    rows = [(q, doc, score) for q, docs in top.items() for score, doc in docs]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["query", "doc_id", "score"])
+
+
 def found_in(blocks: DataFrame, queries: dict[int | None, list[bytes]], k: int) -> DataFrame:
-    """(query, doc_id, score): of each query the best k of a task's blocks."""
+    """(query, doc_id, score): of each query the best k of a task's share of an index, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top: dict[int | None, list[tuple[int, int | None]]] = {}
-        for batch in batches:
-            for ids, names, slices in zip(*(batch.column(i) for i in range(3)), strict=True):
-                ids, width = ids.as_py(), -(-len(ids) // 8)
-                cut = lambda x: [int.from_bytes(x[i : i + width], "little") for i in range(0, len(x), width)]
-                held = {t: cut(s) for t, s in zip(names.as_py(), slices.as_py(), strict=True)}
-                for q, wanted in queries.items():
-                    total: list[int] = []
-                    for t in wanted:
-                        if t in held:
-                            total = added(total, held[t])
-                    if new := _ranked(total, k, ids):
-                        top[q] = sorted([*top.get(q, ()), *new], key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:k]
-        rows = [(q, doc, score) for q, docs in top.items() for score, doc in docs]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["query", "doc_id", "score"])
-
-    return blocks.mapInArrow(run, "query long, doc_id long, score long")
+        rows = (tuple(c.as_py() for c in row) for batch in batches for row in zip(*batch.columns, strict=True))
+        yield _best_of(rows, queries, k)
+
+    return blocks.mapInArrow(run, FOUND)
+
+
+def found_at_once(docs: DataFrame, held: dict[bytes, int], n_docs: int, all_terms: int, queries: dict[int | None, list[bytes]], k: int, span: int = SPAN) -> DataFrame:
+    """The same, where a task searches each block as it indexes it, and none is kept."""
+    weights = {t: weight(n_docs, df) for t, df in held.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _best_of(_blocks(batches, weights, n_docs, all_terms, span), queries, k)
+
+    return _plain(docs).mapInArrow(run, FOUND)
 
 
 def search(docs: DataFrame, queries: DataFrame, key: str, text: str = "text", k: int = 50, batch: int = QUERY_TERMS, span: int = SPAN) -> DataFrame:
@@ -199,7 +227,7 @@ def search(docs: DataFrame, queries: DataFrame, key: str, text: str = "text", k:
         for r in asked.where(F.pmod(F.xxhash64("query"), F.lit(batches)) == i).collect():  # about `batch` rows
             own.setdefault(r["query"], []).append(bytes(r["term"]))
         held, n_docs, all_terms = statistics(docs, {t for ts in own.values() for t in ts})
-        parts.append(found_in(index(docs, held, n_docs, all_terms, span), {q: sorted(ts) for q, ts in own.items()}, k))
+        parts.append(found_at_once(docs, held, n_docs, all_terms, {q: sorted(ts) for q, ts in own.items()}, k, span))
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)

@@ -58,6 +58,17 @@ def test_against_every_document(spark, span, batch, k):
     assert result(I.search(d, q, "item_id", k=k, span=span, batch=batch)) == plain(docs, items, k)
 
 
+def test_a_written_index_gives_the_same(spark, tmp_path):
+    rng = random.Random(8)
+    d, q = frames(spark, corpus(rng, 120), [(1, "a bx cyy"), (2, "dz")])
+    asked = {1: [b"a", b"bx", b"cyy"], 2: [b"dz"]}
+    stats = I.statistics(d, {t for ts in asked.values() for t in ts})
+    I.index(d, *stats, span=16).write.parquet(str(tmp_path / "index"))
+    kept = spark.read.parquet(str(tmp_path / "index"))
+    got = sorted(tuple(r) for r in I.found_in(kept.coalesce(1), asked, 9).collect())
+    assert got == sorted((r[0], r[2], r[3]) for r in result(I.search(d, q, "item_id", k=9)))
+
+
 def slices_of(numbers):
     return [sum((x >> b & 1) << p for p, x in enumerate(numbers)) for b in range(max(numbers).bit_length())]
 
