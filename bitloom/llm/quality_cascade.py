@@ -6,9 +6,11 @@ The order changes the work, never the verdict. What only one rule reads of a tex
 inside its branch of the CASE, so a document rejected before is spared it; the counts that every
 row returns are worked out once, for all.
 
-Costs are measured: the sample is repeated until a rule's own work outweighs a job's start, the best
-of several runs counts, and times under LEAST_SECONDS, which can't be told apart, count as that. Gains
-are compared by powers of two; equal ones keep the order in which rules were given.
+A rule's cost is what it reads of a row besides the counts that all rows have, in characters of text, each as often as
+the rule goes over it; comparing counts costs as much as one character. Shares of rejections and mean costs of all
+rules come from one aggregation over the sample, so the order is the same in every run. Gains are compared by
+powers of two; equal ones keep the order in which rules were given. An order found once can be given to `quality`
+as `order`; then a plan is built without a job.
 
 Defined results: null text counts as empty (no words, base_failed); rows are kept one to one, so
 repeated ids give repeated rows; an empty table gives an empty result; other columns are ignored.
@@ -17,7 +19,6 @@ repeated ids give repeated rows; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import math
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,16 +29,18 @@ from bitloom.llm.common import SPACES, let, words
 SYMBOLS = "#*$%&|<>"
 #: Of the sample: rows wanted (its size varies a little around it), and the longest text.
 SAMPLE_ROWS, SAMPLE_CHARS = 500, 20_000
-#: Characters on which a rule is timed, how often, and the least time that counts.
-TIMED_CHARS, RUNS, LEAST_SECONDS = 8_000_000, 3, 0.05
 
 
 @dataclass(frozen=True)
 class Rule:
-    """reject: a boolean column over the columns of `metrics`."""
+    """reject: a boolean column over the columns of `metrics`; passes: how often it goes over the whole text."""
 
     name: str
     reject: Column
+    passes: int = 0
+
+    def cost(self) -> Column:
+        return F.lit(1) + self.passes * F.length("txt")
 
 
 def default_rules() -> list[Rule]:
@@ -46,9 +49,9 @@ def default_rules() -> list[Rule]:
         Rule("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 15 * c("n_words"))),
         Rule("symbols", c("n_symbols") * 5 > c("n_words")),
         Rule("dup_lines", c("n_dup_lines") * 10 > c("n_lines") * 3),
-        Rule("shouting", F.length(F.regexp_replace("txt", r"\P{Lu}", "")) * 2 > c("word_chars")),
-        Rule("few_letters", F.length(F.regexp_replace("txt", r"\P{L}", "")) * 2 < c("word_chars")),
-        Rule("exclaiming", (F.length("txt") - F.length(F.translate("txt", "!", ""))) * 2 > c("n_words")),
+        Rule("shouting", F.length(F.regexp_replace("txt", r"\P{Lu}", "")) * 2 > c("word_chars"), 1),
+        Rule("few_letters", F.length(F.regexp_replace("txt", r"\P{L}", "")) * 2 < c("word_chars"), 1),
+        Rule("exclaiming", (F.length("txt") - F.length(F.translate("txt", "!", ""))) * 2 > c("n_words"), 1),
     ]
 
 
@@ -96,33 +99,16 @@ def metrics(docs: DataFrame) -> DataFrame:
 
 
 def gains(docs: DataFrame, rules: list[Rule]) -> list[tuple[float, float]]:
-    """For each rule its share of rejections and its seconds, on a sample of rows drawn from all partitions
-    alike, without texts of over SAMPLE_CHARS characters; at most twice SAMPLE_ROWS come to the driver."""
-    spark = docs.sparkSession
+    """For each rule its share of rejections and its mean cost, on a sample of rows drawn from all partitions
+    alike, without texts of over SAMPLE_CHARS characters."""
     n = docs.count()
     some = docs.select("doc_id", "text")
     if n > SAMPLE_ROWS:
         some = some.sample(False, SAMPLE_ROWS / n, 11)
-    took = some.where(F.length("text") <= SAMPLE_CHARS).limit(2 * SAMPLE_ROWS).collect()
-    if not took:
-        return [(0.0, LEAST_SECONDS)] * len(rules)
-    sample = metrics(spark.createDataFrame(took, some.schema).coalesce(1)).cache()
-    shares = sample.agg(*(F.avg(r.reject.cast("int")).alias(str(i)) for i, r in enumerate(rules))).first()
-    again = math.ceil(TIMED_CHARS / max(1, sum(len(r["text"]) for r in took)))
-    repeated = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(again))))
-
-    def seconds(c: Column) -> float:
-        best = math.inf
-        for _ in range(RUNS):
-            began = time.perf_counter()
-            repeated.select(F.sum(c.cast("int"))).first()
-            best = min(best, time.perf_counter() - began)
-        return best
-
-    floor = seconds(F.col("n_words") < F.col("again"))
-    out = [(float(shares[i] or 0), max(LEAST_SECONDS, seconds(r.reject) - floor)) for i, r in enumerate(rules)]
-    sample.unpersist()
-    return out
+    sample = metrics(some.where(F.length("text") <= SAMPLE_CHARS))
+    each = [x for i, r in enumerate(rules) for x in (F.avg(r.reject.cast("int")).alias(f"s{i}"), F.avg(r.cost()).alias(f"c{i}"))]
+    found = sample.agg(F.count(F.lit(1)).alias("n"), *each).first()
+    return [(float(found[f"s{i}"] or 0), float(found[f"c{i}"] or 1)) for i in range(len(rules))]
 
 
 def order_rules(docs: DataFrame, rules: list[Rule]) -> list[Rule]:
@@ -139,9 +125,10 @@ def verdict(rules: list[Rule]) -> Column:
     return kept
 
 
-def quality(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """doc_id, the counts, base_failed, and kept."""
-    ordered = order_rules(docs, rules if rules is not None else default_rules())
+def quality(docs: DataFrame, rules: list[Rule] | None = None, order: list[str] | None = None) -> DataFrame:
+    """doc_id, the counts, base_failed, and kept. order: the rules' names as found before, instead of a sample of docs."""
+    rules = rules if rules is not None else default_rules()
+    ordered = order_rules(docs, rules) if order is None else sorted(rules, key=lambda r: order.index(r.name))
     base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return (
         metrics(docs)

@@ -71,12 +71,26 @@ def test_a_rule_that_is_seldom_met_and_dear_comes_last_every_time(spark):
     rng = random.Random(2)
     rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)) + (" !" * 300 if i % 2 else "")) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    dear = Q.Rule("dear", F.length(F.regexp_replace(F.regexp_replace("txt", r"(\p{Lu}|x)+", ""), r"\P{L}", "")) < 0)
+    dear = Q.Rule("dear", F.length(F.regexp_replace(F.regexp_replace("txt", r"(\p{Lu}|x)+", ""), r"\P{L}", "")) < 0, 2)
     rules = [dear, Q.Rule("cheap", F.col("n_words") > 500)]
     for _ in range(3):
         assert [r.name for r in Q.order_rules(df, rules)] == ["cheap", "dear"]
     (seldom, cost), (often, least) = Q.gains(df, rules)
-    assert seldom == 0 and often == pytest.approx(0.5, abs=0.15) and cost > least
+    assert seldom == 0 and often == pytest.approx(0.5, abs=0.15) and cost > 1000 > least
+    assert Q.gains(df, rules) == [(seldom, cost), (often, least)]
+    assert len(Q.gains(df.limit(0), rules)) == 2
+
+
+def test_a_stored_order_needs_no_job(spark):
+    df = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    names = [r.name for r in Q.order_rules(df, Q.default_rules())]
+    spark.sparkContext.setJobGroup("stored order", "plan only")
+    try:
+        plan = Q.quality(df, order=names)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("stored order")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {tuple(r) for r in plan.collect()} == {tuple(r) for r in Q.quality(df).collect()}
 
 
 def test_a_rejected_document_is_spared_the_rules_after(spark):
