@@ -38,8 +38,8 @@ from bitloom.llm.common import Scratch, apart
 PARAGRAPHS, LINES, SENTENCES = (re.compile(x) for x in (r"(?<=\n)(?=\n)", r"(?<=\n)", r"(?<=[.!?])(?= )"))
 #: Words of the shortest run of later pieces that goes.
 LEAST_WORDS = 20
-#: Words of the shortest line or paragraph that goes by its own digest.
-LEAST_WHOLE = 5
+#: Words of the shortest line or paragraph that goes by its own digest: any with a word.
+LEAST_WHOLE = 1
 #: Words of the longest piece that isn't cut further.
 LONGEST = 16
 #: What a row is; a line of one piece is both.
