@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bitloom.functions.columns import let, spread  # noqa: F401
+from bitloom.functions.columns import apart, let, quoted, spread, together  # noqa: F401
+from bitloom.functions.scratch import Scratch, dropped_after, shared_folder  # noqa: F401
 
 #: ASCII white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -31,67 +32,25 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def apart(docs: DataFrame, *own: str) -> DataFrame:
-    """docs with columns other than `own` named c0, c1 and so on by place, so that no name clashes with an operator's."""
-    return docs.select(*(F.col(f"`{c}`").alias(c if c in own else f"c{i}") for i, c in enumerate(docs.columns)))
+def mapped(docs: DataFrame, made: dict[str, T.DataType], start: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
+    """docs with the columns `made`, which take the place of columns by those names; all others stay, whatever their names.
 
+    start() is called once a task and gives what turns a batch, its columns in docs' order without those replaced, into the arrays
+    of the new columns."""
+    rest = [c for c in docs.columns if c not in made]
+    plain = docs.select(*(quoted(c).alias(f"c{i}") for i, c in enumerate(rest)))
+    new = [f"m{i}" for i in range(len(made))]
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(n, kind) for n, kind in zip(new, made.values(), strict=True))])
 
-def together(df: DataFrame, like: DataFrame, *own: str) -> DataFrame:
-    """The columns of `like` out of a table made from apart(like, *own), with their names."""
-    return df.select(*(F.col(c if c in own else f"c{i}").alias(c) for i, c in enumerate(like.columns)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = start()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *each(batch)], schema.names)
 
+    out = plain.mapInArrow(run, schema)
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(rest)), *(F.col(m).alias(n) for m, n in zip(new, made, strict=True)))
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors both reach, under spark.checkpoint.dir.
 
-    Only where driver and executors are one process, as in tests, a local folder stands in for an unset one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "/tmp/bitloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-class Scratch:
-    """Tables written once and read again, so that lineage is cut and work isn't repeated.
-
-    They lie in the shared folder, hence outlive any executor. What a result still reads can't be dropped
-    by the operator that returns it: `dropped_after` does so once the caller has written the result.
-    """
-
-    _open: list[list[Scratch]] = []
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.n = spark, shared_folder(spark), 0
-        for made in Scratch._open:
-            made.append(self)
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{self.n}"
-        self.n += 1
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, n: int | None = None) -> None:
-        """The n-th table, or all."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base if n is None else f"{self.base}/{n}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextmanager
-def dropped_after() -> Iterator[None]:
-    """Drops, at its end, the work tables of all operators called inside; their results must be written by then."""
-    made: list[Scratch] = []
-    Scratch._open.append(made)
-    try:
-        yield
-    finally:
-        Scratch._open.remove(made)
-        for scratch in made:
-            scratch.drop()
+def place(docs: DataFrame, of: str, made: tuple[str, ...]) -> int:
+    """Where `of` stands among the columns that `mapped` leaves."""
+    return [c for c in docs.columns if c not in made].index(of)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bitloom.llm import oracles
-from bitloom.llm.common import bucket_of, documents, shared_folder
+from bitloom.llm.common import Scratch, bucket_of, documents
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,8 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bitloom.llm.token_rollup import VOCABULARY, ranks, replayed_corpus
 
-    return replayed_corpus(documents(spark, sf_dir), f"{shared_folder(spark)}/rollup", ranks(VOCABULARY), "byte_bpe_50k")
+    # The rollup's folder goes with the work tables, when its totals are written.
+    return replayed_corpus(documents(spark, sf_dir), Scratch(spark).folder("rollup"), ranks(VOCABULARY), "byte_bpe_50k")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bitloom.llm.common import apart, mapped, place, together
+
 PROFILE = 400
 #: Score up to which a text is in none of the learnt languages. Of 2,499 held-out documents of sf0.1 all with a letter score
 #: 0.468 or more, cuts of 2 to 50 words 0.440 or more; Finnish, Polish and Turkish 0.254 at most, base64 0.170.
@@ -175,22 +177,22 @@ def learn(labelled: DataFrame, size: int = PROFILE, shares: int = 16) -> Profile
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """docs with lang_pred and score, 1 less the mean out-of-place distance over the profile length."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x size entries
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    at = rest.index("text")
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    made = {"lang_pred": T.StringType(), "score": T.DoubleType()}
+    at = place(docs, "text", tuple(made))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         p = shared.value
-        for batch in batches:
+
+        def each(batch: pa.RecordBatch) -> list[pa.Array]:
             found = [p.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*rest, "lang_pred", "score"])
+            return [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+
+        return each
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return mapped(docs, made, start)
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataFrame:
     """The rows of docs, with its columns, whose text is in a known language with a score above `least`."""
-    names = docs.columns
-    plain = docs.select(*(F.col(c).alias(f"c{i}") if c != "text" else F.col(c) for i, c in enumerate(names)))
-    known = identify(plain, profiles).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > least))
-    return known.select(*(F.col(f"c{i}").alias(c) if c != "text" else F.col(c) for i, c in enumerate(names)))
+    known = identify(apart(docs, "text"), profiles).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > least))
+    return together(known, docs, "text")

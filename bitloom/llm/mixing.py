@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bitloom.llm.common import Scratch, apart, together
+from bitloom.llm.common import Scratch, apart, mapped, place, quoted, together
 
 BUCKETS = 1 << 16
 RESOLUTION = 200
@@ -213,13 +213,13 @@ def learn(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], per_doma
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """docs with n_tokens (words) and posterior, array<double> in domain order, in steps of 1 / RESOLUTION."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # marks x domains: bounded
-    rest = [c for c in docs.columns if c not in ("n_tokens", "posterior")]
-    at = rest.index("text")
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
+    made = {"n_tokens": T.LongType(), "posterior": T.ArrayType(T.DoubleType())}
+    at = place(docs, "text", tuple(made))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         m, marks = shared.value, Marks()
-        for batch in batches:
+
+        def each(batch: pa.RecordBatch) -> list[pa.Array]:
             found, p = [], []
             for t in batch.column(at):
                 f = features(t.as_py(), marks)
@@ -227,9 +227,11 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
                 p.append(stepped(m.posterior(f)))
             flat = pa.array(np.concatenate(p) if p else np.empty(0))
             offsets = pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(m.domains))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], [*rest, "n_tokens", "posterior"])
+            return [pa.array(found, pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
+
+        return each
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return mapped(docs, made, start)
 
 
 def stepped(p: np.ndarray) -> np.ndarray:
@@ -301,16 +303,9 @@ def fit(cells: DataFrame, weights: list[float], mu: float = 1e-3, steps: int = 4
 
 def rate_of(docs: DataFrame, plan: Plan, name: str = "rate") -> DataFrame:
     """docs, which have posterior, with the plan's rate."""
-    rest = [c for c in docs.columns if c != name]
-    at = rest.index("posterior")
-    size = plan.residuals.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.asarray(batch.column(at).flatten()).reshape(-1, size)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(plan.rates(p))], [*rest, name])
-
-    return docs.select(*rest).mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), T.StructField(name, T.DoubleType())]))
+    at, size = place(docs, "posterior", (name,)), plan.residuals.shape[1]
+    rates = lambda batch: [pa.array(plan.rates(np.asarray(batch.column(at).flatten()).reshape(-1, size)))]
+    return mapped(docs, {name: T.DoubleType()}, lambda: rates)
 
 
 def copies(rate: Column, *key: Column) -> Column:
@@ -327,7 +322,7 @@ def mixed(docs: DataFrame, model: DomainModel, weights: dict[str, float], budget
     want = [weights.get(d, 0.0) / total for d in model.domains]
     scratch, work = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("n_tokens", "posterior", "rate", "copies")]
-    known = scratch.keep(posteriors(docs.select(*(f"`{c}`" for c in keep)), model))
+    known = scratch.keep(posteriors(docs.select(*map(quoted, keep)), model))
     cells = work.keep(known.groupBy("posterior").agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
     plan = fit(cells, want, most=most)
     work.drop()

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from bitloom.llm.common import mapped, place
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: What a character of no piece costs more than the worst piece.
@@ -123,16 +125,13 @@ class Codec:
 
 def _with(docs: DataFrame, name: str, kind: T.DataType, of: str, each) -> DataFrame:
     """docs with the column that each(batch's column) gives, in Arrow batches."""
-    rest = [c for c in docs.columns if c != name]
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(name, kind)])
-    at = rest.index(of)
+    at = place(docs, of, (name,))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         convert = each()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, convert(batch.column(at))], [*rest, name])
+        return lambda batch: [convert(batch.column(at))]
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return mapped(docs, {name: kind}, start)
 
 
 def encode(docs: DataFrame, model: Pieces, out: str = "ids") -> DataFrame:

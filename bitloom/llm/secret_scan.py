@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import let
+from bitloom.llm.common import let, quoted
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = (
@@ -215,10 +215,10 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     Null texts stay null; n_chars, where there is one, follows the text.
     """
-    found = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), spans_of(F.col("text")).alias("spans"))
+    found = docs.select(F.struct(*(quoted(c) for c in docs.columns)).alias("row"), spans_of(F.col("text")).alias("spans"))
     text = F.col("row.text")
     clean = found.select("row", F.when(F.size("spans") > 0, masked(text, F.col("spans"), mask)).otherwise(text).alias("clean"))
     new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("clean").isNotNull(), F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
-    return clean.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return clean.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -31,6 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bitloom.llm.common import Scratch, mapped, place
+
 #: The tokenizer version that has a token for each byte.
 BYTES = "utf8_bytes"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -51,19 +52,15 @@ def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 def count_tokens(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     """docs with n_tokens, the byte-pair tokens of the whole text (null: 0); a column by that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # about a megabyte
-    rest = [c for c in docs.columns if c != "n_tokens"]
-    at = rest.index("text")
+    at = place(docs, "text", ("n_tokens",))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         import tiktoken
 
         coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
-        for batch in batches:
-            n = [len(coder.encode_ordinary(t.as_py() or "")) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*rest, "n_tokens"])
+        return lambda batch: [pa.array([len(coder.encode_ordinary(t.as_py() or "")) for t in batch.column(at)], pa.int64())]
 
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("n_tokens", T.LongType())])
-    return docs.select(*rest).mapInArrow(run, schema)
+    return mapped(docs, {"n_tokens": T.LongType()}, start)
 
 
 def deltas(events: DataFrame) -> DataFrame:
@@ -147,8 +144,6 @@ def replayed_corpus(docs: DataFrame, path: str, vocabulary: dict[bytes, int], ve
     """Totals of the documents, by two tokenizer versions (the vocabulary's, and one token a byte of UTF-8), after
     three batches: all are inserted; those of several lines are revised to the count of the text put on
     one line; copies of a text are deleted but for the smallest id. The second batch comes twice."""
-    from bitloom.llm.common import Scratch
-
     spark, work = docs.sparkSession, Scratch(docs.sparkSession)
     line = F.replace("text", F.lit("\n"), F.lit(" "))
     plain = docs.select("doc_id", "source", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("copy"), "text", (F.instr("text", "\n") > 0).alias("several"))

@@ -42,6 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bitloom.llm.common import mapped, place
+
 DECAY, REACH = 0.7, 8
 #: Letter codes: 1 to 26 for a to z (without accents), 27 for digits, 28 to 31 for other letters.
 BASE = 32
@@ -386,16 +388,16 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample
 def score(docs: DataFrame, machine: Machine, at_once: int = 400) -> DataFrame:
     """docs with score, 0 to 1; a column by that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # one weight per letter triple: 256 KB
-    rest = [c for c in docs.columns if c != "score"]
-    at = rest.index("text")
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("score", T.DoubleType())])
+    at = place(docs, "text", ("score",))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         scorer = Scorer(shared.value)
-        for batch in batches:
-            out = []
-            for i in range(0, batch.num_rows, at_once):
-                out += scorer.scores(batch.column(at).slice(i, at_once).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*rest, "score"])
 
-    return docs.select(*rest).mapInArrow(run, schema)
+        def each(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = batch.column(at)
+            parts = (texts.slice(i, at_once).to_pylist() for i in range(0, batch.num_rows, at_once))
+            return [pa.array([s for part in parts for s in scorer.scores(part)], pa.float64())]
+
+        return each
+
+    return mapped(docs, {"score": T.DoubleType()}, start)
