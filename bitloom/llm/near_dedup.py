@@ -135,16 +135,18 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, items array<long>")
 
 
+def parity_map(items: np.ndarray) -> np.ndarray:
+    at = mixed(items.view(np.uint64) * ODD[0]) >> np.uint64(64 - 6 - (MAP.bit_length() - 1))
+    odd = np.bincount(at.astype(np.int64), minlength=64 * MAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def parity_maps(sets: DataFrame) -> DataFrame:
     """(id, map): each item flips one of 64 * MAP bits, so two maps differ in at most as many bits as their sets in items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maps = []
-            for items in batch.column(1):
-                at = mixed(np.asarray(items.values).view(np.uint64) * ODD[0]) >> np.uint64(64 - 6 - (MAP.bit_length() - 1))
-                odd = np.bincount(at.astype(np.int64), minlength=64 * MAP) & 1
-                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            maps = [parity_map(np.asarray(items.values)) for items in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(maps)], ["id", "map"])
 
     return sets.select("id", "items").mapInArrow(run, "id long, map array<long>")
@@ -175,18 +177,22 @@ def linked(
     scratch: Scratch,
     native: bool = False,
     narrow: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    maps: DataFrame | None = None,
 ) -> DataFrame:
     """(id, root) of the ids that a confirmed link joins to another.
 
     buckets: (id, n, bucket), n the set's size; sets_of: ids to (id, items) and what else narrow reads; native: by
     DataFrame functions alone, without parity maps; narrow: takes from the pairs (u, v), given the sets, those that
-    a filter of the caller's own rules out.
+    a filter of the caller's own rules out; maps: (id, map), where they are known without the sets, which are then
+    asked for pair by pair, in each round, and not for all that share a bucket.
     """
     few, mapped = 0 if native else FEW, not native
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     near = scratch.keep(buckets.join(scratch.keep(shared), "bucket").distinct())
-    sets = scratch.keep(sets_of(near.select("id").distinct()))
-    maps = scratch.keep(parity_maps(sets)) if mapped else sets.select("id", F.lit(None).cast("array<long>").alias("map"))
+    sets = None
+    if maps is None:
+        sets = scratch.keep(sets_of(near.select("id").distinct()))
+        maps = scratch.keep(parity_maps(sets)) if mapped else sets.select("id", F.lit(None).cast("array<long>").alias("map"))
     live = scratch.keep(near.join(maps, "id").withColumn("root", F.col("id")))
     root = None
     centres = 1
@@ -197,7 +203,10 @@ def linked(
         held = live.withColumn("o", F.struct("id", "n", "root", "map")).select("bucket", "o").join(chosen, "bucket")
         held = held.where((F.col("c.root") != F.col("o.root")) & _may_link("c", "o", percent, mapped))
         pairs = held.select(F.least("o.id", "c.id").alias("u"), F.greatest("o.id", "c.id").alias("v")).distinct()
-        found = scratch.keep(_verified(narrow(pairs, sets) if narrow else pairs, sets, percent))
+        found = scratch.keep(pairs) if sets is None else pairs
+        if sets is not None or not found.isEmpty():
+            own = sets if sets is not None else scratch.keep(sets_of(found.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
+            found = scratch.keep(_verified(narrow(found, own) if narrow else found, own, percent))
         if root is None:
             root = scratch.keep(components(found, scratch, few))
         else:

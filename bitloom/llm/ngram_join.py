@@ -16,7 +16,7 @@ against, only while the bucket still spans several components (near_dedup.linked
 are joined by few pairs and no pair that could join two components is left out. Sizes and parity maps go before
 the other orders, so that pairs which can't reach the Jaccard are dropped before their prefixes are fetched.
 Tokens that one document alone has, most of all, are shuffled once, and texts never: bitmaps of fixed size tell tasks
-which tokens and documents may be wanted, a join settles it.
+which tokens and documents may be wanted, a join settles it. Full sets are made of the documents of those pairs alone.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; a text of fewer words than a
 shingle is one shingle of them all; rows of equal id count as one document; a null id is in the class of the
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import Scratch
-from bitloom.llm.near_dedup import ODD, WordHashes, _lists, _sliced, linked, mixed, shingle_set
+from bitloom.llm.near_dedup import ODD, WordHashes, _lists, _sliced, linked, mixed, parity_map, shingle_set
 
 #: Orders in all; the first makes candidates, the others take from them.
 ORDERS = 3
@@ -121,16 +121,17 @@ def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def first_prefixes(docs: DataFrame, shingle: int, percent: int, counts) -> DataFrame:
-    """id, n and the prefix under the first order, o0, of docs(doc_id, text)."""
+    """id, n, the prefix under the first order, o0, and the set's parity map, of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, known = WordHashes(), counts.value
         for batch in _sliced(batches):
             sets = [shingle_set(t.as_py(), shingle, hashes) for t in batch.column(1)]
             own = _lists([prefixes(s, known, percent, 1)[0] for s in sets])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), own], ["id", "n", "o0"])
+            maps = _lists([parity_map(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), own, maps], ["id", "n", "o0", "map"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, o0 array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, o0 array<long>, map array<long>")
 
 
 def sets_and_prefixes(docs: DataFrame, wanted, shingle: int, percent: int, orders: int, counts) -> DataFrame:
@@ -192,13 +193,15 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, orde
     copies = work.keep(own.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
     members = own.join(copies, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
     members = scratch.keep(members)
-    buckets = shared_tokens(work.keep(first_prefixes(plain, shingle, percent, counts)), members, work)
+    keyed = work.keep(first_prefixes(plain, shingle, percent, counts))
+    maps = keyed.where("id IS NOT NULL AND n > 0").select("id", "map").dropDuplicates(["id"])
+    buckets = shared_tokens(keyed, members, work)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = spark.sparkContext.broadcast(membership(ids.select("id")))
         return sets_and_prefixes(plain, wanted, shingle, percent, orders, counts).join(ids, "id", "left_semi")
 
-    root = linked(buckets, sets_of, percent, work, narrow=lambda pairs, sets: sharing_prefixes(pairs, sets, orders))
+    root = linked(buckets, sets_of, percent, work, narrow=lambda pairs, sets: sharing_prefixes(pairs, sets, orders), maps=maps)
     root = scratch.keep(root)
     work.drop()
     out = members.join(root.select(F.col("id").alias("rep"), "root"), "rep", "left")
