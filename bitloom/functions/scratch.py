@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -38,6 +39,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, shared_folder(spark), 0
+        self._tables: dict[int, DataFrame] = {}
         for made in Scratch._open.get():
             made.append(self)
 
@@ -49,10 +51,22 @@ class Scratch:
         path = f"{self.base}/{self.n}"
         self.n += 1
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self._tables[self.n - 1] = self.spark.read.schema(df.schema).parquet(path)
+        return out
+
+    def forget(self, *tables: DataFrame) -> None:
+        """Drops tables that nothing reads any more, and lets Spark free the shuffle files of the jobs before: it does so for plans
+        that the driver's JVM has collected, which may be long after a round of an iteration, and the disks are full by then."""
+        for n in [n for n, t in self._tables.items() if any(t is x for x in tables)]:
+            del self._tables[n]
+            self.drop(n)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def drop(self, n: int | None = None) -> None:
         """The n-th table, or all."""
+        if n is None:
+            self._tables.clear()
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.base if n is None else f"{self.base}/{n}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
