@@ -188,12 +188,14 @@ def linked(
     """
     few, mapped = 0 if native else FEW, not native
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    near = scratch.keep(buckets.join(scratch.keep(shared), "bucket").distinct())
+    shared = scratch.keep(shared)
+    near = scratch.keep(buckets.join(shared, "bucket").distinct())
     sets = None
     if maps is None:
         sets = scratch.keep(sets_of(near.select("id").distinct()))
         maps = scratch.keep(parity_maps(sets)) if mapped else sets.select("id", F.lit(None).cast("array<long>").alias("map"))
     live = scratch.keep(near.join(maps, "id").withColumn("root", F.col("id")))
+    scratch.forget(shared, near, *([maps] if mapped else []))
     root = None
     centres = 1
     while True:
@@ -203,10 +205,12 @@ def linked(
         held = live.withColumn("o", F.struct("id", "n", "root", "map")).select("bucket", "o").join(chosen, "bucket")
         held = held.where((F.col("c.root") != F.col("o.root")) & _may_link("c", "o", percent, mapped))
         pairs = held.select(F.least("o.id", "c.id").alias("u"), F.greatest("o.id", "c.id").alias("v")).distinct()
-        found = scratch.keep(pairs) if sets is None else pairs
-        if sets is not None or not found.isEmpty():
-            own = sets if sets is not None else scratch.keep(sets_of(found.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
-            found = scratch.keep(_verified(narrow(found, own) if narrow else found, own, percent))
+        own, asked = sets, pairs
+        if sets is None:
+            found = asked = scratch.keep(pairs)
+        if sets is not None or not asked.isEmpty():
+            own = sets if sets is not None else scratch.keep(sets_of(asked.select(F.explode(F.array("u", "v")).alias("id")).distinct()))
+            found = scratch.keep(_verified(narrow(asked, own) if narrow else asked, own, percent))
         if root is None:
             root = scratch.keep(components(found, scratch, few))
         else:
@@ -221,7 +225,8 @@ def linked(
         left = live.drop("root").join(chosen.select("bucket", F.col("c.id").alias("id")), ["bucket", "id"], "left_anti")
         left = scratch.keep(left.join(root, "id", "left").withColumn("root", F.coalesce("root", "id")))
         open_ = scratch.keep(left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"))
-        live = scratch.keep(left.join(open_, "bucket").select("bucket", "id", "n", "map", "root"))
+        before, live = live, scratch.keep(left.join(open_, "bucket").select("bucket", "id", "n", "map", "root"))
+        scratch.forget(before, chosen, left, open_, found, *([asked, own] if sets is None else []))
         if live.isEmpty():
             return root
         centres *= 8

@@ -170,7 +170,9 @@ def shared_tokens(keyed: DataFrame, members: DataFrame, work: Scratch) -> DataFr
 
     near = keyed.select("id", "n", "o0").mapInArrow(run, "id long, n long, bucket long").join(shared, "bucket", "left_semi")
     firsts = members.where("doc_id = rep").select(F.col("doc_id").alias("id")).distinct()
-    return work.keep(near.join(firsts, "id", "left_semi").select("id", "n", "bucket"))
+    out = work.keep(near.join(firsts, "id", "left_semi").select("id", "n", "bucket"))
+    work.forget(shared)
+    return out
 
 
 def sharing_prefixes(pairs: DataFrame, sets: DataFrame, orders: int) -> DataFrame:
@@ -193,9 +195,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, percent: int = 80, orde
     copies = work.keep(own.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"))
     members = own.join(copies, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).alias("rep"))
     members = scratch.keep(members)
+    work.forget(facts, copies)
     keyed = work.keep(first_prefixes(plain, shingle, percent, counts))
-    maps = keyed.where("id IS NOT NULL AND n > 0").select("id", "map").dropDuplicates(["id"])
     buckets = shared_tokens(keyed, members, work)
+    near = buckets.select("id").distinct()
+    maps = work.keep(keyed.join(near, "id", "left_semi").select("id", "map").dropDuplicates(["id"]))
+    work.forget(keyed)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = spark.sparkContext.broadcast(membership(ids.select("id")))
