@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.columns import settled
@@ -75,6 +75,33 @@ def apply_qc(pairs: DataFrame, policy: QcPolicy) -> DataFrame:
     return dedup_first(accepted(pairs, policy), policy.dedup_key)
 
 
+#: Names of the counts of what quality control removes.
+REMOVED = ("rows_in", "duplicates", "out_of_bounds", "rows_out")
+
+
+class Counts:
+    """The counts of a run of counted_qc, once its rows have been written or read."""
+
+    def __init__(self, before: Observation, after: Observation):
+        self.before, self.after = before, after
+
+    @property
+    def get(self) -> dict[str, int]:
+        rows, keys, bad = self.before.get["rows"] or 0, self.after.get["keys"] or 0, self.after.get["bad"] or 0
+        return dict(zip(REMOVED, (rows, rows - keys, bad, keys - bad), strict=True))
+
+
+def counted_qc(pairs: DataFrame, policy: QcPolicy) -> tuple[DataFrame, Counts]:
+    """What apply_qc gives, and its counts, which the job that runs the rows collects as it goes: no second pass.
+
+    Copies go before bounds here, so that both are counted of all rows; bounds read only what is in the key."""
+    before, after = Observation(), Observation()
+    seen = pairs.observe(before, F.count(F.lit(1)).alias("rows"))
+    first = dedup_first(add_features(seen), policy.dedup_key).withColumn("ok", policy.accepts())
+    rows = first.observe(after, F.count(F.lit(1)).alias("keys"), F.sum((~F.col("ok")).cast("int")).alias("bad")).where("ok").drop("ok")
+    return rows, Counts(before, after)
+
+
 def removed_counts(pairs: DataFrame, policy: QcPolicy) -> DataFrame:
     """One row: rows before, duplicates, rows that break a bound, rows after; in one pass over distinct keys."""
     keys = add_features(pairs).withColumn("ok", policy.accepts()).groupBy(*policy.dedup_key).agg(F.count(F.lit(1)).alias("n"), F.first("ok").alias("ok"))

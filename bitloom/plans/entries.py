@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +9,10 @@ from pyspark.sql import functions as F
 
 from bitloom.functions.scratch import Scratch
 from bitloom.functions.text import n_tokens
-from bitloom.operators import encode, lexical, lexicon, metrics, sample, splits, stats, translate, views
-from bitloom.operators.qc import EVAL, TRAIN, QcPolicy, accepted, add_features, apply_qc, clean, dedup_first, removed_counts
+from bitloom.operators import encode, lexical, lexicon, metrics, sample, splits, stats, training, translate, views
+from bitloom.operators.qc import EVAL, REMOVED, TRAIN, QcPolicy, accepted, add_features, apply_qc, clean, counted_qc, dedup_first, removed_counts
 from bitloom.plans import oracles
-from bitloom.sources import files
+from bitloom.sources import files, workbook_format
 from bitloom.sources.files import Columns, unpivot_names
 from bitloom.sources.tables import SYSTEMS, document_pairs, hypotheses, turn_pairs
 
@@ -40,12 +38,17 @@ def _grouped(spark: SparkSession, d: str, policy: QcPolicy, fallback: str) -> Da
     return _qc(spark, d, policy).withColumn("group_id", splits.group_id(fallback))
 
 
+def _once(spark: SparkSession, d: str, policy: QcPolicy, fallback: str) -> DataFrame:
+    """Quality control and deduplication are run once and written, as a split reads its rows for the groups and for themselves."""
+    return Scratch(spark).keep(_grouped(spark, d, policy, fallback))
+
+
 def _stratified(spark: SparkSession, d: str) -> DataFrame:
-    return splits.stratified_split(_grouped(spark, d, TRAIN, "line"), HOLDOUT)
+    return splits.stratified_split(_once(spark, d, TRAIN, "line"), HOLDOUT)
 
 
 def _shuffled(spark: SparkSession, d: str) -> DataFrame:
-    return splits.group_shuffle_split(_grouped(spark, d, EVAL, "document"))
+    return splits.group_shuffle_split(_once(spark, d, EVAL, "document"))
 
 
 def _hyps(spark: SparkSession, d: str) -> DataFrame:
@@ -98,6 +101,14 @@ def qc_removed_counts(spark, d):
     return removed_counts(_pairs(spark, d), TRAIN)
 
 
+@query
+def qc_observed_counts(spark, d):
+    """The same counts, taken on the way by the run that writes the accepted segments."""
+    rows, counts = counted_qc(_pairs(spark, d), TRAIN)
+    Scratch(spark).keep(rows)
+    return spark.createDataFrame([tuple(int(counts.get[c] or 0) for c in REMOVED)], ", ".join(f"{c} long" for c in REMOVED))
+
+
 @query
 def corpus_stats_total(spark, d):
     return stats.corpus_stats(_qc(spark, d, TRAIN))
@@ -125,7 +136,7 @@ def split_stratified(spark, d):
 
 @query
 def split_global(spark, d):
-    return splits.global_split(_grouped(spark, d, TRAIN, "line"), HOLDOUT).select("line_id", "group_id", "split")
+    return splits.global_split(_once(spark, d, TRAIN, "line"), HOLDOUT).select("line_id", "group_id", "split")
 
 
 @query
@@ -289,6 +300,22 @@ def trained_results(spark, d):
     return metrics.results(_trained(spark, d))
 
 
+@query
+def training_run(spark, d):
+    """The ledger of four epochs in either direction, taken up again after two: likelihood of a pair of the dev segments, and which epoch is kept."""
+    scratch = Scratch(spark)
+    rows = scratch.keep(_stratified(spark, d).select("src", "tgt", "split"))
+    back = rows.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"), "split")
+    out = []
+    for way, pairs in (("aa-bb", rows), ("bb-aa", back)):
+        run = training.Run(spark, scratch.folder("runs"), "words", way)
+        for n in (2, 4):
+            run.train(pairs.where("split = 'train'"), pairs.where("split = 'dev'"), n)
+        best = run.best()
+        out += [("words", way, r["epoch"], round(r["dev"], 4), r == best) for r in run.ledger()]
+    return spark.createDataFrame(out, "system string, direction string, epoch int, dev_loglik double, kept boolean")
+
+
 @query
 def lexical_table(spark, d):
     """What the words of the training segments become, by three passes over all of them; shares of a hundredth or more."""
@@ -338,18 +365,39 @@ def eval_samples(spark, d):
     return metrics.samples(_hyps(spark, d))
 
 
-def _files(spark: SparkSession) -> str:
-    """A folder for files that a query writes and reads again, in the shared folder of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 @query
 def csv_round_trip(spark, d):
     """All turns with their answers, written as CSV in their order and read again as pairs."""
-    path = f"{_files(spark)}/turns"
-    files.write_csv(turn_pairs(spark, d).select(F.col("src").alias(" first "), F.col("tgt").alias("second"), "ord").orderBy("ord"), path)
-    return files.csv_pairs(spark, path, "first", "second", "The Turns").select("source_doc", "line_id", "src", "tgt", "sheet_name")
+    scratch = Scratch(spark)
+    path = scratch.folder("turns")
+    files.write_csv(turn_pairs(spark, d).select(F.col("src").alias(" first "), F.col("tgt").alias("second"), "ord"), path, ["ord"])
+    return files.csv_pairs(spark, path, "first", "second", "The Turns", scratch=scratch).select("source_doc", "line_id", "src", "tgt", "sheet_name")
+
+
+@query
+def csv_lineage(spark, d):
+    """Of each CSV file of the turns, how many pairs it gave, and the first and last of their numbers: without gaps, in the files' order."""
+    scratch = Scratch(spark)
+    path = scratch.folder("turns")
+    files.write_csv(turn_pairs(spark, d).select(F.col("src").alias("first"), F.col("tgt").alias("second"), "ord"), path, ["ord"])
+    rows = files.csv_pairs(spark, path, "first", "second", "The Turns", scratch=scratch)
+    number = F.regexp_extract("line_id", "_([0-9]+)$", 1).cast("long")
+    by_file = rows.groupBy("source_path").agg(F.min(number).alias("lo"), F.max(number).alias("hi"), F.count(F.lit(1)).alias("n"))
+    return by_file.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.sum((F.col("hi") - F.col("lo") + 1 != F.col("n")).cast("long")), F.lit(0)).alias("files_with_gaps"))
+
+
+@query
+def workbook_round_trip(spark, d):
+    """The training segments as workbooks by document, with a broken one among them, written and read again by the workbook source."""
+    workbook_format.register(spark)
+    scratch = Scratch(spark)
+    path = scratch.folder("books")
+    rows = _qc(spark, d, TRAIN).select("source_doc", F.coalesce("section_id", F.lit("lines")).alias("sheet_name"), "line_id", "fragment_id", "section_id", "src", "tgt", "ord")
+    laid = rows.repartitionByRange("source_doc", "ord").sortWithinPartitions("source_doc", "sheet_name", "ord").drop("ord")
+    laid.write.format("workbook").mode("append").option("rowsPerFile", 5000).save(path)
+    files.write_bytes(spark, f"{path}/part-broken/Broken.xlsx", b"no workbook")
+    read = spark.read.format("workbook").load(path)
+    return read.select("source_doc", "sheet_name", "line_id", "fragment_id", "section_id", "src", "tgt", F.col("corrupt").isNotNull().alias("corrupt"))
 
 
 @query
@@ -359,9 +407,10 @@ def xlsx_round_trip(spark, d):
     has = F.col("n_nationkey") % 3 > 0
     lines = nation.select(F.col("n_name").alias("line_src"), F.lower("n_name").alias("line_tgt"), F.when(has, F.col("n_nationkey")).alias("id_line"), F.col("n_regionkey").alias("id_section")).orderBy("n_nationkey")
     named = region.select(F.col("r_name").alias("name_region_src"), F.when(F.col("r_regionkey") == 2, "N/A").otherwise(F.lower("r_name")).alias("name_region_tgt")).orderBy("r_regionkey")
-    path = _files(spark)
+    scratch = Scratch(spark)
+    path = scratch.folder("book")
     files.write_xlsx({"lines": lines, "names": named}, f"{path}/The Nations.xlsx", spark=spark)
-    return files.fill_line_ids(files.workbook_pairs(spark, path)).select("source_doc", "line_id", "section_id", "src", "tgt", "sheet_name")
+    return files.fill_line_ids(files.workbook_pairs(spark, path), scratch).select("source_doc", "line_id", "section_id", "src", "tgt", "sheet_name")
 
 
 def queries() -> dict:

@@ -220,6 +220,11 @@ def sql() -> dict[str, str]:
     scores = ", ".join(f"round(max(c.score) FILTER (word_order = {o} AND beta = {b}), 2) AS \"{name}\"" for name, (o, b) in family.items())
     marks = ", ".join("'" + x + "'" for x in NA_MARKERS)
     w = t + WORDS
+    turns = f"""WITH led AS (SELECT *, lead(text) OVER w AS nt, lead(role) OVER w AS nr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+            p AS (SELECT conv_id * 1000 + turn AS ord, regexp_replace(text, '{EDGES}', '', 'g') AS src, regexp_replace(nt, '{EDGES}', '', 'g') AS tgt
+                  FROM led WHERE role = 'user' AND nr = 'assistant' AND text NOT IN ({marks}) AND nt NOT IN ({marks})) """
+    removed = f"""{t} SELECT (SELECT count(*) FROM pairs) AS rows_in, (SELECT count(*) FROM pairs) - (SELECT count(*) FROM (SELECT DISTINCT src, tgt, source_doc FROM pairs)) AS duplicates,
+            (SELECT count(*) FROM (SELECT DISTINCT src, tgt, source_doc FROM pairs)) - (SELECT count(*) FROM train) AS out_of_bounds, (SELECT count(*) FROM train) AS rows_out"""
     return {
         "pairs_clean": f"{t} SELECT * FROM pairs",
         "turn_pairs_eval": f"""WITH led AS (SELECT *, lead(text) OVER w AS nt, lead(role) OVER w AS nr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -232,8 +237,8 @@ def sql() -> dict[str, str]:
         "qc_eval": f"{t} SELECT line_id, src, tgt FROM oke",
         "dedup_doc_scoped": f"{t} SELECT source_doc, line_id, src, tgt FROM pairs QUALIFY row_number() OVER (PARTITION BY src, tgt, source_doc ORDER BY ord, line_id) = 1",
         "dedup_global": f"{t} SELECT source_doc, line_id, src, tgt FROM pairs QUALIFY row_number() OVER (PARTITION BY src, tgt ORDER BY ord, line_id) = 1",
-        "qc_removed_counts": f"""{t} SELECT (SELECT count(*) FROM pairs) AS rows_in, (SELECT count(*) FROM pairs) - (SELECT count(*) FROM (SELECT DISTINCT src, tgt, source_doc FROM pairs)) AS duplicates,
-            (SELECT count(*) FROM (SELECT DISTINCT src, tgt, source_doc FROM pairs)) - (SELECT count(*) FROM train) AS out_of_bounds, (SELECT count(*) FROM train) AS rows_out""",
+        "qc_removed_counts": removed,
+        "qc_observed_counts": removed,
         "corpus_stats_total": f"{t} SELECT CASE WHEN grouping(source_doc) = 1 THEN 'TOTAL' ELSE source_doc END AS corpus, count(*) AS segments, {STATS} FROM train GROUP BY ROLLUP (source_doc)",
         "doc_value_counts": f"{t} SELECT source_doc, count(*) AS n FROM train GROUP BY ALL",
         "group_ids_line": f"{t} SELECT line_id, {LINE_ID} AS group_id FROM train",
@@ -273,10 +278,10 @@ def sql() -> dict[str, str]:
         "eval_samples": f"{s}, h AS ({_hyps("(SELECT * FROM strat WHERE split = 'test')")}) "
         "SELECT system, seg_id, src, ref, hyp FROM h QUALIFY row_number() OVER (PARTITION BY system ORDER BY seg_id) <= 5",
         "view_level": f"{t} SELECT CASE WHEN count(fragment_id) > 0 THEN 'fragment_id' WHEN count(section_id) > 0 THEN 'section_id' WHEN count(chapter_id) > 0 THEN 'chapter_id' END AS level FROM train",
-        "csv_round_trip": f"""WITH led AS (SELECT *, lead(text) OVER w AS nt, lead(role) OVER w AS nr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-            p AS (SELECT conv_id * 1000 + turn AS ord, regexp_replace(text, '{EDGES}', '', 'g') AS src, regexp_replace(nt, '{EDGES}', '', 'g') AS tgt
-                  FROM led WHERE role = 'user' AND nr = 'assistant' AND text NOT IN ({marks}) AND nt NOT IN ({marks}))
-            SELECT 'The Turns' AS source_doc, 'the_turns_' || row_number() OVER (ORDER BY ord) AS line_id, src, tgt, 'csv' AS sheet_name FROM p WHERE src NOT IN ('', 'nan') AND tgt NOT IN ('', 'nan')""",
+        "csv_round_trip": f"""{turns} SELECT 'The Turns' AS source_doc, 'the_turns_' || row_number() OVER (ORDER BY ord) AS line_id, src, tgt, 'csv' AS sheet_name FROM p WHERE src NOT IN ('', 'nan') AND tgt NOT IN ('', 'nan')""",
+        "csv_lineage": f"{turns} SELECT count(*) AS pairs, CAST(0 AS BIGINT) AS files_with_gaps FROM p WHERE src NOT IN ('', 'nan') AND tgt NOT IN ('', 'nan')",
+        "workbook_round_trip": f"""{t} SELECT source_doc, coalesce(section_id, 'lines') AS sheet_name, line_id, fragment_id, section_id, src, tgt, false AS corrupt FROM train
+            UNION ALL SELECT 'Broken', NULL, NULL, NULL, NULL, NULL, NULL, true""",
         "xlsx_round_trip": """SELECT 'The Nations' AS source_doc, CASE WHEN n_nationkey % 3 > 0 THEN CAST(n_nationkey AS VARCHAR) ELSE 'the_nations_' || row_number() OVER (ORDER BY n_nationkey) END AS line_id,
               CAST(n_regionkey AS VARCHAR) AS section_id, n_name AS src, lower(n_name) AS tgt, 'lines' AS sheet_name FROM nation
             UNION ALL SELECT 'The Nations', 'The Nations_meta_names_name_region_src_' || r_regionkey, NULL, r_name, lower(r_name), 'names' FROM region WHERE r_regionkey <> 2""",

@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bitloom.functions.columns import quoted
 from bitloom.functions.schema import PAIR_SCHEMA
+from bitloom.functions.scratch import Scratch
 from bitloom.functions.text import NA_MARKERS, NA_TOKENS, present, strip
 from bitloom.sources.ooxml import read_workbook, write_workbook
 
@@ -115,39 +117,56 @@ def broken_sheets(spark: SparkSession, path: str, recursive: bool = True) -> Dat
     return _workbooks(spark, path, recursive).mapInPandas(parse, "path string, sheet string")
 
 
-def _position(df: DataFrame, part: Column, order: Column, name: str) -> DataFrame:
-    """df with the rows' 1-based place in the whole table, which goes by part (bounded in number), then order.
+def _before(counts: DataFrame, part: str, n: str) -> DataFrame:
+    """counts(part, n, ...) with `before`, the sum of n over lesser parts (whole numbers from 0): within spans of 1,024 parts, and over the spans'
+    sums, so that no window sees more than 1,024 parts or a span's row for each."""
+    up_to = lambda w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spanned = counts.withColumn("__span", F.shiftright(F.col(part).cast("long"), 10))
+    sums = spanned.groupBy("__span").agg(F.sum(n).alias(n)).withColumn("__over", F.shiftright("__span", 30))
+    spans = sums.select("__span", up_to(Window.partitionBy("__over").orderBy("__span")).alias("__lead"))
+    inner = up_to(Window.partitionBy("__span").orderBy(part)).alias("__inner")
+    return spanned.select("*", inner).join(spans, "__span").withColumn("before", F.col("__inner") + F.col("__lead")).drop("__span", "__inner", "__lead")
 
-    Rows are ranked within their part, and offset by the counts of the parts before."""
-    ranked = df.withColumn("__part", part).withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    counts = df.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__part", before.alias("__before"))
-    return ranked.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
+def numbered(df: DataFrame, by: list[str], name: str, scratch: Scratch | None = None) -> DataFrame:
+    """df with the rows' 1-based place in the order of `by`; rows equal in it are in any order.
 
-def csv_pairs(spark: SparkSession, path: str, src: str, tgt: str, document: str) -> DataFrame:
+    Rows are laid in order over ranges, written once, and counted by range: no task sees all rows, whatever the keys are."""
+    scratch = scratch or Scratch(df.sparkSession)
+    laid = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    # The range's number is in the upper bits, the row's place in the lower.
+    kept = scratch.keep(laid).withColumn("__part", F.shiftright("__at", 33))
+    counts = kept.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = _before(counts, "__part", "__n").select("__part", "before")
+    place = F.col("before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    # A row for each range: as many as the session has shuffle partitions, whatever the table's size.
+    return kept.join(F.broadcast(offsets), "__part").withColumn(name, place.cast("long")).drop("__at", "__part", "before")
+
+
+def csv_pairs(spark: SparkSession, path: str, src: str, tgt: str, document: str, multi_line: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """The pairs of two columns of a CSV file (or a folder of them) with a header.
 
-    Line ids number the rows kept, without gaps, by file in path order and then as they stand.
+    Line ids number the rows kept, without gaps, by file in path order and then as they stand. multi_line: fields may hold line
+    ends, so that a file is read by one task; without it a large file is shared by many. source_path is the row's file.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).withColumn("__file", F.split(F.col("_metadata.file_path"), "/"))
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    raw = raw.withColumns({"__path": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start")})
     raw = raw.toDF(*(c.strip() for c in raw.columns))
-    cell = lambda c: F.when(~F.col(f"`{c}`").isin(*NA_MARKERS), strip(F.col(f"`{c}`")))
-    sides = raw.select(cell(src).alias("src"), cell(tgt).alias("tgt"), "__file", F.monotonically_increasing_id().alias("__row")).where(present(F.col("src")) & present(F.col("tgt")))
-    placed = _position(sides, F.col("__file"), F.col("__row"), "__n")
+    cell = lambda c: F.when(~quoted(c).isin(*NA_MARKERS), strip(quoted(c)))
+    sides = raw.select(cell(src).alias("src"), cell(tgt).alias("tgt"), "__path", "__block", F.monotonically_increasing_id().alias("__row"))
+    sides = sides.where(present(F.col("src")) & present(F.col("tgt"))).withColumn("__file", F.split("__path", "/"))
+    # Folders are compared part by part; a block of a file is read by one task, whose rows are numbered as they come.
+    placed = numbered(sides, ["__file", "__block", "__row"], "__n", scratch)
     name = document.lower().replace(" ", "_")
-    lits = {"source_doc": F.lit(document), "line_id": F.concat(F.lit(f"{name}_"), F.col("__n").cast("string")), "source_path": F.lit(path), "sheet_name": F.lit("csv"), "ord": F.lit(CSV_FROM) + F.col("__n")}
+    lits = {"source_doc": F.lit(document), "line_id": F.concat(F.lit(f"{name}_"), F.col("__n").cast("string")), "source_path": F.col("__path"), "sheet_name": F.lit("csv"), "ord": F.lit(CSV_FROM) + F.col("__n")}
     none = {c: F.lit(None).cast("string") for c in ("fragment_id", "section_id", "chapter_id")}
     return placed.withColumns(lits | none).select(*PAIR_SCHEMA.names)
 
 
-def fill_line_ids(pairs: DataFrame) -> DataFrame:
-    """Pairs without a line id get the document's name and the row's 1-based place in the whole table by ord.
-
-    Places are counted by stretches of ord as long as a file's, and offset by the stretches before."""
+def fill_line_ids(pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Pairs without a line id get the document's name and the row's 1-based place in the whole table by ord."""
     name = F.lower(F.replace("source_doc", F.lit(" "), F.lit("_")))
-    placed = _position(pairs, F.floor(F.col("ord") / EACH_FILE), F.col("ord"), "__place")
+    placed = numbered(pairs, ["ord"], "__place", scratch)
     return placed.withColumn("line_id", F.coalesce("line_id", F.concat_ws("_", name, F.col("__place").cast("string")))).select(*pairs.columns)
 
 
@@ -180,9 +199,12 @@ def unpivot_names(df: DataFrame, key: list[str], columns: Columns = Columns()) -
     return df.select(*key, F.explode(rows).alias("x")).select(*key, "x.*").where(said("src") & said("tgt"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One file with a header; for result tables of bounded size."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, by: list[str] | None = None, one_file: bool = False) -> None:
+    """A folder of files with a header each, whose names and rows are in the order of `by`; no task writes more than its range.
+
+    one_file: a result table of bounded size as one file."""
+    laid = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
+    (laid.coalesce(1) if one_file else laid).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_xlsx(sheets: dict[str, DataFrame], path: str, most: int = 10_000, spark: SparkSession | None = None) -> None:
@@ -198,6 +220,11 @@ def write_xlsx(sheets: dict[str, DataFrame], path: str, most: int = 10_000, spar
         with open(path, "wb") as f:
             f.write(data)
         return
+    write_bytes(spark, path, data)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, in whatever store Spark reaches."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
     try:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from typing import BinaryIO
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
@@ -34,14 +35,21 @@ def _number(text: str) -> str:
     return str(int(x)) if x.is_integer() and abs(x) < 1e15 else repr(x)
 
 
-def read_workbook(data: bytes) -> dict[str, list[list[str | None]] | None]:
-    """Sheets by name as rows of cell texts, padded to one width; a sheet that can't be parsed is None."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+def sheet_names(file: BinaryIO) -> list[str]:
+    with zipfile.ZipFile(file) as z:
+        return [x.get("name") for x in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet")]
+
+
+def read_workbook(data: bytes | BinaryIO, only: set[str] | None = None) -> dict[str, list[list[str | None]] | None]:
+    """Sheets by name (all, or those asked for) as rows of cell texts, padded to one width; a sheet that can't be parsed is None."""
+    with zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data) as z:
         names = set(z.namelist())
         shared = [_text(x) for x in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{MAIN}si")] if "xl/sharedStrings.xml" in names else []
         targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")).iter(f"{PACKAGE}Relationship")}
         out: dict[str, list[list[str | None]] | None] = {}
         for sheet in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{MAIN}sheet"):
+            if only is not None and sheet.get("name") not in only:
+                continue
             target = targets[sheet.get(f"{REL}id")]
             path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             try:
@@ -78,11 +86,11 @@ def write_workbook(sheets: dict[str, list[list]]) -> bytes:
         return out
 
     def sheet(rows: list[list]) -> str:
-        body = ""
+        lines = []
         for y, row in enumerate(rows, 1):
             cells = "".join(f'<c r="{name(x)}{y}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for x, v in enumerate(row) if v is not None)
-            body += f'<row r="{y}">{cells}</row>'
-        return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{MAIN[1:-1]}"><sheetData>{body}</sheetData></worksheet>'
+            lines.append(f'<row r="{y}">{cells}</row>')
+        return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{MAIN[1:-1]}"><sheetData>{"".join(lines)}</sheetData></worksheet>'
 
     names = list(sheets)
     kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
