@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import Scratch, apart
+from bitloom.llm.secret_scan import masked
 
 #: Cuts between units; no character belongs to a cut.
 PARAGRAPHS, LINES, SENTENCES = (re.compile(x) for x in (r"(?<=\n)(?=\n)", r"(?<=\n)", r"(?<=[.!?])(?= )"))
@@ -214,16 +215,6 @@ def repeats(docs: DataFrame, pieces: bool = True, least_words: int = LEAST_WORDS
     return outer.select("doc_id", "row", "s.*").drop("back")
 
 
-def without(text: Column, spans: Column) -> Column:
-    """The text without the characters of ascending spans (start, end)."""
-
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-
-
 def remove_repeats(docs: DataFrame, pieces: bool = True, least_words: int = LEAST_WORDS, least_whole: int = LEAST_WHOLE) -> DataFrame:
     """docs with the repeats cut out of text, and `removed`, their spans in the original text."""
     own = ("doc_id", "text")
@@ -232,7 +223,7 @@ def remove_repeats(docs: DataFrame, pieces: bool = True, least_words: int = LEAS
     spans = repeats(plain, pieces, least_words, least_whole).groupBy(F.col("doc_id").alias("id"), F.col("row").alias("hash"))
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
     both = plain.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("hash")), "left")
-    text = F.when(F.col("removed").isNotNull(), without(F.col("text"), F.col("removed"))).otherwise(F.col("text"))
+    text = F.when(F.col("removed").isNotNull(), masked(F.col("text"), F.col("removed"), "")).otherwise(F.col("text"))
     cut_ = both.withColumn("text", text)
     names = [F.col(c if c in own else f"c{i}").alias(c) for i, c in enumerate(rest.columns)]
     return cut_.select(*names, "removed")
