@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 42
+#: Hexadecimal digits of a hash that name its range: groups are ranked within 4,096 ranges of each value of `by`.
+RANGE_DIGITS = 3
 #: Shares of the groups.
 TRAIN_SHARE, DEV_SHARE = 0.8, 0.1
 SPLITS = ("train", "dev", "test")
@@ -29,8 +31,8 @@ def group_id(fallback: str = "line") -> Column:
 def hash_rank(groups: DataFrame, key: str, by: list[str], seed: int = SEED) -> DataFrame:
     """groups with `rank` (from 1, in md5 order) and `n`, the number of groups, within each value of `by`."""
     h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key)).cast("binary"))
-    hashed = groups.withColumn("__h", h).withColumn("__part", F.substring("__h", 1, 2))
-    counts = hashed.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__k"))  # at most 256 rows for each value
+    hashed = groups.withColumn("__h", h).withColumn("__part", F.substring("__h", 1, RANGE_DIGITS))
+    counts = hashed.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__k"))  # at most 16 ** RANGE_DIGITS rows for each value
     w = Window.partitionBy(*(by or [F.lit(0)]))
     before = F.sum("__k").over(w.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select(*by, "__part", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__k").over(w).alias("n"))
