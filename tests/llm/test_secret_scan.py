@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import time
 
 import pytest
@@ -135,3 +136,28 @@ def test_redaction(spark):
 
 def test_empty_table(spark):
     assert S.digest(S.find_secrets(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+#: Alphabets of keys, and the least share of random keys of 20 to 64 characters that is found without an assignment before it.
+ALPHABETS = {
+    "hex": (string.hexdigits[:16], 1.0), "upper hex": (string.digits + "ABCDEF", 0.95), "base32": (string.ascii_uppercase + "234567", 0.95),
+    "base64": (string.ascii_letters + string.digits + "+/", 0.95), "base64url": (string.ascii_letters + string.digits + "-_", 0.95),
+    "letters and digits": (string.ascii_letters + string.digits, 0.95), "small and digits": (string.ascii_lowercase + string.digits, 0.95),
+    "letters": (string.ascii_letters, 0.75),
+}
+
+
+def test_planted_keys_of_every_class_are_found(spark):
+    rng = random.Random(21)
+    rows, planted = [], {}
+    for name, (alphabet, _) in ALPHABETS.items():
+        for n in (20, 24, 32, 40, 64):
+            for _ in range(40):
+                before = "some words and then "
+                planted[len(rows)] = (name, len(before), len(before) + n)
+                rows.append((len(rows), before + "".join(rng.choice(alphabet) for _ in range(n)) + " and more of them"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(s["start"], s["end"]) for s in r.spans] for r in S.find_secrets(df).collect()}
+    for name, (_, least) in ALPHABETS.items():
+        own = [(i, a, b) for i, (kind, a, b) in planted.items() if kind == name]
+        assert sum(any(s <= a + 2 and e >= b - 2 for s, e in found[i]) for i, a, b in own) >= least * len(own), name
