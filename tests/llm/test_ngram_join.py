@@ -71,6 +71,24 @@ def test_other_orders_rule_pairs_out(spark):
     assert len(left) < pairs.count() and {tuple(r) for r in J.sharing_prefixes(pairs, sets, 1).collect()} == {tuple(r) for r in pairs.collect()}
 
 
+@pytest.mark.parametrize("least", [1, 20_000])
+def test_prefixes_by_exact_counts(spark, monkeypatch, least):
+    """Of unlike documents no token is a key, whatever the load of the counters; similar ones still share one, also if tokens are frequent."""
+    monkeypatch.setattr(J, "LEAST_COMMON", least)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    docs = [(i, " ".join(["same", "start", "here", "again", *[word() for _ in range(60)]])) for i in range(200)]
+    docs += [(200 + i, t + " more") for i, (_, t) in enumerate(docs[:5])] + [(300, docs[9][1])]
+    df = frame(spark, docs)
+    members = spark.createDataFrame([(i, len(plain_set(t, 4)), 9 if i == 300 else i) for i, t in docs], "doc_id long, n long, rep long")
+    # All counters at one value: as over a table much larger than they are.
+    counts = spark.sparkContext.broadcast(np.full(2 << J.COUNTER_BITS, 5))
+    keys = {(r["id"], r["bucket"]) for r in J.shared_prefixes(df, members, 4, 85, counts).collect()}
+    assert {i for i, _ in keys} == {*range(5), *range(200, 205)}
+    assert all({b for j, b in keys if j == i} & {b for j, b in keys if j == 200 + i} for i in range(5))
+    assert {(i, c) for i, _, c in result(J.similar_documents(df, 4, 85)) if i != c} == {*((200 + i, i) for i in range(5)), (300, 9)}
+
+
 def test_bitmap_holds_every_key(spark):
     keys = np.random.default_rng(2).integers(-(2**63), 2**63, 5000)
     bits = J.membership(spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(3))
