@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter
 
 import random
@@ -56,6 +57,25 @@ def test_chrf_against_plain_counts(spark):
                 assert got[s] == pytest.approx(plain_chrf([(h, r) for x, h, r in ROWS if x == s], w, beta))
 
 
+def test_many_rows_are_counted_in_time_and_like_plain_counts(spark):
+    """Rows of several slices, groups of null and of several columns; a long pair takes no time that grows with its n-grams' number squared."""
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice("abé 😀.") for _ in range(rng.randrange(12)))
+    rows = [(rng.choice(["x", None]), rng.choice("pq"), text(), text()) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "`a b` string, k string, hyp string, ref string").coalesce(1)
+    got = {(r["a b"], r.k, r.n): (r.hyp, r.hyp_all, r.ref, r.match) for r in metrics.ngram_stats(df, ("char",), ("a b", "k")).collect()}
+    cut = lambda t: "".join(t.split())
+    for a, k in {r[:2] for r in rows}:
+        for n in range(1, 7):
+            both = [(grams(cut(h), n), grams(cut(r), n)) for x, y, h, r in rows if (x, y) == (a, k)]
+            assert got[a, k, n] == (sum(h.total() for h, r in both if r), sum(h.total() for h, _ in both), sum(r.total() for _, r in both), sum((h & r).total() for h, r in both))
+    assert metrics.ngram_stats(df.limit(0), ("char", "bleu"), ("a b", "k")).count() == 0
+    started = time.monotonic()
+    long = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(400_000))
+    stats = metrics.ngram_stats(hyps(spark, [("s", long, long)]), ("char",)).collect()
+    assert len(stats) == 6 and all(r.match == r.hyp == r.ref > 1_000_000 for r in stats) and time.monotonic() - started < 20
+
+
 def test_equal_texts_score_100_and_word_splits(spark):
     same = hyps(spark, [("s", t, t) for t in ("A full sentence, with words enough.", "Another one here: also long!")])
     stats = metrics.ngram_stats(same, ("char", "word", "bleu"))
