@@ -11,6 +11,8 @@ from bitloom.functions.stemming import spanish
 
 #: Letters of a counted word.
 LETTERS = "a-záéíóúüñ"
+#: More than a text can have words.
+PLACES = 1 << 31
 #: The words that aren't counted.
 STOPWORDS = (
     "de la el en y a que se los las un una con "
@@ -34,7 +36,13 @@ def word_freq(texts: DataFrame, stem: Callable[[Column], Column] | None = None)
     """(system, stem, word, n) of texts(system, ord, text): counts by stem, shown by its most frequent
     surface form, of equal ones the first."""
     spots = texts.select("system", "ord", F.posexplode(words_of(F.col("text"))).alias("at", "word"))
-    forms = spots.groupBy("system", "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "at")).alias("first"))
+    # Place and row as one number, which a hash aggregation updates in place: the least of structs would sort all words of a task.
+    none = F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")
+    spot = F.coalesce(F.col("ord").cast("decimal(20,0)"), none) * F.lit(PLACES).cast("decimal(10,0)") + F.col("at")
+    forms = spots.groupBy("system", "word").agg(F.count(F.lit(1)).alias("n"), F.min(spot.cast("decimal(31,0)")).alias("first"))
+    at = F.pmod("first", F.lit(PLACES).cast("decimal(31,0)"))
+    ord_ = F.nullif(((F.col("first") - at) / F.lit(PLACES).cast("decimal(10,0)")).cast("decimal(20,0)"), none).cast(texts.schema["ord"].dataType)
+    forms = forms.select("system", "word", "n", F.struct(ord_.alias("ord"), at.cast("int").alias("at")).alias("first"))
     # Stems are taken of distinct words only.
     stemmed = forms.withColumn("stem", stem(F.col("word")) if stem else F.col("word"))
     best = F.struct((-F.col("n")).alias("n"), F.col("first"), F.col("word"))

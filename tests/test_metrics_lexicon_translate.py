@@ -126,6 +126,18 @@ def test_word_frequencies(spark):
     assert [(r["rank"], r.word_left, r.word_right) for r in lexicon.compare_top(both, "s", "t", 20).orderBy("rank").collect()] == [(1, "casas", "perro"), (2, "casa", "gato")]
 
 
+def test_words_are_counted_by_hash_and_their_first_place_is_exact(spark):
+    """No task sorts its words; places of the largest and of negative rows are right."""
+    big = (1 << 63) - 1
+    df = spark.createDataFrame([("s", big, "uno dos tres"), ("s", big - 1, "cuatro tres uno"), ("s", -big, "cinco seis"), ("s", -5, "seis siete"), ("s", None, "nada"), ("s", 3, "siete nada")], "system string, ord long, text string")
+    freq = lexicon.word_freq(df)
+    got = {r.word: (r.first["ord"], r.first["at"]) for r in freq.collect()}
+    assert got == {"uno": (big - 1, 2), "dos": (big, 1), "tres": (big - 1, 1), "cuatro": (big - 1, 0), "cinco": (-big, 0), "seis": (-big, 1), "siete": (-5, 1), "nada": (None, 0)}
+    plan = freq._jdf.queryExecution().sparkPlan().toString()
+    by_word = [line for line in plan.splitlines() if "Aggregate(key" in line and "word#" in line.split("functions=")[0]]
+    assert by_word and not any("SortAggregate" in line for line in by_word)
+
+
 # From the public sample vocabulary of the algorithm.
 @pytest.mark.parametrize("word,stem", [
     ("cheque", "chequ"), ("chico", "chic"), ("chicas", "chic"), ("chihuahua", "chihuahu"), ("chillaba", "chill"), ("chimenea", "chimene"), ("chinos", "chin"), ("chocolate", "chocolat"),
