@@ -49,20 +49,35 @@ PIECE, LINE, PARAGRAPH = 1, 2, 4
 LEAST_HOT, HOT_SHARE, SALTS = 10_000, 1000, 256
 WORD = re.compile(r"\S+")
 ROWS_AT_ONCE = 200_000
+#: Distinct words of which a worker remembers whether a cut follows.
+MEMORY = 120_000
+
+
+class _Ends(dict):
+    """Whether a long unit is cut after a word; a worker remembers so many words."""
+
+    def __missing__(self, w: str) -> bool:
+        if len(self) >= MEMORY:
+            self.clear()
+        self[w] = out = (len(w) + 3 * ord(w[0]) + 5 * ord(w[-1])) & 7 == 0
+        return out
+
+
+ENDS = _Ends()
 
 
 def _cuts(words: list[str]) -> list[int]:
     """How many words lie before each cut of a long unit: it is cut after words whose length, plus 3 times
     the code of their first and 5 times that of their last character, is divisible by 8."""
-    out = [i for i, w in enumerate(words, 1) if (len(w) + 3 * ord(w[0]) + 5 * ord(w[-1])) & 7 == 0]
+    out = [i for i, w in enumerate(words, 1) if ENDS[w]]
     if not out or out[-1] < len(words):
         out.append(len(words))
     return out
 
 
-def _places(part: str, lead: int) -> tuple[list[int], list[int]]:
-    """Where the words of a part, whose first follows `lead` white space, start and end."""
-    sizes = list(map(len, part.split()))
+def _places(part: str, lead: int, words: list[str], even: bool) -> tuple[list[int], list[int]]:
+    """Where the words of a part, whose first follows `lead` white space, start and end; even: each is as long as in lower case."""
+    sizes = list(map(len, words if even else part.split()))
     ends = list(accumulate(sizes, lambda at, n: at + 1 + n, initial=lead - 1))[1:]
     if ends[-1] != len(part.rstrip()):  # some words lie further apart than one character
         spans = [m.span() for m in WORD.finditer(part)]
@@ -76,6 +91,7 @@ def cut(text: str, pieces: bool = True, least_whole: int = LEAST_WHOLE, longest:
     Pieces are numbered in order; a line or paragraph of several pieces has the first one's number. A
     paragraph of one line isn't listed beside it. Without pieces each line is one piece."""
     starts, ends, nos, counts, kinds, digests = [], [], [], [], [], []
+    digest = xxhash.xxh3_128_digest
 
     def add(start: int, end: int, no: int, words: list[str], kind: int) -> None:
         starts.append(start)
@@ -83,14 +99,16 @@ def cut(text: str, pieces: bool = True, least_whole: int = LEAST_WHOLE, longest:
         nos.append(no)
         counts.append(len(words))
         kinds.append(kind)
-        digests.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+        digests.append(digest(" ".join(words).encode("utf-8", "surrogatepass")))
 
     at = no = 0
     for paragraph in PARAGRAPHS.split(text):
         seen: list[list[str]] = []
         begin = stop = first_no = 0
         for line in LINES.split(paragraph):
-            all_ = line.lower().split()
+            parts = [p for p in _sentences(line) if p[1]] if pieces else [(0, line.lower().split(), line, True)]
+            # A sentence ends before a blank, so its letters are the same in lower case by itself and in the line.
+            all_ = parts[0][1] if len(parts) == 1 else [w for p in parts for w in p[1]]
             if all_:
                 start, end, own_no = at + len(line) - len(line.lstrip()), at + len(line.rstrip()), no
                 if not seen:
@@ -98,10 +116,9 @@ def cut(text: str, pieces: bool = True, least_whole: int = LEAST_WHOLE, longest:
                 stop = end
                 seen.append(all_)
                 kind = LINE if len(all_) >= least_whole else 0
-                parts = [p for p in _sentences(line) if p[1]] if pieces else [(0, all_, line)]
-                for lead, words, part in parts:
+                for lead, words, part, even in parts:
                     if pieces and len(words) > longest:
-                        a, b = _places(part, len(part) - len(part.lstrip()))
+                        a, b = _places(part, len(part) - len(part.lstrip()), words, even)
                         last = 0
                         for upto in _cuts(words):
                             add(at + lead + a[last], at + lead + b[upto - 1], no, words[last:upto], PIECE)
@@ -120,11 +137,12 @@ def cut(text: str, pieces: bool = True, least_whole: int = LEAST_WHOLE, longest:
     return starts, ends, nos, counts, kinds, digests
 
 
-def _sentences(line: str) -> Iterator[tuple[int, list[str], str]]:
-    """Where each part begins in the line, its words, and the part."""
+def _sentences(line: str) -> Iterator[tuple[int, list[str], str, bool]]:
+    """Where each part begins in the line, its words in lower case, the part, and whether it is as long as in lower case."""
     at = 0
     for part in SENTENCES.split(line):
-        yield at, part.lower().split(), part
+        low = part.lower()
+        yield at, low.split(), part, len(low) == len(part)
         at += len(part)
 
 

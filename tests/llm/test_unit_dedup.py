@@ -181,3 +181,22 @@ def test_very_long_texts_take_time_in_proportion(spark):
     got = U.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert time.perf_counter() - began < 90
     assert {(r.doc_id, r.n_words) for r in got if r.doc_id == 2} == {(2, 20_000 * 12)}
+
+
+def test_each_word_of_a_line_is_lowered_once():
+    """Lines aren't lowered beside their sentences, and long sentences' words are measured without another split."""
+    lowered = []
+
+    class Text(str):
+        def lower(self):
+            lowered.append(len(self))
+            return str(self).lower()
+
+    line = "One two three. " + " ".join(f"w{i}" for i in range(40)) + ". ΑΣ. İx end."
+    want = U.cut(line)
+    old, U.SENTENCES = U.SENTENCES, type("Split", (), {"split": staticmethod(lambda t, s=U.SENTENCES: [Text(p) for p in s.split(t)])})
+    lines, U.LINES = U.LINES, type("Split", (), {"split": staticmethod(lambda t, s=U.LINES: [Text(p) for p in s.split(t)])})
+    try:
+        assert U.cut(line) == want and sum(lowered) == len(line)
+    finally:
+        U.SENTENCES, U.LINES = old, lines
