@@ -20,8 +20,9 @@ import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+from bitloom.functions.columns import dealt
 from bitloom.functions.scratch import Scratch
-from bitloom.operators.lexical import SIZE, Model, epochs, log_likelihood
+from bitloom.operators.lexical import SIZE, Model, encoded, epochs, likelihood_of
 
 #: An epoch must better the best by so much of it to count as better.
 LEAST_GAIN = 0.0
@@ -120,11 +121,13 @@ class Run:
         last = load(self.spark, self.checkpoint(done[-1])) if done else None
         left = n - len(done)
         if left > 0:
-            train, dev = scratch.keep(train.select("src", "tgt")), scratch.keep(dev.select("src", "tgt"))
+            train, ids = scratch.keep(train.select("src", "tgt")), None
             for model, epoch in zip(epochs(train, size, scratch, last), range(len(done) + 1, n + 1), strict=False):
                 part = uuid.uuid4().hex
                 save(self.spark, model, f"{self.base}/checkpoints/{part}")
-                loglik, pairs = log_likelihood(dev, model)
+                if ids is None:  # all epochs have the same words
+                    ids = scratch.keep(encoded(dealt(dev.select("src", "tgt")), model.src, model.tgt))
+                loglik, pairs = likelihood_of(ids, model)
                 record = {"epoch": epoch, "part": part, "loglik": model.loglik[-1], "dev": loglik / pairs if pairs else 0.0}
                 if not write_once(self.spark, f"{self.base}/ledger/{epoch:06d}.json", json.dumps(record).encode()):
                     raise RuntimeError(f"another run of {self.system} {self.direction} has committed epoch {epoch}")

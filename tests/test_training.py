@@ -49,3 +49,27 @@ def test_an_epoch_is_committed_once(spark, tmp_path):
     assert (tmp_path / "l" / "1.json").read_bytes() == b"one" and [f for f in os.listdir(tmp_path / "l") if not f.startswith(".")] == ["1.json"]
     none = training.Run(spark, str(tmp_path / "n"), "s", "x-y")
     assert none.train(pairs(spark, 5)[1].limit(0), pairs(spark, 5)[1], 3) is None and none.ledger() == []
+
+
+def test_dev_pairs_are_encoded_once_for_all_epochs(spark, tmp_path):
+    train, dev = pairs(spark, 60)[1], pairs(spark, 20, seed=9)[1]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    run = training.Run(spark, str(tmp_path), "s", "x-y")
+    model = run.train(train, dev.mapInArrow(counted, dev.schema), 3)
+    assert read.value == 20
+    texts = []
+    real = training.encoded
+    try:
+        training.encoded = lambda *a: texts.append(a) or real(*a)
+        run.train(train, dev, 6)
+    finally:
+        training.encoded = real
+    assert len(texts) == 1
+    loglik, n = lexical.log_likelihood(dev, model)
+    assert n == 20 and run.ledger()[2]["dev"] == pytest.approx(loglik / n)
