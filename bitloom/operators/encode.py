@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ EIGHT = 8
 #: A label that a loss leaves out.
 IGNORED = -100
 BUCKETS, BUDGET = 16, 4096
+#: Examples whose texts are encoded at once.
+ROWS = 2000
 
 
 @lru_cache(maxsize=2)
@@ -57,17 +60,28 @@ def encode_pairs(rows: DataFrame, languages: tuple[str, ...], vocabulary: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, tags = _tokenizer(vocabulary), tag_ids(languages, vocabulary)
         stop = tokenizer.token_to_id(end)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             ways = [d.split("-") for d in batch.column(at["direction"]).to_pylist()]
-
-            def ids(side: int, column: str) -> list[list[int]]:
-                texts = [x or "" for x in batch.column(at[column]).to_pylist()]  # noqa: B023
-                found = tokenizer.encode_batch(texts, add_special_tokens=False)
-                return [[tags[w[side]], *f.ids[: limit - 2], stop] for w, f in zip(ways, found, strict=True)]  # noqa: B023
-
-            src, ref = ids(0, "src"), ids(1, "ref")
-            lists = [pa.array(x, pa.list_(pa.int32())) for x in (src, [[1] * len(s) for s in src], ref)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], [*at, *made])
+            texts = [[x or "" for x in batch.column(at[c]).to_pylist()] for c in ("src", "ref")]
+            # Either direction has the other's texts: each is encoded once.
+            own = list(dict.fromkeys([*texts[0], *texts[1]]))
+            found = tokenizer.encode_batch(own, add_special_tokens=False)
+            known = {t: np.array(f.ids[: limit - 2], np.int32) for t, f in zip(own, found, strict=True)}
+
+            def ids(side: int) -> pa.Array:
+                parts = [known[t] for t in texts[side]]  # noqa: B023
+                ends = np.cumsum([len(p) + 2 for p in parts])
+                flat = np.empty(ends[-1], np.int32)
+                starts = np.r_[0, ends[:-1]]
+                inner = np.ones(len(flat), bool)
+                inner[starts] = inner[ends - 1] = False
+                flat[inner] = np.concatenate(parts)
+                flat[starts], flat[ends - 1] = [tags[w[side]] for w in ways], stop  # noqa: B023
+                return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat))
+
+            src, ref = ids(0), ids(1)
+            mask = pa.ListArray.from_arrays(src.offsets, pa.array(np.ones(len(src.values), np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, src, mask, ref], [*at, *made])
 
     out = plain.mapInArrow(run, T.StructType([*plain.schema.fields, *fields]))
     names = [F.col(c if c in own else f"c{i}").alias(c) for i, c in enumerate(rows.columns)]

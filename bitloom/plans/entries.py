@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bitloom.functions.columns import dealt
 from bitloom.functions.scratch import Scratch
 from bitloom.functions.text import n_tokens
 from bitloom.operators import encode, lexical, lexicon, metrics, sample, splits, stats, training, translate, views
@@ -336,8 +337,13 @@ def _examples(spark: SparkSession, d: str) -> DataFrame:
 @query
 def encoded_examples(spark, d):
     """The training segments in both directions as ids, tagged, cut, batched and padded."""
-    rows = encode.encode_pairs(_examples(spark, d).withColumn("key", F.concat_ws("|", "seg_id", "direction")), ("aa", "bb"))
-    batched = encode.batches(rows.withColumn("length", F.size("input_ids")), "key", "length")
+    scratch = Scratch(spark)
+    pairs = scratch.keep(_stratified(spark, d).where("split = 'train'").select("source_doc", F.col("line_id").alias("seg_id"), "src", "tgt"))
+    rows = encode.encode_pairs(translate.both_directions(dealt(pairs), ("aa", "bb")), ("aa", "bb"))
+    # Written once: batches read the lengths, the counts and the rows.
+    own = F.concat_ws("|", "seg_id", "direction").alias("key"), F.size("input_ids").alias("length")
+    rows = scratch.keep(rows.select("seg_id", "direction", *own, "input_ids", "attention_mask", "labels"))
+    batched = encode.batches(rows, "key", "length")
     return encode.padded(batched).select("seg_id", "direction", "bucket", "batch", "input_ids", "attention_mask", "labels")
 
 

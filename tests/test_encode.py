@@ -64,3 +64,23 @@ def test_padded_lists_are_of_one_length(spark):
     assert sum(map(len, by.values())) == len(before)
     for rs in by.values():
         assert len({len(r["labels"]) for r in rs}) == 1 and len(rs[0]["labels"]) % 8 == 0
+
+
+def test_examples_are_encoded_once(spark, monkeypatch):
+    """Batches read the examples for lengths, for counts and for themselves; the encoding runs for the first of them alone."""
+    from bitloom.plans import entries
+
+    made, real = spark.sparkContext.accumulator(0), encode.encode_pairs
+
+    def counted(rows, *a):
+        def run(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        out = real(rows, *a)
+        return out.mapInArrow(run, out.schema)
+
+    monkeypatch.setattr(encode, "encode_pairs", counted)
+    got = entries.queries()["encoded_examples"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == made.value > 0 and all(r["attention_mask"][0] == 1 and r["input_ids"] for r in got)
