@@ -152,13 +152,20 @@ def parity_maps(sets: DataFrame) -> DataFrame:
     return sets.select("id", "items").mapInArrow(run, "id long, map array<long>")
 
 
-def _may_link(a: str, b: str, percent: int, mapped: bool) -> Column:
-    """By sizes and maps, if there are any: the sets of two rows (n, map) can't be ruled out. Jaccard >= p%
+def native_maps(sets: DataFrame) -> DataFrame:
+    """The like of `parity_maps`, by DataFrame functions alone: a set's items are summed by word where they are read."""
+    h = F.xxhash64("item")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 4).bitwiseAND(F.lit(63)).cast("int"))
+    bits = sets.select("id", F.explode("items").alias("item")).select("id", h.bitwiseAND(F.lit(MAP - 1)).alias("word"), bit.alias("bit"))
+    odd = (F.coalesce(F.bit_xor(F.when(F.col("word") == i, F.col("bit"))), F.lit(0).cast("long")) for i in range(MAP))
+    return bits.groupBy("id").agg(F.array(*odd).alias("map"))
+
+
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """By sizes and maps: the sets of two rows, in columns named after them, can't be ruled out. Jaccard >= p%
     means that at most (100 - p) / (100 + p) of the summed sizes differ."""
-    n, m = (lambda x: F.col(f"{x}.n")), (lambda x, i: F.get(F.col(f"{x}.map"), F.lit(i)))
+    n, m = (lambda x: F.col(f"{x}_n")), (lambda x, i: F.get(F.col(f"{x}_map"), F.lit(i)))
     sizes = F.least(n(a), n(b)) * 100 >= F.greatest(n(a), n(b)) * percent
-    if not mapped:
-        return sizes
     bits = sum((F.bit_count(m(a, i).bitwiseXOR(m(b, i))) for i in range(MAP)), F.lit(0))
     return sizes & (bits * (100 + percent) <= (n(a) + n(b)) * (100 - percent))
 
@@ -178,33 +185,35 @@ def linked(
     native: bool = False,
     narrow: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     maps: DataFrame | None = None,
+    growth: int = 8,
 ) -> DataFrame:
     """(id, root) of the ids that a confirmed link joins to another.
 
     buckets: (id, n, bucket), n the set's size; sets_of: ids to (id, items) and what else narrow reads; native: by
-    DataFrame functions alone, without parity maps; narrow: takes from the pairs (u, v), given the sets, those that
+    DataFrame functions alone; narrow: takes from the pairs (u, v), given the sets, those that
     a filter of the caller's own rules out; maps: (id, map), where they are known without the sets, which are then
-    asked for pair by pair, in each round, and not for all that share a bucket.
+    asked for pair by pair, in each round, and not for all that share a bucket; growth: how many times more centres each round has.
     """
-    few, mapped = 0 if native else FEW, not native
+    few, names = 0 if native else FEW, ("id", "n", "root", "map")
     shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
     shared = scratch.keep(shared)
     near = scratch.keep(buckets.join(shared, "bucket").distinct())
     sets = None
     if maps is None:
         sets = scratch.keep(sets_of(near.select("id").distinct()))
-        maps = scratch.keep(parity_maps(sets)) if mapped else sets.select("id", F.lit(None).cast("array<long>").alias("map"))
+        maps = scratch.keep(native_maps(sets) if native else parity_maps(sets))
     live = scratch.keep(near.join(maps, "id").withColumn("root", F.col("id")))
-    scratch.forget(shared, near, *([maps] if mapped else []))
+    scratch.forget(shared, near, maps)
     root = None
     centres = 1
     while True:
         # One centre for each of `centres` shares of a bucket's members, the smallest id.
         share = F.pmod(F.xxhash64("id", "bucket"), F.lit(centres))
-        chosen = scratch.keep(live.groupBy("bucket", share.alias("share")).agg(F.min(F.struct("id", "n", "root", "map")).alias("c")).select("bucket", "c"))
-        held = live.withColumn("o", F.struct("id", "n", "root", "map")).select("bucket", "o").join(chosen, "bucket")
-        held = held.where((F.col("c.root") != F.col("o.root")) & _may_link("c", "o", percent, mapped))
-        pairs = held.select(F.least("o.id", "c.id").alias("u"), F.greatest("o.id", "c.id").alias("v")).distinct()
+        least = live.groupBy("bucket", share.alias("share")).agg(F.min(F.struct(*names)).alias("c"))
+        chosen = scratch.keep(least.select("bucket", *(F.col(f"c.{x}").alias(f"c_{x}") for x in names)))
+        held = live.select("bucket", *(F.col(x).alias(f"o_{x}") for x in names)).join(chosen, "bucket")
+        held = held.where((F.col("c_root") != F.col("o_root")) & _may_link("c", "o", percent))
+        pairs = held.select(F.least("o_id", "c_id").alias("u"), F.greatest("o_id", "c_id").alias("v")).distinct()
         own, asked = sets, pairs
         if sets is None:
             found = asked = scratch.keep(pairs)
@@ -222,14 +231,14 @@ def linked(
             added = over.select(F.col("root").alias("id"), F.col("top").alias("root")).join(root.select("id"), "id", "left_anti")
             root = scratch.keep(moved.union(added))
         # A centre has met all that its bucket can offer; a bucket of one component has nothing more to join.
-        left = live.drop("root").join(chosen.select("bucket", F.col("c.id").alias("id")), ["bucket", "id"], "left_anti")
+        left = live.drop("root").join(chosen.select("bucket", F.col("c_id").alias("id")), ["bucket", "id"], "left_anti")
         left = scratch.keep(left.join(root, "id", "left").withColumn("root", F.coalesce("root", "id")))
         open_ = scratch.keep(left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"))
         before, live = live, scratch.keep(left.join(open_, "bucket").select("bucket", "id", "n", "map", "root"))
         scratch.forget(before, chosen, left, open_, found, *([asked, own] if sets is None else []))
         if live.isEmpty():
             return root
-        centres *= 8
+        centres *= growth
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -253,12 +262,14 @@ def join_classes(sets: DataFrame, propose: Callable[[DataFrame], DataFrame], per
     """doc_id, n (its items) and class_id for sets(doc_id, items) under buckets(id, n, bucket) that
     propose(reps) gives, by DataFrame functions alone."""
     scratch, work = Scratch(sets.sparkSession), Scratch(sets.sparkSession)
-    own = work.keep(sets.select("doc_id", "items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("digest")))
-    first = work.keep(own.where(F.size("items") > 0).groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    members = own.join(first, "digest", "left")
-    reps = work.keep(members.where(F.col("doc_id") == F.col("rep")).select(F.col("rep").alias("id"), "items").dropDuplicates(["id"]))
-    members = scratch.keep(members.select("doc_id", F.size("items").alias("n"), "rep"))
-    root = scratch.keep(linked(work.keep(propose(reps)), lambda ids: reps.join(ids, "id", "left_semi"), percent, work, native=True))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    own = work.keep(sets.select("doc_id", "items", F.size("items").alias("n"), digest.alias("digest"), F.monotonically_increasing_id().alias("row")))
+    first = work.keep(own.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    members = scratch.keep(own.join(first, "digest", "left").select("doc_id", "n", "rep", "row"))
+    # Rows are chosen without their sets, which go through one shuffle; of several rows of an id one is.
+    chosen = members.where(F.col("doc_id") == F.col("rep")).groupBy("doc_id").agg(F.min("row").alias("row"))
+    reps = work.keep(own.join(chosen.select("row"), "row", "left_semi").select(F.col("doc_id").alias("id"), "items"))
+    root = scratch.keep(linked(work.keep(propose(reps)), lambda ids: reps.join(ids, "id", "left_semi"), percent, work, native=True, growth=32))
     work.drop()
     out = members.join(root.select(F.col("id").alias("rep"), "root"), "rep", "left")
     return out.select("doc_id", "n", F.coalesce("root", "rep", "doc_id").alias("class_id"))

@@ -15,11 +15,12 @@ are ordered by text; null ids come last; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import let, words
+from bitloom.llm.common import SPACE_RUN, SPACES, let
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -39,7 +40,10 @@ def _hash(c: Column) -> Column:
 
 def signatures(text: Column, anchors: tuple[str, ...] | list[str] = ANCHORS, chain: int = CHAIN) -> Column:
     """The sorted set of a text's signatures, array<int>: each the first 32 bits of an md5, less 2**31."""
-    marked = F.concat(F.lit(f"{LINE} "), F.replace(F.lower(F.translate(text, PUNCTUATION, "")), F.lit("\n"), F.lit(f" {LINE} ")))
+    plain = F.lower(F.regexp_replace(text, f"[{re.sub('(.)', r'\\\1', PUNCTUATION)}]+", ""))
+    marked = F.concat(F.lit(f"{LINE} "), F.replace(plain, F.lit("\n"), F.lit(f" {LINE} ")))
+    # The first mark is a word, so there is one, and the text is worked out once.
+    found = F.split(F.btrim(marked, F.lit(SPACES)), SPACE_RUN)
     stops = sorted({*anchors, LINE})
 
     def chained(w: Column) -> Column:
@@ -54,7 +58,7 @@ def signatures(text: Column, anchors: tuple[str, ...] | list[str] = ANCHORS, cha
 
         return let(content, hashed)
 
-    return F.sort_array(F.array_distinct(let(words(marked), chained)))
+    return F.sort_array(F.array_distinct(let(found, chained)))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -153,16 +157,21 @@ def classes(docs: DataFrame, threshold_percent: int = 80) -> DataFrame:
     A document without signatures is in a class of its own."""
     from bitloom.llm.near_dedup import join_classes
 
-    t = threshold_percent / 100
-    sets = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("items")).withColumn("items", F.transform("items", lambda x: x.cast("long")))
+    sets = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("items"))
 
     def propose(reps: DataFrame) -> DataFrame:
-        """Each set under its rarest signatures, in its own length partition and the next."""
-        seen = reps.select("id", F.explode("items").alias("item"), F.size("items").alias("n"))
-        rank = seen.join(seen.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "item")
-        rare = rank.withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "item")))
-        rare = rare.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(t)) + 1)
-        part = length_partition(F.col("n"), t)
+        """Each set under its rarest signatures, in its own length partition and the next.
+
+        A signature of one set alone proposes nothing, but takes one of the first places: such ones are counted, not ranked.
+        """
+        seen = reps.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
+        often = reps.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        ranks = Window.partitionBy("id").orderBy("df", "item")
+        known = F.count(F.lit(1)).over(ranks.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        # Few are in more than one set, so their table is the one to hash, and the signatures of all sets needn't be sorted.
+        rank = seen.join(often.hint("shuffle_hash"), "item").withColumn("at", F.col("n") - known + F.row_number().over(ranks))
+        rare = rank.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold_percent / 100) + 1)
+        part = length_partition(F.col("n"), threshold_percent / 100)
         return rare.select("id", F.col("n"), F.explode(F.array(part, part + 1)).alias("p"), "item").select("id", "n", F.xxhash64("p", "item").alias("bucket"))
 
     joined = join_classes(sets, propose, threshold_percent)

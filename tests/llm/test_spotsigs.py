@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from bitloom.llm import near_dedup
 from bitloom.llm import spotsigs as S
 from bitloom.llm.common import Scratch
 
@@ -130,6 +131,36 @@ def test_classes_are_native(spark, monkeypatch):
     assert not [p for p in [*plans, plan(out)] if re.search("Python|Arrow|Pandas", p)]
 
 
+def test_classes_compare_few_pairs(spark, monkeypatch):
+    """Lone signatures propose nothing, and texts of one stock of phrases are ruled out before their sets meet."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"the a{i}x{k} b{k}" for k in range(10))) for i in range(20)]
+    docs += [(100 + i, " ".join(f"the s{k} t{k}" for k in rng.sample(range(120), 60))) for i in range(60)]
+    docs += [(200, docs[-1][1] + " the new one")]
+    proposed, met = [], []
+    linked, verified = near_dedup.linked, near_dedup._verified
+    monkeypatch.setattr(near_dedup, "linked", lambda buckets, *a, **k: (proposed.append(buckets), linked(buckets, *a, **k))[1])
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *a: (met.append(pairs.count()), verified(pairs, *a))[1])
+    monkeypatch.setattr(Scratch, "drop", lambda self, n=None: None)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in S.classes(df).collect()} == {i: 159 if i == 200 else i for i, _ in docs}
+    assert proposed[0].where("id < 100").isEmpty() and not proposed[0].isEmpty()
+    assert 1 <= sum(met) < 60  # of 1,830 pairs
+
+
+def test_native_maps(spark):
+    rng = random.Random(4)
+    sets = [(i, rng.sample(range(-500, 500), n)) for i, n in enumerate([1, 2, 30, 30, 400, 400])]
+    maps = {r.id: r.map for r in near_dedup.native_maps(spark.createDataFrame(sets, "id long, items array<int>")).collect()}
+    apart = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(maps[a], maps[b], strict=True))
+    for a, x in sets:
+        assert len(maps[a]) == near_dedup.MAP
+        for b, y in sets:
+            far = len(set(x) ^ set(y))
+            assert apart(a, b) <= far and apart(a, b) % 2 == far % 2
+    assert apart(2, 3) > 40 and apart(0, 1) in (1, 3)
+
+
 def test_very_long_texts_and_small_likeness(spark):
     rng = random.Random(5)
     long_ = " ".join(rng.choice(["the", "of"]) + f" w{i} x{i}" for i in range(150_000))
