@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitloom.functions.columns import dealt
 from bitloom.functions.scratch import Scratch
 from bitloom.functions.text import n_tokens
-from bitloom.operators import encode, lexical, lexicon, metrics, sample, splits, stats, training, translate, views
+from bitloom.operators import encode, lexical, lexicon, metrics, sample, splits, stats, training, translate, views, word_table
 from bitloom.operators.qc import EVAL, REMOVED, TRAIN, QcPolicy, accepted, add_features, apply_qc, clean, counted_qc, dedup_first, removed_counts
 from bitloom.plans import oracles
 from bitloom.sources import files, workbook_format
@@ -320,13 +318,9 @@ def training_run(spark, d):
 
 @query
 def lexical_table(spark, d):
-    """What the words of the training segments become, by three passes over all of them; shares of a hundredth or more."""
+    """What all words of the training segments become, by three passes over all of their tokens; shares of a hundredth or more."""
     scratch = Scratch(spark)
-    model = lexical.learn(scratch.keep(_stratified(spark, d).where("split = 'train'").select("src", "tgt")), passes=3, scratch=scratch)
-    e, f = np.nonzero(model.table >= 0.01)  # of 1,002 source words at most 100 each
-    words = lambda own, at: [None if i < lexical.OWN else own[i - lexical.OWN] for i in at]
-    table = pa.table({"e": e, "src": pa.array(words(model.src, e), pa.string()), "tgt": pa.array(words(model.tgt, f), pa.string()), "p": np.round(model.table[e, f], 6)})
-    return spark.createDataFrame(table).where("e <> 1 AND tgt IS NOT NULL").drop("e")
+    return word_table.word_table(scratch.keep(_stratified(spark, d).where("split = 'train'").select("src", "tgt")), 3, 0.01, scratch)
 
 
 def _examples(spark: SparkSession, d: str) -> DataFrame:

@@ -166,23 +166,23 @@ picked AS (SELECT s.* FROM (SELECT *, row_number() OVER (PARTITION BY source_doc
 STATS = ", ".join(f"CAST(sum({s}_tokens) AS BIGINT) AS {s}_tokens, round(avg({s}_tokens), 2) AS {s}_avg_len, round(stddev_samp({s}_tokens), 2) AS {s}_std_len" for s in ("src", "tgt"))
 
 
-def _lexical(passes: int, size: int = 1000, most: int = 128) -> str:
+def _lexical(passes: int) -> str:
     """Expectation-maximisation over all word pairs of the training segments, pass after pass."""
-    toks = lambda c: f"regexp_extract_all(lower({c}), '{TOKEN}')[1:{most}]"
-    vocab = lambda s: f"SELECT w, CAST(row_number() OVER (ORDER BY count(*) DESC, w) AS INT) + 1 AS i FROM (SELECT unnest({s}) AS w FROM lp) GROUP BY w QUALIFY row_number() OVER (ORDER BY count(*) DESC, w) <= {size}"
+    toks = lambda c: f"regexp_extract_all(lower({c}), '{TOKEN}')"
+    vocab = lambda s: f"SELECT w, CAST(row_number() OVER (ORDER BY count(*) DESC, w) AS INT) AS i FROM (SELECT unnest({s}) AS w FROM lp) GROUP BY w"
     out = f""",
 lp AS (SELECT row_number() OVER () AS sid, {toks("src")} AS s, {toks("tgt")} AS t FROM strat WHERE split = 'train'),
 vs AS ({vocab("s")}), vt AS ({vocab("t")}),
-ls AS (SELECT sid, e, count(*) AS n FROM (SELECT sid, coalesce(i, 1) AS e FROM (SELECT sid, unnest(s) AS w FROM lp WHERE len(s) > 0 AND len(t) > 0) LEFT JOIN vs USING (w)
+ls AS (SELECT sid, e, count(*) AS n FROM (SELECT sid, i AS e FROM (SELECT sid, unnest(s) AS w FROM lp WHERE len(s) > 0 AND len(t) > 0) JOIN vs USING (w)
        UNION ALL SELECT sid, 0 FROM lp WHERE len(s) > 0 AND len(t) > 0) GROUP BY ALL),
-lt AS (SELECT sid, f, count(*) AS n FROM (SELECT sid, coalesce(i, 1) AS f FROM (SELECT sid, unnest(t) AS w FROM lp WHERE len(s) > 0 AND len(t) > 0) LEFT JOIN vt USING (w)) GROUP BY ALL),
+lt AS (SELECT sid, f, count(*) AS n FROM (SELECT sid, i AS f FROM (SELECT sid, unnest(t) AS w FROM lp WHERE len(s) > 0 AND len(t) > 0) JOIN vt USING (w)) GROUP BY ALL),
 co AS MATERIALIZED (SELECT sid, e, f, ls.n AS a, ls.n * lt.n AS n FROM ls JOIN lt USING (sid)),
 t0 AS (SELECT DISTINCT e, f, CAST(1 AS DOUBLE) AS p FROM co)"""
     for k in range(passes):
         out += f""",
 t{k + 1} AS MATERIALIZED (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS p FROM (SELECT e, f, sum(n * p / z) AS c
   FROM (SELECT co.*, p, sum(a * p) OVER (PARTITION BY sid, f) AS z FROM co JOIN t{k} USING (e, f)) GROUP BY e, f))"""
-    return f"{out} SELECT vs.w AS src, vt.w AS tgt, round(p, 6) AS p FROM t{passes} LEFT JOIN vs ON vs.i = e JOIN vt ON vt.i = f WHERE p >= CAST(0.01 AS DOUBLE) AND e <> 1"
+    return f"{out} SELECT vs.w AS src, vt.w AS tgt, round(p, 6) AS p FROM t{passes} LEFT JOIN vs ON vs.i = e JOIN vt ON vt.i = f WHERE p >= CAST(0.01 AS DOUBLE)"
 
 
 BATCHES = f""",
