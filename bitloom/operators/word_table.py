@@ -274,16 +274,26 @@ def _first_sums(blobs: DataFrame, wide: int) -> np.ndarray:
     return _collected(blobs.mapInArrow(run, COUNTS), wide)
 
 
-def _sums(counts: DataFrame) -> DataFrame:
-    return counts.where(F.col("f") == SUM).groupBy("e").agg(F.sum("v").alias("whole"))
-
-
 def _collected(counts: DataFrame, wide: int) -> np.ndarray:
-    table, out = _sums(counts).toArrow(), np.zeros(wide)  # 12 bytes a word
+    table, out = counts.where(F.col("f") == SUM).groupBy("e").agg(F.sum("v")).toArrow(), np.zeros(wide)  # 12 bytes a word
     out[table.column(0).to_numpy()] = table.column(1).to_numpy()
     return out
 
 
+def _shares(counts: DataFrame, whole: np.ndarray, least: float) -> DataFrame:
+    """(e, f, p): counts over source words' sums, of `least` or more; words of sum 0 go."""
+    shared = counts.sparkSession.sparkContext.broadcast(whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = shared.value[batch.column(0).to_numpy()]
+            p = np.divide(batch.column(2).to_numpy(), own, out=np.zeros(len(own)), where=own > 0)
+            kept = pa.array(p >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p)], ["e", "f", "p"]).filter(kept)
+
+    return counts.where(F.col("f") != SUM).mapInArrow(run, "e int, f int, p double")
+
+
 def word_table(pairs: DataFrame, passes: int, least: float, scratch: Scratch | None = None) -> DataFrame:
     """(src, tgt, p): what becomes of every source word (null: of none) in pairs(src, tgt) after so many passes, p of `least` or more."""
     spark, scratch = pairs.sparkSession, scratch or Scratch(pairs.sparkSession)
@@ -300,16 +310,20 @@ def word_table(pairs: DataFrame, passes: int, least: float, scratch: Scratch | N
     bounds, heavy = _bounds(sides[1][2])
     sums = [_first_sums(blobs, wide)]
     while len(sums) < passes - 1:
+        scratch.forget()  # what the pass before has shuffled
         sums.append(_collected(_counts(_by_part(blobs, bounds), heavy, wide, sums, None), wide))
+    scratch.forget()
     before, last = sums[: passes - 1], KEPT * sums[-1]
     counts = scratch.keep(_counts(_by_part(blobs, bounds), heavy, wide, before, least * last))
     whole = _collected(counts, wide)
     fell = whole < last
-    found = counts.where(F.col("f") != SUM)
+    scratch.forget()
+    found = _shares(counts, np.where(fell, 0.0, whole), least)
     if fell.any():  # a word whose sum fell by more than was thought may have lost word pairs
         again = scratch.keep(_counts(_by_part(blobs, bounds), heavy, wide, before, np.where(fell, least * (1 - 1e-9) * whole, np.inf)))
-        low = spark.createDataFrame(pa.table({"e": np.flatnonzero(fell).astype(np.int32)}))
-        found = found.join(F.broadcast(low), "e", "left_anti").unionAll(again.where(F.col("f") != SUM))
+        found = found.unionAll(_shares(again, np.where(fell, whole, 0.0), least))
+        scratch.forget()
+    scratch.forget(blobs)
     shared = spark.sparkContext.broadcast(numbers)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,6 +335,5 @@ def word_table(pairs: DataFrame, passes: int, least: float, scratch: Scratch | N
 
     names = words.select("side", "digest", "word").mapInArrow(named, "side int, number int, word string")
     name = lambda side, number, word: names.where(F.col("side") == side).select(F.col("number").alias(number), F.col("word").alias(word))
-    p = F.col("v") / F.col("whole")
-    rows = found.join(_sums(counts), "e").where(p >= least).select("e", "f", F.round(p, 6).alias("p"))
+    rows = found.select("e", "f", F.round("p", 6).alias("p"))
     return rows.join(name(0, "e", "src"), "e", "left").join(name(1, "f", "tgt"), "f").select("src", "tgt", "p")
